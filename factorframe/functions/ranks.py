@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 64
+SPLITS = 32
 
 
 def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -24,9 +24,9 @@ def _tag_buckets(df: DataFrame, by: list[str], value: str, single: bool) -> Data
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, F.lit(probs), F.lit(1000)).alias("_cuts"))
     if single:  # one row of SPLITS numbers, whatever the input size
         cuts = F.broadcast(cuts)
-    tagged = df.join(cuts, by)
-    v = F.col(value)
-    return tagged.withColumn("_bucket", F.size(F.filter("_cuts", lambda q: q < v))).drop("_cuts")
+    # plain comparisons rather than a lambda: they are generated code and let equal exchanges be reused
+    above = [(F.col(value) > F.col("_cuts")[i]).cast("int") for i in range(SPLITS - 1)]
+    return df.join(cuts, by).withColumn("_bucket", sum(above, F.lit(0))).drop("_cuts")
 
 
 def ordered_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -66,8 +66,16 @@ def percent_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFra
     return rank_columns(df, by, value, **{name: average_rank() / F.col("total")})
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one row per group."""
+def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], calendar_bound=False) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, one row per group.
+
+    ``calendar_bound`` says that a group has at most one row per day (a symbol's
+    bars, a strategy's returns); such groups fit the buffer of ``percentile``.
+    """
+    if calendar_bound:
+        at = F.lit(list(probs.values()))
+        got = df.groupBy(*by).agg(F.percentile(value, at).alias("_q"))
+        return got.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
     oc = ordered_counts(df, by, value)
     aggs = []
     for name, p in probs.items():

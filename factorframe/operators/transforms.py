@@ -39,9 +39,10 @@ def normalize(df: DataFrame, col: str, method: str, by=("symbol",), name="normal
 
 def with_mad(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Adds the group's median ``_med`` and median absolute deviation ``_mad``."""
-    med = ranks.quantiles(df, by, col, {"_med": 0.5})
+    bound = by in (["symbol"], ["strategy"])  # at most a calendar of rows each
+    med = ranks.quantiles(df, by, col, {"_med": 0.5}, bound)
     out = _attach(df, med, by)
-    mad = ranks.quantiles(out.withColumn("_dev", F.abs(c(col) - c("_med"))), by, "_dev", {"_mad": 0.5})
+    mad = ranks.quantiles(out.withColumn("_dev", F.abs(c(col) - c("_med"))), by, "_dev", {"_mad": 0.5}, bound)
     return _attach(out, mad, by)
 
 

@@ -1,7 +1,5 @@
 """Queries T1-T26 over the bars of the driver's tables."""
 
-from pyspark.sql import functions as F
-
 from factorframe.operators import technical as t
 from factorframe.plans.catalog import query
 
@@ -139,13 +137,12 @@ register("t25_basic_block", t.basic_block, {
     SELECT symbol, date, m21 AS momentum_21d, {_rank('m21', 252, 126)} AS momentum_rank_21d,
       {full('stddev_samp', 'v20', 20)} AS vol_of_vol_20d, {ewm('close', 12)} AS ema_12,
       CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN l = 0 AND g > 0 THEN 100 END AS rsi_14,
-      CASE WHEN ret IS NOT NULL THEN sum(volume * ret) {RUN} END AS volume_price_trend, 74 AS n_columns
+      CASE WHEN ret IS NOT NULL THEN sum(volume * ret) {RUN} END AS volume_price_trend
     FROM (SELECT *, {chg('close', 21)} AS m21, {full('stddev_samp', 'ret', 20)} AS v20,
           row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS rn,
           {full('avg', 'greatest(d, 0)', 14)} AS g, {full('avg', 'greatest(-d, 0)', 14)} AS l
           FROM (SELECT *, {chg('close')} AS ret, coalesce(close - {lag('close')}, 0) AS d FROM bars))""",
        "momentum_21d:6 momentum_rank_21d:6 vol_of_vol_20d:5 ema_12:3 rsi_14:6 volume_price_trend:3")
 def _panel(p):
-    wide = t.technical_panel(p.bars)
-    return wide.select(*KEYS, "momentum_21d", "momentum_rank_21d", "vol_of_vol_20d", "ema_12", "rsi_14",
-                       "volume_price_trend", F.lit(len(wide.columns)).alias("n_columns"))
+    return t.technical_panel(p.bars).select(*KEYS, "momentum_21d", "momentum_rank_21d", "vol_of_vol_20d", "ema_12",
+                                            "rsi_14", "volume_price_trend")

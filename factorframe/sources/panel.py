@@ -47,6 +47,18 @@ class Panel:
             F.max_by("px", seq).alias("close"), F.sum("l_quantity").alias("volume"),
         )
 
+    @cached_property
+    def dirty(self) -> DataFrame:
+        """Bars with planted faults: negative or missing close, swapped or too narrow range, negative volume."""
+        k = F.col("volume").cast("long") % 11
+        pick = lambda *cases: F.coalesce(*[F.when(k == n, v) for n, v in cases[:-1]], cases[-1])
+        h, l, cl, v = (F.col(x) for x in ("high", "low", "close", "volume"))
+        return self.bars.select(
+            "symbol", "date", "open",
+            pick((5, l), (6, F.col("open") * 0.5), h).alias("high"), pick((5, h), l).alias("low"),
+            F.when(k == 7, None).otherwise(pick((3, -cl), cl)).alias("close"), pick((8, -v), v).alias("volume"),
+        )
+
     @cached_property
     def ret(self) -> DataFrame:
         return (
@@ -175,6 +187,9 @@ SQL = {
         max(px) AS high, min(px) AS low,
         last(px ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS close,
         sum(l_quantity) AS volume FROM fills GROUP BY symbol, date"""),
+    "dirty": ("bars", """SELECT symbol, date, open, CASE k WHEN 5 THEN low WHEN 6 THEN open * 0.5 ELSE high END AS high,
+        CASE k WHEN 5 THEN high ELSE low END AS low, CASE k WHEN 7 THEN NULL WHEN 3 THEN -close ELSE close END AS close,
+        CASE k WHEN 8 THEN -volume ELSE volume END AS volume FROM (SELECT *, CAST(volume AS BIGINT) % 11 AS k FROM bars)"""),
     "ret": ("bars", """SELECT * FROM (SELECT symbol, date, close, volume,
         0.01 * tanh(close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1) AS r FROM bars)
         WHERE r IS NOT NULL"""),
@@ -184,8 +199,8 @@ SQL = {
         FROM (SELECT p_brand AS symbol, CAST(split_part(p_brand, '#', 2) AS INTEGER) AS bno,
               sum(p_retailprice * p_size) AS market_cap, avg(p_size) / 10 AS pb_ratio FROM part GROUP BY p_brand)"""),
     "boxes": ("meta", """SELECT m.symbol,
-        CASE WHEN market_cap >= c80 THEN 'large' WHEN market_cap <= c20 THEN 'small' ELSE 'mid' END AS size,
-        CASE WHEN pb_ratio <= p30 THEN 'value' WHEN pb_ratio >= p70 THEN 'growth' ELSE 'neutral' END AS style,
+        CASE WHEN market_cap >= c80 THEN 'large' WHEN market_cap >= c20 THEN 'mid' ELSE 'small' END AS size,
+        CASE WHEN pb_ratio >= p70 THEN 'growth' WHEN pb_ratio >= p30 THEN 'neutral' ELSE 'value' END AS style,
         region, sector FROM meta m, (SELECT quantile_cont(market_cap, 0.2) AS c20, quantile_cont(market_cap, 0.8) AS c80,
         quantile_cont(pb_ratio, 0.3) AS p30, quantile_cont(pb_ratio, 0.7) AS p70 FROM meta)"""),
     "factors": ("ret", """SELECT date, avg(r) AS MKT,
