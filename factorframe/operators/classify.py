@@ -18,8 +18,19 @@ MIN_PB_VALUES = 10
 def size_class(meta: DataFrame, cap="market_cap") -> DataFrame:
     """C1."""
     cuts = ranks.quantiles(meta, [], cap, {"_c20": SIZE_CUTS[0], "_c80": SIZE_CUTS[1]})
-    size = F.when(c(cap) >= c("_c80"), "large").when(c(cap) >= c("_c20"), "mid").otherwise("small")
-    return _attach(meta, cuts, []).withColumn("size", size).drop("_c20", "_c80")
+    return _attach(meta, cuts, []).withColumn("size", _size(cap)).drop("_c20", "_c80")
+
+
+def _size(cap) -> Column:
+    return F.when(c(cap) >= c("_c80"), "large").when(c(cap) >= c("_c20"), "mid").otherwise("small")
+
+
+def _style(pb, technical) -> Column:
+    by_pb = F.when(c("_n") < MIN_PB_VALUES, "neutral").when(c(pb) >= c("_p70"), "growth")
+    by_pb = by_pb.when(c(pb) >= c("_p30"), "neutral").otherwise("value")
+    score = c(technical) if technical else F.lit(0.5)
+    by_score = F.when(score < 0.35, "value").when(score > 0.65, "growth").otherwise("neutral")
+    return F.when(c(pb).isNotNull(), by_pb).otherwise(by_score)
 
 
 def style_class(meta: DataFrame, pb="pb_ratio", technical: str | None = None) -> DataFrame:
@@ -27,16 +38,19 @@ def style_class(meta: DataFrame, pb="pb_ratio", technical: str | None = None) ->
     cuts = ranks.quantiles(meta, [], pb, {"_p30": STYLE_CUTS[0], "_p70": STYLE_CUTS[1]})
     n = meta.agg(F.count(pb).alias("_n"))
     df = _attach(_attach(meta, cuts, []), n, [])
-    by_pb = F.when(c("_n") < MIN_PB_VALUES, "neutral").when(c(pb) >= c("_p70"), "growth")
-    by_pb = by_pb.when(c(pb) >= c("_p30"), "neutral").otherwise("value")
-    score = c(technical) if technical else F.lit(0.5)
-    by_score = F.when(score < 0.35, "value").when(score > 0.65, "growth").otherwise("neutral")
-    return df.withColumn("style", F.when(c(pb).isNotNull(), by_pb).otherwise(by_score)).drop("_p30", "_p70", "_n")
+    return df.withColumn("style", _style(pb, technical)).drop("_p30", "_p70", "_n")
 
 
 def classify(meta: DataFrame, technical: str | None = None) -> DataFrame:
-    """C1 and C2 on metadata that already has region and sector."""
-    return style_class(size_class(meta), technical=technical)
+    """C1 and C2 on metadata that already has region and sector; both cuts come from one pass."""
+    long = meta.select(c("market_cap").alias("cap"), c("pb_ratio").alias("pb")).unpivot([], ["cap", "pb"], "feature", "value")
+    q = ranks.quantiles(long, ["feature"], "value", {"q2": SIZE_CUTS[0], "q8": SIZE_CUTS[1], "q3": STYLE_CUTS[0], "q7": STYLE_CUTS[1]})
+    pick = lambda f, x: F.max(F.when(c("feature") == f, c(x)))
+    cuts = q.agg(pick("cap", "q2").alias("_c20"), pick("cap", "q8").alias("_c80"), pick("pb", "q3").alias("_p30"), pick("pb", "q7").alias("_p70"))
+    n = meta.agg(F.count("pb_ratio").alias("_n"))
+    df = _attach(_attach(meta, cuts, []), n, [])
+    out = df.withColumn("size", _size("market_cap")).withColumn("style", _style("pb_ratio", technical))
+    return out.drop("_c20", "_c80", "_p30", "_p70", "_n")
 
 
 def box_keys(classes: DataFrame, dims=("size", "style", "region", "sector")) -> DataFrame:
@@ -138,24 +152,21 @@ def extreme_boxes(classes: DataFrame, n=5, dims=("size", "style", "region", "sec
 def merge_small_boxes(classes: DataFrame, min_stocks=2, max_boxes=30, dims=("size", "style", "region", "sector")) -> DataFrame:
     """(box, target): boxes under the minimum go to the most similar kept box (size 3, style 2, region 1).
 
-    Works on the box table, which has at most the product of the class lists; kept
-    boxes are the largest ones up to max_boxes.  A box without any similarity keeps itself.
-    The candidates of a box come from equality joins on size, style or region.
+    Kept boxes are the largest ones, up to max_boxes.  Each box lists its shared
+    attributes with their worth; the similarity of two boxes is the sum over the
+    attributes they have in common, so one equality join finds it.  A box without any keeps itself.
     """
-    a, b, d = dims[:3]
     boxes = classes.groupBy(*dims).agg(F.count(F.lit(1)).alias("stocks")).withColumn("box", box_name(dims))
     kept = ranks.top_n(boxes.where(c("stocks") >= min_stocks), [], [F.desc("stocks"), F.asc("box")], max_boxes)
-    small = boxes.join(kept.select("box"), "box", "left_anti")
-    k = kept.select(c("box").alias("target"), *[c(x).alias(f"_{x}") for x in (a, b, d)])
-    pairs = None
-    for x in (a, b, d):
-        hit = small.join(k, c(x) == c(f"_{x}"))
-        pairs = hit if pairs is None else pairs.unionByName(hit)
-    like = (F.when(c(a) == c(f"_{a}"), 3).otherwise(0) + F.when(c(b) == c(f"_{b}"), 2).otherwise(0)
-            + F.when(c(d) == c(f"_{d}"), 1).otherwise(0))
-    best = pairs.groupBy("box").agg(F.min_by("target", F.struct(-like, "target")).alias("target"))
-    moved = small.select("box").join(best, "box", "left").select("box", F.coalesce("target", "box").alias("target"))
-    return kept.select("box", c("box").alias("target")).unionByName(moved)
+    worth = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c(d).alias("value"), F.lit(w).alias("worth"))
+                                for d, w in zip(dims[:3], (3, 2, 1))])).alias("t")
+    targets = kept.select(c("box").alias("target"), worth).select("target", "t.dim", "t.value")
+    attrs = boxes.select("box", worth).select("box", "t.*")
+    like = attrs.join(targets, ["dim", "value"]).groupBy("box", "target").agg(F.sum("worth").alias("_like"))
+    best = like.groupBy("box").agg(F.min_by("target", F.struct(-c("_like"), c("target"))).alias("_best"))
+    own = kept.select("box", c("box").alias("_own"))
+    out = boxes.select("box").join(own, "box", "left").join(best, "box", "left")
+    return out.select("box", F.coalesce("_own", "_best", "box").alias("target"))
 
 
 def box_coverage(universe: DataFrame, classes: DataFrame) -> DataFrame:

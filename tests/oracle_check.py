@@ -49,7 +49,8 @@ def compare(got, want) -> list[str]:
     out = []
     for c in gc:
         a, b = str(got.schema.field(c).type), str(want.schema.field(c).type)
-        if a.split("[")[0].replace("large_", "") != b.split("[")[0].replace("large_", ""):
+        norm = lambda t: t.split("[")[0].split("<")[0].replace("large_", "")
+        if norm(a) != norm(b):
             out.append(f"type {c}: {a} != {b}")
     if len(g) != len(w):
         out.append(f"rows {len(g)} != {len(w)}")
