@@ -1,17 +1,201 @@
-"""Signals (G1-G17)."""
+"""Signals (G1-G17).  Frames are long: (strategy, date, symbol, signal)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorframe.functions import ranks
-from factorframe.functions.windows import c, ratio
+from factorframe.functions import joins, ranks
+from factorframe.functions.pairs import covariances
+from factorframe.functions.windows import c, lagged, ordered, ratio
 
+DAY = ("strategy", "date")
 
-def long_only(signals: DataFrame, by=("strategy", "date")) -> DataFrame:
+
+def shrinkage(t, threshold=2.0, method="hard_threshold") -> Column:
+    """Weight of a signal from its t-statistic; a null t gives 0."""
+    t = F.abs(c(t))
+    if method == "linear_shrinkage":
+        f = F.least(F.lit(1.0), t / threshold)
+    elif method == "sigmoid_shrinkage":
+        f = 1 / (1 + F.exp(-2.0 * (t - threshold)))
+    else:
+        f = (t >= threshold).cast("double")
+    return F.coalesce(f, F.lit(0.0))
+
+
+def filter_alphas(alphas: DataFrame, tstats: DataFrame, keys=("symbol",), threshold=2.0, method="hard_threshold", value="alpha") -> DataFrame:
+    """Value scaled by ``shrinkage``; names without a statistic stay as they are.  Keys with a date make it rolling."""
+    t = tstats.select(*keys, "t_stat", F.lit(True).alias("_known"))
+    out = alphas.join(t, list(keys), "left")
+    kept = F.when(c("_known"), c(value) * shrinkage("t_stat", threshold, method)).otherwise(c(value))
+    return out.withColumn(value, kept).drop("t_stat", "_known")
+
+
+def transform(df: DataFrame, method: str, by=("date",), value="alpha", name="signal") -> DataFrame:
+    """Raw, rank in [0, 1], or zscore squeezed to [0, 1] by tanh (population deviation); cross-sections of any size."""
+    by = list(by)
+    if method == "raw":
+        return df.withColumn(name, c(value))
+    if method == "rank":
+        scaled = F.when(c("total") > 1, (ranks.average_rank() - 1) / F.nullif(c("total") - 1, F.lit(0))).otherwise(ranks.average_rank())
+        return ranks.rank_columns(df, by, value, **{name: scaled})
+    if method == "zscore":
+        out = ranks.with_group_stats(df, by, _a=F.avg(value), _s=F.stddev_pop(value))
+        z = F.when(c("_s") > 0, (F.tanh((c(value) - c("_a")) / c("_s")) + 1) / 2).otherwise(0.0)
+        return out.withColumn(name, z).drop("_a", "_s")
+    raise ValueError(f"unknown method {method!r}")
+
+
+def alpha_signals(exposures: DataFrame, dates: DataFrame, tstats: DataFrame, method="rank", threshold=2.0, shrink="hard_threshold") -> DataFrame:
+    """The static alphas, filtered and transformed once, on every listed date (one bounded array of dates)."""
+    kept = filter_alphas(exposures.select("symbol", "alpha"), tstats, threshold=threshold, method=shrink)
+    once = transform(kept, method, [] if method != "raw" else (), "alpha") if method != "raw" else transform(kept, "raw")
+    days = dates.agg(F.sort_array(F.collect_set("date")).alias("_days")).withColumn("_k", F.lit(0))
+    out = once.withColumn("_k", F.lit(0)).join(F.broadcast(days), "_k")
+    return out.select(F.explode("_days").alias("date"), "symbol", "signal")
+
+
+def expected_return_signals(points: DataFrame, exposures: DataFrame, xs: list[str], tstats: DataFrame | None = None, method="rank") -> DataFrame:
+    """Alpha + beta . factors of the day, optionally filtered (G3), then transformed per date."""
+    from factorframe.operators.estimate import predict
+
+    out = predict(points, exposures, xs, name="expected_return")
+    if tstats is not None:
+        keys = ["symbol", "date"] if "date" in tstats.columns else ["symbol"]
+        out = filter_alphas(out, tstats, keys, value="expected_return")
+    return transform(out, method, ["date"], "expected_return").select("date", "symbol", "signal")
+
+
+def calendar_predictions(predictions: DataFrame, value="prediction") -> DataFrame:
+    """The last known prediction of a symbol on every calendar day of its span."""
+    span = predictions.groupBy("symbol").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    days = span.select("symbol", F.explode(F.sequence("_a", "_b")).alias("date"))
+    return joins.asof(days, predictions.select("symbol", "date", value), ["symbol"], [value])
+
+
+def long_only(signals: DataFrame, by=DAY) -> DataFrame:
     """Negatives to 0, positives scaled to sum 1 per date; all zero stays zero."""
     df = signals.withColumn("_p", F.greatest("signal", F.lit(0.0)))
     df = ranks.with_group_stats(df, list(by), _t=F.sum("_p"))
     weight = F.when(c("_t") > 0, c("_p") / c("_t")).otherwise(0.0)
     return df.select(*by, "symbol", weight.alias("weight"))
+
+
+def clipped_zscore(df: DataFrame, by=DAY, value="signal", limit=3.0) -> DataFrame:
+    """Cross-sectional z-score within +-3; undefined becomes 0."""
+    out = ranks.with_group_stats(df, list(by), _a=F.avg(value), _s=F.stddev_samp(value))
+    z = F.greatest(F.least((c(value) - c("_a")) / F.nullif(c("_s"), F.lit(0.0)), F.lit(limit)), F.lit(-limit))
+    defined = c(value).isNotNull() & (c("_s") > 0)
+    return out.withColumn(value, F.when(defined, z).otherwise(0.0)).drop("_a", "_s")
+
+
+def min_max(df: DataFrame, by=DAY, value="signal") -> DataFrame:
+    """To [0, 1] per date; null becomes 0.5, a constant date 0."""
+    out = ranks.with_group_stats(df, list(by), _lo=F.min(value), _hi=F.max(value))
+    width = F.when(c("_hi") > c("_lo"), c("_hi") - c("_lo")).otherwise(1.0)
+    return out.withColumn(value, F.coalesce((c(value) - c("_lo")) / width, F.lit(0.5))).drop("_lo", "_hi")
+
+
+def drop_weak(df: DataFrame, threshold=0.1, value="signal") -> DataFrame:
+    """G9."""
+    return df.withColumn(value, F.when(F.abs(value) < threshold, 0.0).otherwise(c(value)))
+
+
+def to_unit_range(df: DataFrame, by=DAY, value="signal") -> DataFrame:
+    """To [-1, 1] per date; a constant date gives 0."""
+    out = ranks.with_group_stats(df, list(by), _lo=F.min(value), _hi=F.max(value))
+    scaled = 2 * ratio(c(value) - c("_lo"), c("_hi") - c("_lo")) - 1
+    return out.withColumn(value, F.coalesce(scaled, F.lit(0.0))).drop("_lo", "_hi")
+
+
+def combine(signals: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted sum over strategies, missing counts as 0; weights(strategy, weight) are scaled to sum 1."""
+    w = ranks.with_group_stats(weights, [], _t=F.sum("weight"))
+    w = w.select("strategy", (c("weight") / F.nullif(c("_t"), F.lit(0.0))).alias("_w"))
+    out = signals.join(w, "strategy")
+    return out.groupBy("date", "symbol").agg(F.sum(F.coalesce("signal", F.lit(0.0)) * c("_w")).alias("signal"))
+
+
+def last_wins(signals: DataFrame, priority: DataFrame) -> DataFrame:
+    """Per date and symbol the signal of the strategy with the highest priority(strategy, priority)."""
+    out = signals.join(priority, "strategy")
+    return out.groupBy("date", "symbol").agg(F.max_by("signal", F.struct("priority", "strategy")).alias("signal"))
+
+
+def fit_weights(returns: DataFrame, target: DataFrame, method="equal", penalty: float | None = None, value="daily_return") -> DataFrame:
+    """(strategy, weight) by equal share, or by lasso / ridge with weights >= 0 scaled to 1.
+
+    The strategies and the target are aligned on common dates; what is solved is
+    their covariance matrix (one row per pair of strategies), by coordinate descent.
+    """
+    names = returns.select("strategy").distinct()
+    if method == "equal":
+        return ranks.with_group_stats(names, [], _n=F.count(F.lit(1))).select("strategy", (1 / c("_n")).alias("weight"))
+    from factorframe.operators.align import common_dates
+
+    alpha = {"lasso": 0.01, "ridge": 1.0}[method] if penalty is None else penalty
+    goal = "\u0000target"
+    t = target.select(F.lit(goal).alias("strategy"), "date", c(target.columns[-1]).alias(value))
+    both = common_dates(returns.select("strategy", "date", value).unionByName(t), "strategy")
+    pairs = covariances(both, value, "strategy").select("s1", "s2", (c("cov") * (c("n") - 1) / c("n")).alias("cov"), "n")
+
+    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
+        full = pd.concat([pdf, pdf.rename(columns={"s1": "s2", "s2": "s1"})]).drop_duplicates(["s1", "s2"])
+        m = full.pivot(index="s1", columns="s2", values="cov")
+        xs = [x for x in m.index if x != goal]
+        s, y, n = m.loc[xs, xs].to_numpy(), m.loc[xs, goal].to_numpy(), float(pdf["n"].max())
+        w = np.zeros(len(xs))
+        for _ in range(10_000):
+            old = w.copy()
+            for j in range(len(xs)):
+                rest = y[j] - s[j] @ w + s[j, j] * w[j]
+                rest, den = (rest - alpha, s[j, j]) if method == "lasso" else (rest, s[j, j] + alpha / n)
+                w[j] = max(rest, 0.0) / den if den > 0 else 0.0
+            if np.abs(w - old).max() < 1e-14:
+                break
+        return pd.DataFrame({"strategy": xs, "weight": w / w.sum() if w.sum() > 0 else w})
+
+    return pairs.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(descend, "strategy string, weight double")
+
+
+def combined_return(returns: DataFrame, weights: DataFrame, value="daily_return") -> DataFrame:
+    """G14."""
+    return returns.join(weights, "strategy").groupBy("date").agg(F.sum(c(value) * c("weight")).alias("combined_return"))
+
+
+def signal_records(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """BUY / SELL records with strength in [0, 1] and the last price at or before the date."""
+    hit = signals.where("signal <> 0")
+    priced = joins.asof(hit, bars.select("symbol", "date", "close"), ["symbol"], ["close"])
+    return priced.select("strategy", "date", "symbol", F.when(c("signal") > 0, "BUY").otherwise("SELL").alias("signal_type"),
+                         F.least(F.abs("signal"), F.lit(1.0)).alias("strength"), c("close").alias("price"))
+
+
+def signal_quality(signals: DataFrame) -> DataFrame:
+    """G16 per strategy: intensity, consistency and sign changes.
+
+    Grid = dates x symbols of the strategy; a symbol without a signal on a date counts as not positive.
+    """
+    per = signals.groupBy("strategy", "symbol").agg(F.avg(F.abs("signal")).alias("_i"), F.count("signal").alias("_n"))
+    size = signals.groupBy("strategy").agg(F.countDistinct("date").alias("_d"), F.countDistinct("symbol").alias("_s"))
+    a = per.groupBy("strategy").agg(F.avg("_i").alias("avg_signal_intensity"), F.max("_i").alias("max_signal_intensity"), F.sum("_n").alias("_n"))
+    # a change = a positive run starts or ends: compare every date with the strategy's next date
+    days = signals.select("strategy", "date").distinct()
+    days = days.select("strategy", "date", F.lead("date").over(ordered("strategy")).alias("_next"))
+    pos = signals.where("signal > 0").join(days, ["strategy", "date"])
+    here = pos.select("strategy", "symbol", "date", F.lit(1).alias("v"))
+    after = pos.where("_next is not null").select("strategy", "symbol", c("_next").alias("date"), F.lit(-1).alias("v"))
+    first = signals.groupBy("strategy").agg(F.min("date").alias("_first"))
+    flips = here.unionByName(after).groupBy("strategy", "symbol", "date").agg(F.sum("v").alias("v")).where("v <> 0")
+    flips = flips.join(first, "strategy").where(c("date") > c("_first")).groupBy("strategy").agg(F.count(F.lit(1)).alias("total_signal_changes"))
+    out = a.join(size, "strategy").join(flips, "strategy", "left").fillna(0, ["total_signal_changes"])
+    return out.select("strategy", "avg_signal_intensity", "max_signal_intensity", (c("_n") / (c("_d") * c("_s"))).alias("avg_signal_consistency"),
+                      (c("total_signal_changes") / F.nullif(c("_d") - 1, F.lit(0)) / c("_s")).alias("signal_frequency"), "total_signal_changes")
+
+
+def equal_target(returns: DataFrame, value="daily_return") -> DataFrame:
+    """G17."""
+    return returns.groupBy("date").agg(F.avg(value).alias("target_return"))
