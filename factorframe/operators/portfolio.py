@@ -64,46 +64,40 @@ def proportional_in_box(selected: DataFrame, by=DAY, threshold=1e-6) -> DataFram
     return out.select(*by, "box", "symbol", weight.alias("weight"))
 
 
-def _capped_simplex(v: np.ndarray, total: float, cap: float) -> np.ndarray:
-    """Closest point with sum ``total`` and 0 <= w <= cap, by bisection on the shift."""
-    cap = max(cap, total / len(v))
-    lo, hi = v.min() - cap - total, v.max()
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > total else (lo, mid)
-    return np.clip(v - (lo + hi) / 2, 0, cap)
-
-
-def _mean_variance(mu, cov, risk_aversion, total, cap, limits, steps=500) -> np.ndarray:
-    """max mu.w - risk_aversion / 2 * w.cov.w over the capped simplex and group limits (mask, limit)."""
-    step = 1 / max(risk_aversion * float(np.linalg.norm(cov, 2)), 1e-12)
-    step = min(step, 10.0)
-
-    def project(v):
-        if not limits:
-            return _capped_simplex(v, total, cap)
-        w, ps = v.copy(), [np.zeros_like(v) for _ in range(len(limits) + 1)]
-        for _ in range(200):  # alternating projections with corrections
-            start = w.copy()
-            for i, (mask, limit) in enumerate(limits):
-                z = w + ps[i]
-                w = z - mask * max(0.0, (z[mask > 0].sum() - limit) / mask.sum())
-                ps[i] = z - w
-            z = w + ps[-1]
-            w = _capped_simplex(z, total, cap)
-            ps[-1] = z - w
-            if np.abs(w - start).max() < 1e-12:
-                break
-        return w
-
-    w = project(np.full(len(mu), total / len(mu)))
-    momentum, prev = w.copy(), w.copy()
-    for k in range(steps):
-        w = project(momentum + step * (mu - risk_aversion * cov @ momentum))
-        momentum = w + k / (k + 3) * (w - prev)
-        if np.abs(w - prev).max() < 1e-12 and k > 5:
+def _exchange(mu, q, w, cap):
+    """max mu.w - w.q.w / 2 with the sum of w kept and 0 <= w <= cap: move weight between the two names that gain most."""
+    g = mu - q @ w
+    for _ in range(200 * len(w)):
+        i = int(np.argmax(np.where(w < cap - 1e-12, g, -np.inf)))
+        j = int(np.argmin(np.where(w > 1e-12, g, np.inf)))
+        gain = g[i] - g[j]
+        if not gain > 1e-10:
+            break
+        curve = q[i, i] + q[j, j] - 2 * q[i, j]
+        d = min(cap - w[i], w[j], gain / curve if curve > 1e-15 else np.inf)
+        w[i] += d
+        w[j] -= d
+        g -= d * (q[:, i] - q[:, j])
+    return w
+
+
+def _mean_variance(mu, cov, risk_aversion, total, cap, limits) -> np.ndarray:
+    """Mean-variance weights; group limits (mask, limit) enter as penalties with multipliers and slack."""
+    n = len(mu)
+    cap = max(cap, total / n)
+    w, q = np.full(n, total / n), risk_aversion * cov
+    if not limits:
+        return _exchange(mu, q, w, cap)
+    m, lim = np.stack([x for x, _ in limits]), np.array([x for _, x in limits])
+    rho = max(1.0, float(np.abs(mu).max()))
+    slack, u = np.maximum(lim - m @ w, 0), np.zeros(len(lim))
+    for _ in range(500):
+        w = _exchange(mu - rho * m.T @ (slack - lim + u), q + rho * m.T @ m, w, cap)
+        slack = np.maximum(lim - m @ w - u, 0)
+        miss = m @ w + slack - lim
+        u += miss
+        if np.abs(miss).max() < 1e-9:
             break
-        prev = w.copy()
     return w
 
 
@@ -118,28 +112,39 @@ def mean_variance(selected: DataFrame, cov: DataFrame, by=DAY, group: str | None
     """
     keys = list(by) + ([group] if group else [])
     full = cov.select("s1", "s2", "cov").unionByName(cov.where("s1 <> s2").select(c("s2").alias("s1"), c("s1").alias("s2"), "cov"))
-    own = selected.select(*keys, "symbol")
-    need = own.join(full.withColumnRenamed("s1", "symbol"), "symbol").join(own.withColumnRenamed("symbol", "s2"), [*keys, "s2"], "left_semi")
+    # toDF gives each use of the selection its own columns, so that the self joins are unambiguous
+    own, partner = selected.select(*keys, "symbol").toDF(*keys, "symbol"), selected.select(*keys, "symbol").toDF(*keys, "s2")
+    need = own.join(full.withColumnRenamed("s1", "symbol"), "symbol").join(partner, [*keys, "s2"], "left_semi")
+    need = need.toDF(*need.columns)
     dims = sorted({d for d, _, _ in limits})
     total = c("target") if "target" in selected.columns else F.lit(1.0)
-    left = selected.select(*keys, "symbol", "signal", total.alias("_total"), *dims)
-    fields = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        if not len(names):
-            return pd.DataFrame({k: [] for k in [*keys, "symbol", "weight"]})
-        names = names.sort_values("symbol").reset_index(drop=True)
-        s = names["symbol"].tolist()
-        m = pairs.pivot(index="symbol", columns="s2", values="cov").reindex(index=s, columns=s).to_numpy(dtype=float) if len(pairs) else np.full((len(s), len(s)), np.nan)
-        diag = np.diagonal(m).copy()
-        m = np.nan_to_num(m)
-        np.fill_diagonal(m, np.where(np.isnan(diag), default_variance, diag))
-        rules = [((names[d] == v).to_numpy(dtype=float), lim) for d, v, lim in limits]
+    name = F.struct("symbol", F.coalesce("signal", F.lit(0.0)).alias("signal"), total.cast("double").alias("total"), *dims)
+    # one row per group: its few chosen names and their covariances as arrays
+    names = selected.groupBy(*keys).agg(F.array_sort(F.collect_list(name)).alias("_n"))
+    pairs = need.groupBy(*keys).agg(F.collect_list(F.struct("symbol", "s2", "cov")).alias("_p"))
+    rows = names.join(pairs.toDF(*pairs.columns), keys, "left").select(
+        *keys, *[c(f"_n.{x}").alias(f"_{x}") for x in ("symbol", "signal", "total", *dims)],
+        c("_p.symbol").alias("_s1"), c("_p.s2").alias("_s2"), c("_p.cov").alias("_cov"))
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def weigh(r) -> np.ndarray:
+        s = list(r["_symbol"])
+        at = {x: i for i, x in enumerate(s)}
+        m = np.diag(np.full(len(s), default_variance))
+        if r["_s1"] is not None:
+            for x, y, v in zip(r["_s1"], r["_s2"], r["_cov"]):
+                m[at[x], at[y]] = v
+        rules = [(np.array([float(x == v) for x in r[f"_{d}"]]), lim) for d, v, lim in limits]
         rules = [(mask, lim) for mask, lim in rules if mask.any()]
-        w = _mean_variance(names["signal"].fillna(0).to_numpy(dtype=float), m, risk_aversion, float(names["_total"].iloc[0]), cap, rules)
-        return names[keys].assign(symbol=s, weight=w)
+        return _mean_variance(np.asarray(r["_signal"], dtype=float), m, risk_aversion, float(r["_total"][0]), cap, rules)
+
+    def run(batches):
+        for pdf in batches:
+            out = [{**{k: r[k] for k in keys}, "symbol": x, "weight": w}
+                   for r in pdf.to_dict("records") for x, w in zip(r["_symbol"], weigh(r))]
+            yield pd.DataFrame(out, columns=[*keys, "symbol", "weight"])
 
-    return left.groupBy(*keys).cogroup(need.groupBy(*keys)).applyInPandas(run, f"{fields}, symbol string, weight double")
+    return rows.mapInPandas(run, f"{fields}, symbol string, weight double")
 
 
 def equal_weight(df: DataFrame, by=DAY) -> DataFrame:
