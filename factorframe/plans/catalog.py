@@ -28,6 +28,8 @@ def sql_over(tables: str, body: str) -> str:
     ctes = ", ".join(f"{n} AS ({SQL[n][1]})" for n in names)
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

@@ -1 +1,205 @@
-"""Queries."""
+"""Queries L1-L9; those named stream run the same operator as a Structured Streaming job over what is there."""
+
+from pyspark.sql import functions as F
+
+from factorframe import schemas
+from factorframe.plans.catalog import query
+from factorframe.streaming import ingest, monitor as l
+from factorframe.streaming.storage import work_path
+
+
+def _features(df, value="value"):
+    return df.withColumn("features", F.create_map(F.lit("value"), F.col(value), F.lit("hour"), F.hour("ts").cast("double"),
+                                                  F.lit("gap"), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 10 + 0.0)))
+
+
+def _events(p):
+    return p.table("events").select("event_id", "ts", F.col("event_type").alias("model_id"), "value")
+
+
+def _event_stream(p):
+    s = p.spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(p.dir)
+    return s.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model_id"), "value")
+
+
+LOG = "SELECT event_id, model_id, prediction FROM (SELECT event_id, event_type AS model_id, value AS prediction FROM events)"
+
+
+def _log(df):
+    return l.prediction_log(df).select("event_id", "model_id", F.col("value").alias("prediction"))
+
+
+@query("l01_prediction_log", "", LOG)
+def _(p):
+    return _log(_events(p))
+
+
+@query("l01_stream_prediction_log", "", LOG)
+def _(p):
+    return l.run_available(_log(_event_stream(p)))
+
+
+MATCH = "SELECT prediction_id, model_id, prediction, CASE WHEN actual_ts <= ts + INTERVAL 5 DAY THEN actual END AS actual FROM preds"
+
+
+@query("l02_with_actuals", "preds", MATCH)
+def _(p):
+    left = p.preds.select("prediction_id", "model_id", "ts", "prediction")
+    right = p.preds.where("actual is not null").select("prediction_id", "actual", "actual_ts")
+    return l.with_actuals(left, right, 5).select("prediction_id", "model_id", "prediction", "actual")
+
+
+@query("l02_stream_with_actuals", "preds", f"SELECT * FROM ({MATCH}) WHERE actual IS NOT NULL")
+def _(p):
+    path = work_path(p.spark, "feedback")
+    p.preds.select("prediction_id", "model_id", F.col("ts").cast("timestamp").alias("ts"), "prediction", "actual",
+                   F.col("actual_ts").cast("timestamp").alias("actual_ts")).write.parquet(path)
+    schema = p.spark.read.parquet(path).schema
+    read = lambda: p.spark.readStream.schema(schema).parquet(path)
+    left = read().select("prediction_id", "model_id", "ts", "prediction")
+    right = read().where("actual is not null").select("prediction_id", "actual", "actual_ts")
+    return l.run_available(l.with_actuals(left, right, 5, how="inner").select("prediction_id", "model_id", "prediction", "actual"))
+
+
+PERF = """(SELECT CAST(d AS DATE) AS start_day, model_id, count(*) AS predictions, count(actual) AS with_actual, avg(abs(p - actual)) AS mae, sqrt(avg(pow(p - actual, 2))) AS rmse, corr(p, actual) AS correlation,
+    avg(((p > 0) = (actual > 0))::INT) AS directional_accuracy, count(actual) / count(*) AS feedback_rate FROM
+    (SELECT *, CASE WHEN actual IS NOT NULL THEN prediction END AS p, unnest(generate_series(date_trunc('day', ts) - INTERVAL 29 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS d FROM preds) GROUP BY 1, 2)"""
+PDG = "mae:5 rmse:5 correlation:6 directional_accuracy:6 feedback_rate:6"
+
+
+def _perf(df):
+    out = l.window_performance(df)
+    return out.select(F.to_date("window_start").alias("start_day"), *[x for x in out.columns if not x.startswith("window_")])
+
+
+@query("l03_sliding_performance", "preds", f"SELECT * FROM {PERF}", PDG)
+def _(p):
+    return _perf(p.preds)
+
+
+def _pred_stream(p):
+    path = work_path(p.spark, "predictions")
+    p.preds.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    return p.spark.readStream.schema(p.spark.read.parquet(path).schema).parquet(path)
+
+
+@query("l03_stream_sliding_performance", "preds", f"SELECT * FROM {PERF}", PDG)
+def _(p):
+    return l.run_available(_perf(_pred_stream(p)), "complete")
+
+
+DAILY = "SELECT CAST(ts AS DATE) AS day, event_type AS model_id, count(*) AS predictions FROM events GROUP BY 1, 2"
+
+
+@query("l04_daily_counts", "", DAILY)
+def _(p):
+    return l.daily_counts(_events(p))
+
+
+@query("l04_stream_daily_counts", "", DAILY)
+def _(p):
+    return l.run_available(l.daily_counts(_event_stream(p)), "complete")
+
+
+FST = """WITH x AS (SELECT event_type AS model_id, CAST(epoch_us(ts) // 2592000000000 AS BIGINT) AS w, unnest(['value', 'hour', 'gap']) AS feature,
+      unnest([value, hour(ts), CASE WHEN event_id % 7 > 0 THEN event_id % 10 END]) AS v FROM events)
+    SELECT w, model_id, feature, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lowest, max(v) AS highest, avg((v IS NULL)::INT) AS missing_rate FROM x GROUP BY 1, 2, 3"""
+FDG = "mean:6 std:6 lowest:4 highest:4 missing_rate:6"
+
+
+def _fstats(df):
+    out = l.feature_statistics(_features(df))
+    w = F.floor(F.unix_timestamp(F.col("window_start").cast("timestamp")) / 2592000).alias("w")
+    return out.select(w, *[x for x in out.columns if x != "window_start"])
+
+
+@query("l05_feature_statistics", "", FST, FDG)
+def _(p):
+    return _fstats(_events(p))
+
+
+@query("l05_stream_feature_statistics", "", FST, FDG)
+def _(p):
+    return l.run_available(_fstats(_event_stream(p)), "complete")
+
+
+BASE = "(SELECT model_id, avg(abs(prediction - actual)) AS mae, corr(prediction, actual) AS correlation FROM preds WHERE actual IS NOT NULL AND ts < TIMESTAMP '2024-01-08' GROUP BY 1)"
+DEG = f"""SELECT start_day, model_id, metric, cur AS current, base AS baseline, change AS relative_change, change > 0.2 AS degraded FROM
+    (SELECT p.start_day, p.model_id, 'mae' AS metric, p.mae AS cur, b.mae AS base, (p.mae - b.mae) / b.mae AS change FROM {PERF} p JOIN {BASE} b ON p.model_id = b.model_id
+     UNION ALL SELECT p.start_day, p.model_id, 'correlation', p.correlation, b.correlation, abs(p.correlation - b.correlation) / abs(b.correlation) FROM {PERF} p JOIN {BASE} b ON p.model_id = b.model_id)"""
+
+
+def _baseline(p):
+    ok = p.preds.where("actual is not null and ts < timestamp_ntz '2024-01-08'")
+    wide = ok.groupBy("model_id").agg(F.avg(F.abs(F.col("prediction") - F.col("actual"))).alias("mae"), F.corr("prediction", "actual").alias("correlation"))
+    return wide.unpivot(["model_id"], ["mae", "correlation"], "metric", "baseline")
+
+
+@query("l06_degradation", "preds", DEG, "current:5 baseline:5 relative_change:5")
+def _(p):
+    out = l.degradation(l.window_performance(p.preds), _baseline(p), ["mae", "correlation"])
+    return out.select(F.to_date("window_start").alias("start_day"), "model_id", "metric", "current", "baseline", "relative_change", "degraded")
+
+
+REFCUR = "(SELECT event_type AS feature, value, CAST(ts AS DATE) <= DATE '2024-01-15' AS ref FROM events)"
+
+
+@query("l07_drift", "", f"""WITH x AS (SELECT * FROM {REFCUR}), v AS (SELECT feature, value, sum(ref::INT) AS a, sum((NOT ref)::INT) AS b FROM x GROUP BY 1, 2),
+    k AS (SELECT feature, max(abs(ca / na - cb / nb)) AS ks_statistic, CAST(max(na) AS BIGINT) AS n_reference, CAST(max(nb) AS BIGINT) AS n_current FROM
+      (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY feature) AS na, sum(b) OVER (PARTITION BY feature) AS nb FROM v WINDOW w AS (PARTITION BY feature ORDER BY value)) GROUP BY 1),
+    s AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM x WHERE ref GROUP BY 1),
+    g AS (SELECT s.feature, i AS bin, count(*) FILTER (ref) AS a, count(*) FILTER (NOT ref) AS b FROM s CROSS JOIN (SELECT unnest(range(10)) AS i)
+      LEFT JOIN x ON x.feature = s.feature AND value BETWEEN lo AND hi AND greatest(ceil(round((value - lo) / ((hi - lo) / 10), 9)) - 1, 0) = i GROUP BY 1, 2),
+    h AS (SELECT feature, CASE WHEN a > 0 THEN a / sum(a) OVER (PARTITION BY feature) ELSE 0.0001 END AS ra, CASE WHEN b > 0 THEN b / sum(b) OVER (PARTITION BY feature) ELSE 0.0001 END AS rb, a FROM
+      (SELECT feature, bin, CASE WHEN a + b = 0 THEN 0 ELSE a END AS a, CASE WHEN a + b = 0 THEN 0 ELSE b END AS b FROM
+        (SELECT s.feature, r.i AS bin, (SELECT count(*) FROM x WHERE x.feature = s.feature AND ref AND greatest(ceil(round((value - lo) / ((hi - lo) / 10), 9)) - 1, 0) = r.i AND value BETWEEN lo AND hi) AS a,
+          (SELECT count(*) FROM x WHERE x.feature = s.feature AND NOT ref AND greatest(ceil(round((value - lo) / ((hi - lo) / 10), 9)) - 1, 0) = r.i AND value BETWEEN lo AND hi) AS b FROM s, (SELECT unnest(range(10)) AS i) r)))
+    SELECT feature, ks_statistic, n_reference, n_current, psi FROM k JOIN (SELECT feature, sum((rb - ra) * ln(rb / ra)) AS psi FROM h GROUP BY 1) USING (feature)""",
+       "ks_statistic:7 psi:6")
+def _(p):
+    e = p.table("events").select(F.col("event_type").alias("feature"), "value", (F.to_date("ts") <= F.lit("2024-01-15").cast("date")).alias("ref"))
+    return l.drift(e.where("ref"), e.where("not ref")).drop("ks_pvalue", "drift_detected")
+
+
+@query("l07_drift_verdict")
+def _(p):
+    e = p.table("events").select(F.col("event_type").alias("feature"), "value", F.to_date("ts").alias("d"))
+    return l.drift(e.where("d <= '2024-01-15'"), e.where("d > '2024-01-15'"))
+
+
+HEALTH = """SELECT model_id, day, issues, status, coalesce(status <> lag(status) OVER (PARTITION BY model_id ORDER BY day), false) AS changed FROM
+    (SELECT model_id, day, issues, CASE WHEN issues = 0 THEN 'healthy' WHEN issues <= 3 THEN 'warning' ELSE 'critical' END AS status FROM
+     (SELECT g.model_id, g.day, CAST((n IS NULL)::INT + coalesce((k / n < 0.1)::INT, 0) AS INTEGER) AS issues FROM
+      (SELECT model_id, day FROM (SELECT DISTINCT user_id AS model_id FROM e), (SELECT DISTINCT CAST(ts AS DATE) AS day FROM e)) g
+      LEFT JOIN (SELECT user_id AS model_id, CAST(ts AS DATE) AS day, count(*) AS n, count(CASE WHEN value > 20 THEN value END) AS k FROM e GROUP BY 1, 2) d ON g.model_id = d.model_id AND g.day = d.day))"""
+
+
+def _user_log(p):
+    return p.table("events").select(F.col("user_id").alias("model_id"), "ts", F.when(F.col("value") > 20, F.col("value")).alias("actual"))
+
+
+@query("l08_daily_health", "", HEALTH.replace(" FROM e", " FROM events"))
+def _(p):
+    return l.daily_health(_user_log(p))
+
+
+@query("l08_stream_status_changes", "", "SELECT model_id, day, status FROM (" + HEALTH.replace(" FROM e", " FROM events") + ") WHERE changed")
+def _(p):
+    path = work_path(p.spark, "checks")
+    h = l.daily_health(_user_log(p)).select(F.col("model_id").cast("string").alias("model_id"), F.col("day").cast("timestamp").alias("ts"), "status")
+    h.write.parquet(path)
+    s = p.spark.readStream.schema(p.spark.read.parquet(path).schema).parquet(path)
+    out = l.run_available(l.status_changes(s))
+    return out.select(F.col("model_id").cast("long").alias("model_id"), F.to_date("ts").alias("day"), F.col("new_status").alias("status"))
+
+
+@query("l09_stream_ingest", "bars", "SELECT symbol, date, close * CASE WHEN volume > 50 THEN 2 ELSE 1 END AS close, volume FROM bars", "close:3")
+def _(p):
+    source, store = work_path(p.spark, "incoming"), work_path(p.spark, "store")
+    stamp = lambda n: F.lit(n).cast("long").alias("load_ts")
+    a = p.bars.select("symbol", "date", "close", "volume", stamp(1))
+    b = p.bars.where("volume > 50").select("symbol", "date", (2 * F.col("close")).alias("close"), "volume", stamp(2))
+    a.unionByName(b).write.parquet(source)
+    s = p.spark.readStream.schema(p.spark.read.parquet(source).schema).option("maxFilesPerTrigger", "16").parquet(source)
+    ingest.ingest(s, store).awaitTermination()
+    return p.spark.read.parquet(store).select("symbol", "date", "close", "volume")
