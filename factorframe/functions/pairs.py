@@ -47,7 +47,7 @@ def pair_moments(df: DataFrame, value: str, key="symbol", order="date", per_bloc
         a = _matrix(pdf, i)
         b = a if i == j else _matrix(pdf, j)
         days = a.index.intersection(b.index)
-        out = {"s1": [], "s2": []} | {m: [] for m in MOMENTS}
+        out = {k: np.array([], dtype=object) for k in ("s1", "s2")} | {m: np.array([], dtype=float) for m in MOMENTS}
         if len(days):
             xa, xb = a.loc[days].to_numpy(), b.loc[days].to_numpy()
             ma, mb = ~np.isnan(xa), ~np.isnan(xb)
@@ -59,7 +59,7 @@ def pair_moments(df: DataFrame, value: str, key="symbol", order="date", per_bloc
                 keep = na[r] <= nb[s]
                 r, s = r[keep], s[keep]
             swap = na[r] > nb[s]
-            out["s1"], out["s2"] = np.where(swap, nb[s], na[r]), np.where(swap, na[r], nb[s])
+            out["s1"], out["s2"] = np.where(swap, nb[s], na[r]).astype(object), np.where(swap, na[r], nb[s]).astype(object)
             for name, (m, t) in zip(MOMENTS, [(0, 0), (1, 2), (2, 1), (3, 4), (4, 3), (5, 5), (6, 6)]):
                 out[name] = np.where(swap, full[t][r, s], full[m][r, s])
         return pd.DataFrame(out)
@@ -144,6 +144,7 @@ def rank_correlations(df: DataFrame, value: str, method: str, key="symbol", orde
                 ok = ~np.isnan(xa[:, p]) & ~np.isnan(xb[:, q])
                 if ok.sum() >= 2:
                     rows.append((min(s, t), max(s, t), int(ok.sum()), how(xa[ok, p], xb[ok, q])))
-        return pd.DataFrame(rows, columns=["s1", "s2", "n", "corr"])
+        out = pd.DataFrame(rows, columns=["s1", "s2", "n", "corr"])
+        return out.astype({"s1": object, "s2": object, "n": "int64", "corr": "float64"})
 
     return dealt.groupBy("_i", "_j").applyInPandas(run, "s1 string, s2 string, n long, corr double")

@@ -19,7 +19,7 @@ DAY0 = dt.date(2020, 1, 1)
 
 
 def bars(spark, closes: dict[str, list[float]]):
-    rows = [(s, DAY0 + dt.timedelta(i), x, x, x, x, 100.0) for s, xs in closes.items() for i, x in enumerate(xs)]
+    rows = [(s, DAY0 + dt.timedelta(i), *[float(x)] * 4, 100.0) for s, xs in closes.items() for i, x in enumerate(xs)]
     return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
 
 
