@@ -152,12 +152,14 @@ def _running_min_from_above(df: DataFrame, size=4096) -> DataFrame:
 
 
 def predict_cross_section(panel: DataFrame, statistics: DataFrame, features: list[str], name="prediction") -> DataFrame:
-    """Mean gammas applied to features; a missing feature counts as 0.  The coefficient table is one row."""
+    """Mean gammas applied to features; a missing feature counts as 0, without gammas there is no prediction.
+
+    The coefficient table is one row.
+    """
     cols = ["intercept"] + features
     wide = statistics.agg(*[F.max(F.when(c("feature") == x, c("mean"))).alias(f"_g_{x}") for x in cols]).withColumn("_k", F.lit(0))
     out = panel.withColumn("_k", F.lit(0)).join(F.broadcast(wide), "_k")
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    value = zero(c("_g_intercept")) + sum((zero(c(f"_g_{x}")) * zero(c(x)) for x in features), F.lit(0.0))
+    value = c("_g_intercept") + sum((c(f"_g_{x}") * F.coalesce(c(x), F.lit(0.0)) for x in features), F.lit(0.0))
     return out.withColumn(name, value).drop("_k", *[f"_g_{x}" for x in cols])
 
 

@@ -178,22 +178,26 @@ def panel_summary(df: DataFrame) -> DataFrame:
                       (c("n_rows") / c("dates")).alias("avg_per_date"))
 
 
-def outliers(df: DataFrame, col: str, method="iqr", threshold=1.5, by=(), name="is_outlier") -> DataFrame:
-    """Q16: iqr, zscore or modified_zscore; groups of any size (default: the whole column)."""
-    from factorframe.operators.transforms import _attach, with_mad
+def outliers(df: DataFrame, col: str, method="iqr", threshold=1.5, by=(), name="is_outlier", base: DataFrame | None = None) -> DataFrame:
+    """Q16: iqr, zscore or modified_zscore; groups of any size (default: the whole column).
 
-    by = list(by)
+    ``base`` is the frame to take the bounds from (default df): when several flags are
+    added one after the other, pass the first frame so that its plan is not nested.
+    """
+    from factorframe.operators.transforms import _attach, mad_table
+
+    by, src = list(by), df if base is None else base
     if method == "iqr":
-        q = ranks.quantiles(df, by, col, {"_q1": 0.25, "_q3": 0.75}, by in (["symbol"], ["strategy"]))
+        q = ranks.quantiles(src, by, col, {"_q1": 0.25, "_q3": 0.75}, by in (["symbol"], ["strategy"]))
         out = _attach(df, q, by)
         width = (c("_q3") - c("_q1")) * threshold
         flag = (c(col) < c("_q1") - width) | (c(col) > c("_q3") + width)
         return out.withColumn(name, flag).drop("_q1", "_q3")
     if method == "zscore":
-        out = ranks.with_group_stats(df, by, _a=F.avg(col), _s=F.stddev_samp(col))
+        out = _attach(df, src.groupBy(*by).agg(F.avg(col).alias("_a"), F.stddev_samp(col).alias("_s")), by)
         return out.withColumn(name, F.abs(ratio(c(col) - c("_a"), "_s")) > threshold).drop("_a", "_s")
     if method == "modified_zscore":
-        out = with_mad(df, col, by)
+        out = _attach(df, mad_table(src, col, by), by)
         return out.withColumn(name, F.abs(ratio(0.6745 * (c(col) - c("_med")), "_mad")) > threshold).drop("_med", "_mad")
     raise ValueError(f"unknown method {method!r}")
 

@@ -32,18 +32,17 @@ def normalize(df: DataFrame, col: str, method: str, by=("symbol",), name="normal
         out = ranks.with_group_stats(df, by, _a=F.min(col), _s=F.max(col))
         return out.withColumn(name, ratio(c(col) - c("_a"), c("_s") - c("_a"))).drop("_a", "_s")
     if method == "robust":
-        out = with_mad(df, col, by)
+        out = _attach(df, mad_table(df, col, by), by)
         return out.withColumn(name, ratio(c(col) - c("_med"), "_mad")).drop("_med", "_mad")
     raise ValueError(f"unknown method {method!r}")
 
 
-def with_mad(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """Adds the group's median ``_med`` and median absolute deviation ``_mad``."""
+def mad_table(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """Median ``_med`` and median absolute deviation ``_mad`` per group."""
     bound = by in (["symbol"], ["strategy"])  # at most a calendar of rows each
     med = ranks.quantiles(df, by, col, {"_med": 0.5}, bound)
-    out = _attach(df, med, by)
-    mad = ranks.quantiles(out.withColumn("_dev", F.abs(c(col) - c("_med"))), by, "_dev", {"_mad": 0.5}, bound)
-    return _attach(out, mad, by)
+    dev = _attach(df.select(*by, col), med, by).withColumn("_dev", F.abs(c(col) - c("_med")))
+    return _attach(med, ranks.quantiles(dev, by, "_dev", {"_mad": 0.5}, bound), by)
 
 
 def _attach(df, table, by):
@@ -118,11 +117,11 @@ def scale(long: DataFrame, scaler: DataFrame) -> DataFrame:
     return out.withColumn("scaled", (c("value") - c("mean")) / by).drop("mean", "std")
 
 
-def resample(df: DataFrame, unit: str, cols: list[str], method: str, keys=("symbol",), order="date") -> DataFrame:
-    """Last, first, mean or sum per calendar unit (week, month, quarter, year)."""
+def resample(df: DataFrame, unit: str, outputs: dict[str, tuple[str, str]], keys=("symbol",), order="date") -> DataFrame:
+    """Per calendar unit (week, month, quarter, year), ``outputs = {name: (last | first | mean | sum, column)}``."""
     pick = {"last": lambda x: F.max_by(x, order), "first": lambda x: F.min_by(x, order), "mean": F.avg, "sum": F.sum}
     bucket = F.to_date(F.date_trunc(unit, c(order)))
-    return df.groupBy(*keys, bucket.alias("period")).agg(*[pick[method](x).alias(x) for x in cols])
+    return df.groupBy(*keys, bucket.alias("period")).agg(*[pick[how](x).alias(name) for name, (how, x) in outputs.items()])
 
 
 def lags(df: DataFrame, cols: list[str], ks: list[int]) -> DataFrame:

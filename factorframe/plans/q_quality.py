@@ -149,9 +149,9 @@ def _(p):
      median(close) AS med, mad(close) AS md FROM bars)""")
 def _(p):
     df = p.bars.select("symbol", "date", "close")
-    df = q.outliers(df, "close", "iqr", 1.5, name="iqr")
-    df = q.outliers(df, "close", "zscore", 3.0, name="zscore")
-    return q.outliers(df, "close", "modified_zscore", 3.5, name="modified").drop("close")
+    out = q.outliers(df, "close", "iqr", 1.5, name="iqr", base=df)
+    out = q.outliers(out, "close", "zscore", 3.0, name="zscore", base=df)
+    return q.outliers(out, "close", "modified_zscore", 3.5, name="modified", base=df).drop("close")
 
 
 @query("q17_clean", "bars", """, a AS (SELECT quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.75) AS q3 FROM bars),

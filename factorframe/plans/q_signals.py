@@ -61,10 +61,10 @@ def _(p):
     return g.transform(s, "rank", ["strategy", "date"]).drop("alpha")
 
 
-@query("g04_zscore_transform", "signals", """SELECT strategy, date, symbol, CASE WHEN stddev_pop(signal) OVER w > 0 THEN (tanh((signal - avg(signal) OVER w) / stddev_pop(signal) OVER w) + 1) / 2 ELSE 0 END AS signal
-    FROM signals WINDOW w AS (PARTITION BY strategy, date)""", "signal:6")
+@query("g04_zscore_transform", "signals", f"""SELECT strategy, date, symbol, CASE WHEN stddev_pop(signal) OVER w > 0 THEN (tanh((signal - avg(signal) OVER w) / stddev_pop(signal) OVER w) + 1) / 2 ELSE 0 END AS signal
+    FROM {SR} WINDOW w AS (PARTITION BY strategy, date)""", "signal:6")
 def _(p):
-    s = p.signals.withColumnRenamed("signal", "alpha")
+    s = _signals(p).withColumnRenamed("signal", "alpha")
     return g.transform(s, "zscore", ["strategy", "date"]).drop("alpha")
 
 
@@ -95,11 +95,11 @@ def _(p):
     return p.weights
 
 
-GAP = "(SELECT strategy, date, symbol, CASE WHEN abs(signal) > 0.05 THEN signal END AS signal FROM signals)"
+GAP = f"(SELECT strategy, date, symbol, CASE WHEN abs(signal) > 0.05 THEN signal END AS signal FROM {SR})"
 
 
 def _gappy(p):
-    return p.signals.withColumn("signal", F.when(F.abs("signal") > 0.05, F.col("signal")))
+    return _signals(p).withColumn("signal", F.when(F.abs("signal") > 0.05, F.col("signal")))
 
 
 @query("g08_clipped_zscore", "signals", f"""SELECT strategy, date, symbol, CASE WHEN signal IS NOT NULL AND stddev_samp(signal) OVER w > 0

@@ -31,7 +31,7 @@ def _(p):
     return df.drop("close")
 
 
-GAPS = """(SELECT *, CASE WHEN close > open THEN close END AS g,
+GAPS = """(SELECT *, CASE WHEN CAST(volume AS BIGINT) % 3 > 0 THEN close END AS g,
            row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars)"""
 
 
@@ -43,7 +43,7 @@ GAPS = """(SELECT *, CASE WHEN close > open THEN close END AS g,
       FROM {GAPS} WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
        "ffill:3 bfill:3 linear:3")
 def _(p):
-    df = p.bars.select(*KEYS, F.when(F.col("close") > F.col("open"), F.col("close")).alias("g"))
+    df = p.bars.select(*KEYS, F.when(F.col("volume").cast("long") % 3 > 0, F.col("close")).alias("g"))
     df = x.fill(df, "g", "forward_fill", name="ffill")
     df = x.fill(df, "g", "backward_fill", name="bfill")
     return x.fill(df, "g", "interpolate", name="linear").drop("g")
@@ -55,7 +55,7 @@ def _(p):
     FROM (SELECT *, {chg('close', 5)} AS m FROM {GAPS})
     WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""", "g:3 m:6")
 def _(p):
-    df = p.bars.select(*KEYS, F.when(F.col("close") > F.col("open"), F.col("close")).alias("g"),
+    df = p.bars.select(*KEYS, F.when(F.col("volume").cast("long") % 3 > 0, F.col("close")).alias("g"),
                        x.change("close", 5).alias("m"), F.lit(None).cast("double").alias("empty"))
     return x.null_policy(df, ["g", "m", "empty"], x.fit_medians(df, ["g", "m"]))
 
@@ -74,12 +74,8 @@ for unit in ("week", "month", "quarter"):
         arg_max(close, date) AS last_close, arg_min(close, date) AS first_close, avg(close) AS mean_close, sum(volume) AS sum_volume
         FROM bars GROUP BY 1, 2""", "last_close:3 first_close:3 mean_close:3")
     def _(p, unit=unit):
-        parts = [x.resample(p.bars, unit, [col], how).withColumnRenamed(col, f"{how}_{col}")
-                 for how, col in (("last", "close"), ("first", "close"), ("mean", "close"), ("sum", "volume"))]
-        out = parts[0]
-        for q in parts[1:]:
-            out = out.join(q, ["symbol", "period"])
-        return out
+        return x.resample(p.bars, unit, {"last_close": ("last", "close"), "first_close": ("first", "close"),
+                                         "mean_close": ("mean", "close"), "sum_volume": ("sum", "volume")})
 
 
 @query("p08_lags", "bars", f"SELECT symbol, date, {lag('close', 1)} AS close_lag_1, {lag('close', 5)} AS close_lag_5, "
@@ -215,7 +211,7 @@ def _(p):
        .replace("FROM mo a JOIN mo b", """FROM (SELECT strategy, date_trunc('month', date) AS m, round(avg(daily_return), 12) AS v FROM strat GROUP BY 1, 2) a
           JOIN (SELECT strategy, date_trunc('month', date) AS m, round(avg(daily_return), 12) AS v FROM strat GROUP BY 1, 2) b"""), "corr:6")
 def _(p):
-    monthly = x.resample(p.strat, "month", ["daily_return"], "mean", keys=["strategy"])
+    monthly = x.resample(p.strat, "month", {"daily_return": ("mean", "daily_return")}, keys=["strategy"])
     monthly = monthly.withColumn("daily_return", F.round("daily_return", 12))
     return x.correlation(monthly, "daily_return", "kendall", key="strategy", order="period")
 

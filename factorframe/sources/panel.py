@@ -41,10 +41,15 @@ class Panel:
 
     @cached_property
     def bars(self) -> DataFrame:
-        seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-        return self.fills.groupBy("symbol", "date").agg(
-            F.min_by("px", seq).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-            F.max_by("px", seq).alias("close"), F.sum("l_quantity").alias("volume"),
+        """Order within a day: order key, line number, part key, packed into one long.
+
+        A long keeps min_by / max_by in hash aggregation (a struct key would sort every
+        raw row); order keys up to 10^12 fit, larger ones raise an overflow error.
+        """
+        seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2**20 + F.col("l_partkey") % 2**20
+        return self.fills.withColumn("seq", seq).groupBy("symbol", "date").agg(
+            F.min_by("px", "seq").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
+            F.max_by("px", "seq").alias("close"), F.sum("l_quantity").alias("volume"),
         )
 
     @cached_property
