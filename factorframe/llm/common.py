@@ -47,6 +47,23 @@ def with_list(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFra
     return df.join(F.broadcast(ids) if small else ids, on, how)
 
 
+def repeated(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` by a stored decision (doc_id, text_hash, rows, times): ``times`` copies of the ``rows`` equal ones.
+    text_hash is ``xxhash64(text)``."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+
+    def joined(part: DataFrame) -> DataFrame:
+        part = part.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("times").alias("_times"))
+        part = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
+        return keyed.join(part, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+
+    out = joined(counts.where("rows = 1 and times > 0"))
+    many = counts.where("rows > 1 and times > 0")
+    if not many.isEmpty():  # equal rows cannot be told apart: keep one of them, then count it out
+        out = out.unionByName(joined(many).dropDuplicates(["_id", "_h"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ordered(df: DataFrame, keys: list[Column]) -> DataFrame:
     """``df`` dealt by range of ``keys`` and stored with its part in ``_part``; no key value is bound to one task if the
     last key tells rows apart."""

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorframe.llm.common import mix, pieces, shingle_hashes, stored, with_list, word_hashes, word_spans
+from factorframe.llm.common import mix, pieces, repeated, shingle_hashes, stored, with_list, word_hashes, word_spans
 
 #: Ratio of the largest and the smallest set of a band.
 BAND = 1.5
@@ -275,16 +275,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each component: the one with the smallest doc_id; of rows
-    repeated with their id and text one stays.  Rows without shingles or doc_id all stay."""
-    found = stored(jaccard_components(docs, words, percent).where("n_shingles > 0 and doc_id is not null"))
-    found = found.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
-    gone = stored(found.where("doc_id <> component_id").select("doc_id", "text_hash"))
-    more = stored(found.where("doc_id = component_id and times > 1").select("doc_id", "text_hash"))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    name = lambda x: x.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rest = with_list(with_list(keyed, name(gone), ["_id", "_hash"], "left_anti"), name(more), ["_id", "_hash"], "left_anti")
-    if more.isEmpty():
-        return rest.select(*docs.columns)
-    again = with_list(keyed, name(more), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-    return rest.unionByName(again).select(*docs.columns)
+    """The rows of ``docs`` with one document of each component: the one with the smallest doc_id; of rows repeated with
+    their id and text one stays.  Rows without shingles or doc_id all stay."""
+    found = jaccard_components(docs, words, percent)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    counts = found.groupBy("doc_id", "text_hash").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.when(alone, F.lit(2)).when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0)).alias("kind"))
+    return repeated(docs, stored(counts.select("doc_id", "text_hash", "rows", F.when(F.col("kind") == 2, F.col("rows")).otherwise(
+        F.col("kind").cast("long")).alias("times"))))
