@@ -50,18 +50,18 @@ def with_list(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFra
 def repeated(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows of ``docs`` by a stored decision (doc_id, text_hash, rows, times): ``times`` copies of the ``rows`` equal ones.
     text_hash is ``xxhash64(text)``."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    keyed = docs.withColumn("__llm_hash", F.xxhash64("text"))
 
     def joined(part: DataFrame) -> DataFrame:
-        part = part.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("times").alias("_times"))
+        part = part.select(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_h"), F.col("times").alias("__llm_times"))
         part = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
-        return keyed.join(part, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+        return keyed.join(part, F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_hash") == F.col("__llm_h")))
 
     out = joined(counts.where("rows = 1 and times > 0"))
     many = counts.where("rows > 1 and times > 0")
     if not many.isEmpty():  # equal rows cannot be told apart: keep one of them, then count it out
-        out = out.unionByName(joined(many).dropDuplicates(["_id", "_h"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.unionByName(joined(many).dropDuplicates(["__llm_id", "__llm_h"]))
+    return out.withColumn("__llm_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__llm_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ordered(df: DataFrame, keys: list[Column]) -> DataFrame:
@@ -135,9 +135,9 @@ def pieces(column, limit: int = 2_000_000):
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; ``breaks``: the bytes that end words (ASCII white space)."""
+    inside = ~(_SPACE if breaks is None else breaks)[data]
     if not inside.any():
         return (np.zeros(0, np.int64),) * 3
     fresh = inside.copy()

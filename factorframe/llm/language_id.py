@@ -135,6 +135,23 @@ def infer(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray, turns: int =
     return chosen, share
 
 
+def _judged(column, langs: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray, list[str]]:
+    """Language, score and chosen set of each text of an Arrow column."""
+    n = len(column)
+    names, scores, sets = ["und"] * n, np.zeros(n), [""] * n
+    for at, data, offsets in pieces(column) if langs else ():
+        code, starts, rows = grams(data, offsets)
+        if not len(starts):
+            continue
+        words = np.add.reduceat(model[code], starts, axis=0)
+        own, first, sizes = np.unique(rows, return_index=True, return_counts=True)
+        chosen, share = infer(words, first, sizes)
+        for row, c, s in zip(own, chosen, share):
+            names[at + row], scores[at + row] = langs[int(s.argmax())], min(1.0, float(s.max()))
+            sets[at + row] = " ".join(x for x, y in zip(langs, c) if y)
+    return names, scores, sets
+
+
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages (the chosen set) from rows (doc_id, held_out, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -143,25 +160,34 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            names, scores, sets = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [""] * batch.num_rows
-            for at, data, offsets in pieces(batch.column("text")) if langs else ():
-                code, starts, rows = grams(data, offsets)
-                if not len(starts):
-                    continue
-                words = np.add.reduceat(sent.value[code], starts, axis=0)
-                own, first, sizes = np.unique(rows, return_index=True, return_counts=True)
-                chosen, share = infer(words, first, sizes)
-                for row, c, s in zip(own, chosen, share):
-                    names[at + row], scores[at + row] = langs[int(s.argmax())], min(1.0, float(s.max()))
-                    sets[at + row] = " ".join(x for x, y in zip(langs, c) if y)
+            names, scores, sets = _judged(batch.column("text"), langs, sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())],
                                              names=["doc_id", "held_out", "lang_pred", "score", "languages"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages string")
 
 
+def _learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    known = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("lang").isNotNull()
+    return learn(docs.where(known & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang")))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages for each row of ``docs`` (doc_id, text, lang)."""
-    known = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("lang").isNotNull()
-    langs, model = learn(docs.where(known & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang")))
+    langs, model = _learned(docs)
     return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), langs, model)
+
+
+def in_a_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a main language: texts without one (``und``, or no language with a share of ``least``) go."""
+    langs, model = _learned(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names, scores, _ = _judged(batch.column("text"), langs, sent.value)
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
