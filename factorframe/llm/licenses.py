@@ -150,6 +150,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
                     own = own[uses[k][place[own]]]
                     t = wanted[k]
                     low, high = stretch(words, own, len(t) + len(t) // 2 + 8)
+                    low, high = max(begin[row], low - len(t) // 2), min(begin[row + 1], high + len(t) // 2)
                     got = patience(words[low:high].tolist(), t)
                     if len(got) >= enough[k]:
                         out.append((ids[at + row], names[k], len(got) / len(t), int(low - begin[row] + got[0][0]), int(low - begin[row] + got[-1][0])))
