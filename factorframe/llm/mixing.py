@@ -34,7 +34,7 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     budget, weights = float(whole["n"] or 0), float(whole["w"] or 0)
     order = [F.col("ratio"), F.col("place")]
     dealt = running(running(dealt, [], order, F.col("ceiling"), "caps"), [], order, F.col("weight"), "weighed")
-    level = (budget - (F.col("caps") - F.col("ceiling"))) / (weights - (F.col("weighed") - F.col("weight")))
+    level = F.try_divide(budget - (F.col("caps") - F.col("ceiling")), weights - (F.col("weighed") - F.col("weight")))
     dealt = stored(dealt.withColumn("capped", F.col("ratio") <= level))
     used = dealt.where("capped").agg(F.sum("ceiling").alias("c"), F.sum("weight").alias("w")).first()
     left = weights - float(used["w"] or 0)
@@ -53,13 +53,13 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3) -> DataFrame:
         "doc_id", "text_hash", "size", "place", "source_size", "target", F.xxhash64("doc_id", F.lit(seed)).alias("turn"))
     order = [F.col(c) for c in ("turn", "doc_id", "size", "text_hash")]
     queue = running(ordered(thin, [F.col("place"), *order]), ["place"], order, F.col("size"), "done")
-    again = F.least(F.lit(most - 1), F.floor(F.col("target") / F.col("source_size"))).cast("int")
+    again = F.least(F.lit(most - 1), F.floor(F.try_divide("target", "source_size"))).cast("int")
     queue = stored(queue.withColumn("again", F.when((F.col("size") > 0) & (F.col("target") > 0), again).otherwise(F.lit(-1))))
 
     work = lambda turn: turn * F.col("source_size") + F.col("done")
     copies = queue.where("again >= 0").select("size", "place", "target", "source_size", "done", F.explode(F.sequence(F.lit(0), F.col("again"))).alias("turn"))
     copies = copies.select("size", "place", work(F.col("turn").cast("long")).alias("work"), "target")
-    copies = copies.withColumn("finish", F.col("work") / F.col("target")).drop("target")
+    copies = copies.withColumn("finish", F.try_divide("work", "target")).drop("target")
     line = [F.col(c) for c in ("finish", "place", "work")]
     line_up = running(ordered(copies, line), [], line, F.col("size"), "total")
     budget = goals.agg(F.sum("source_size")).first()[0] or 0
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3) -> DataFrame:
         last = F.struct(F.lit(float(cut["finish"])), F.lit(int(cut["place"])).cast("long"), F.lit(int(cut["work"])).cast("long"))
         for turn in range(most):
             now = work(F.lit(turn).cast("long"))
-            taken = taken + F.when((F.col("again") >= turn) & (F.struct(now / F.col("target"), F.col("place"), now) <= last), 1).otherwise(0)
+            taken = taken + F.when((F.col("again") >= turn) & (F.struct(F.try_divide(now, F.col("target")), F.col("place"), now) <= last), 1).otherwise(0)
     return queue.withColumn("copies", taken.cast("long")).select(
         "doc_id", "text_hash", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 

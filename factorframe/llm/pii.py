@@ -80,7 +80,7 @@ def _surrogate(normal: Column, kind: Column, attempt: Column, key: str) -> Colum
     top = F.length(normal) - F.length(F.substring_index(normal, ".", -1))
     octets = F.transform(F.split(normal, r"\."), lambda o, i: (F.when(F.length(o) == 1, 1 + _number(digest, i, 9)).when(
         F.length(o) == 2, 10 + _number(digest, i, 90)).otherwise(100 + _number(digest, i, 150))).cast("string"))
-    parts = F.split(normal, r"\|")
+    parts = [F.get(F.split(normal, r"\|"), F.lit(i)) for i in range(3)]
     given = F.lit(None).cast("string")
     for (script, gender), names in _GIVEN.items():
         pick = F.element_at(F.array(*[F.lit(n) for n in names]), (_number(digest, F.lit(0), len(names)) + 1).cast("int"))
