@@ -30,10 +30,12 @@ from factorframe.llm.common import mix, pieces, repeated, shingle_hashes, stored
 
 #: Ratio of the largest and the smallest set of a band.
 BAND = 1.5
-#: Cells of the histogram that bounds the symmetric difference from below.
-CELLS = 64
+#: Bits of the parity sketch (odd sketch).  Two sketches differ in at most as many bits as the sets differ in elements.
+BITS = 1024
 #: Members of a bucket compared with each other in one task.
 BLOCK = 512
+#: Rounds that link the members of a bucket to one of them before the rest is compared.
+STARS = 2
 
 
 _BANDS: dict[int, list] = {}
@@ -102,7 +104,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row a document: doc_id, text_hash, n_shingles, cls (names its set; 0: no shingle), histogram, signatures.  A
+    """One row a document: doc_id, text_hash, n_shingles, cls (names its set; 0: no shingle), sketch, signatures.  A
     task lists the signatures of equal sets once."""
 
     def run(batches):
@@ -110,25 +112,26 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            sizes, names, hists, lists = [], [], [], []
+            sizes, names, sketches, lists = [], [], [], []
             for s in _sets(batch.column("text"), words):
                 name = int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))]))[0].view(np.int64)) if len(s) else 0
                 sizes.append(len(s))
                 names.append(name)
                 fresh = name != 0 and name not in seen
                 seen.add(name)
-                hists.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 lists.append(_signed(signatures(s, percent)) if fresh else np.zeros(0, np.int64))
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.array(hists, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "hist", "sigs"])
+                 pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "sketch", "sigs"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return thin.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long, hist binary, sigs array<long>")
+    return thin.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long, sketch binary, sigs array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,25 +184,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and histograms allow the similarity."""
+    """Pairs whose sizes and sketches allow the similarity."""
 
     def run(frames):
         for x in frames:
             if len(x):
-                a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("hu", "hv"))
-                x = x[(100 + percent) * np.abs(a - b).sum(1, dtype=np.int64) <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()]
+                far = _apart(_sketches(x["su"]), _sketches(x["sv"]))
+                x = x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()]
             yield x[["u", "v"]]
 
-    sides = [classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("hist").alias(f"h{c}")) for c in "uv"]
+    sides = [classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv"]
     both = pairs.join(sides[0], "u").join(sides[1], "v").where(
         (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
     return both.mapInPandas(run, "u long, v long")
 
 
 def _across(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and histograms allow; blocks of at most about BLOCK members
-    meet in one task.  mixed: sig, cls, label, n, hist, blocks."""
+    """Pairs of one bucket in different components that sizes and sketches allow; blocks of at most about BLOCK members
+    meet in one task.  mixed: sig, cls, label, n, sketch, blocks."""
     cut = mixed.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("a", F.least("i", F.col("j").cast("int"))).withColumn("b", F.greatest("i", F.col("j").cast("int")))
@@ -219,7 +230,7 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
                 x = rest
             if x is None or not len(x):
                 continue
-            hist = np.frombuffer(b"".join(x["hist"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            sketch = _sketches(x["sketch"])
             sig, a, b, n, label, cls, i = (x[c].to_numpy() for c in ("sig", "a", "b", "n", "label", "cls", "i"))
             at, shift = np.arange(len(x)), 0
             while len(at):
@@ -231,12 +242,12 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
                 ok = (label[at] != label[to]) & ((a[at] == b[at]) | (i[at] != i[to]))
                 ok &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
                 l, r = at[ok], to[ok]
-                near = (100 + percent) * np.abs(hist[l] - hist[r]).sum(1, dtype=np.int64) <= (100 - percent) * (n[l] + n[r])
+                near = (100 + percent) * _apart(sketch[l], sketch[r]) <= (100 - percent) * (n[l] + n[r])
                 l, r = l[near], r[near]
                 if len(l):
                     yield pd.DataFrame({"u": np.minimum(cls[l], cls[r]), "v": np.maximum(cls[l], cls[r])}).drop_duplicates()
 
-    dealt = cut.select("sig", "a", "b", "i", "cls", "label", "n", "hist").repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
+    dealt = cut.select("sig", "a", "b", "i", "cls", "label", "n", "sketch").repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
     return dealt.mapInPandas(run, "u long, v long").distinct()
 
 
@@ -244,25 +255,37 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     rows = stored(signed(docs, words, percent))
     classes = rows.where("cls <> 0").groupBy("cls").agg(
-        F.max("n_shingles").alias("n"), F.first("hist").alias("hist"),
+        F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")).alias("one")).select(
-        "cls", "n", "hist", "one.doc_id", "one.text_hash")
+        "cls", "n", "sketch", "one.doc_id", "one.text_hash")
     members = rows.select("cls", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")
     members = stored(members.withColumn("hub", F.min("cls").over(bucket)).withColumn("most", F.max("cls").over(bucket))
                      .where("hub <> most").select("sig", "cls", "hub").distinct())
-    stars = stored(_bounded(members.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct(), classes, percent))
-    sets = _participants(docs, classes, stars.select(F.col("u").alias("cls")).union(stars.select("v")).distinct(), words)
-    links = stored(_verified(stars, sets, percent))
-    labels = components(links)
+    known = members.select("sig", "cls", "hub", F.col("cls").alias("label"))
+    stars, links, labels = None, None, None
+    for turn in range(STARS):  # another hub each time; members already linked to it are left out
+        if turn:
+            hub = F.min_by("cls", F.xxhash64("cls", F.lit(turn)))
+            mixed = known.groupBy("sig").agg(hub.alias("hub"), F.min_by("label", F.xxhash64("cls", F.lit(turn))).alias("hub_label"),
+                                             F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+            known = known.drop("hub").join(mixed.select("sig", "hub", "hub_label"), "sig").where("label <> hub_label")
+        pairs = known.where("cls <> hub").select(F.least("hub", "cls").alias("u"), F.greatest("hub", "cls").alias("v")).distinct()
+        pairs = pairs if stars is None else pairs.join(stars, ["u", "v"], "left_anti")
+        pairs = stored(_bounded(pairs, classes, percent))
+        sets = _participants(docs, classes, pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct(), words)
+        found = _verified(pairs, sets, percent)
+        links = stored(found if links is None else links.unionByName(found))
+        stars = pairs if stars is None else stars.unionByName(pairs)
+        labels = components(links)
+        known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
-    known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
                                       F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.hash("cls").cast("long")).alias("g")).where("x <> y")
     mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
     mixed = mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-    mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "hist"), "cls")
-    pairs = stored(_across(mixed.select("sig", "cls", "label", "n", "hist", "blocks"), percent))
+    mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
+    pairs = stored(_across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent))
     pairs = pairs.join(stars, ["u", "v"], "left_anti")
     sets = _participants(docs, classes, pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct(), words)
     labels = stored(components(links.unionByName(_verified(pairs, sets, percent))))
