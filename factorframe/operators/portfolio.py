@@ -64,59 +64,78 @@ def proportional_in_box(selected: DataFrame, by=DAY, threshold=1e-6) -> DataFram
     return out.select(*by, "box", "symbol", weight.alias("weight"))
 
 
-def _exchange(mu, q, w, cap):
-    """max mu.w - w.q.w / 2 with the sum of w kept and 0 <= w <= cap: move weight between the two names that gain most."""
+def _exchange(mu, q, w, low, cap) -> bool:
+    """max mu.w - w.q.w / 2 with the sum of w kept and low <= w <= cap, in place: move weight between the two names that
+    gain most.  True if no move gains any more."""
     g = mu - q @ w
     for _ in range(200 * len(w)):
         i = int(np.argmax(np.where(w < cap - 1e-12, g, -np.inf)))
-        j = int(np.argmin(np.where(w > 1e-12, g, np.inf)))
+        j = int(np.argmin(np.where(w > low + 1e-12, g, np.inf)))
         gain = g[i] - g[j]
         if not gain > 1e-10:
-            break
+            return True
         curve = q[i, i] + q[j, j] - 2 * q[i, j]
-        d = min(cap - w[i], w[j], gain / curve if curve > 1e-15 else np.inf)
+        d = min(cap - w[i], w[j] - low, gain / curve if curve > 1e-15 else np.inf)
         w[i] += d
         w[j] -= d
         g -= d * (q[:, i] - q[:, j])
-    return w
+    return False
 
 
-def _mean_variance(mu, cov, risk_aversion, total, cap, limits) -> np.ndarray:
-    """Mean-variance weights; group limits (mask, limit) enter as penalties with multipliers and slack."""
+def _feasible(n, total, low, cap, classes) -> bool:
+    """Whether bounds and the class limits of each dimension alone can be met; classes: dimension -> [(mask, most, least)]."""
+    if not n * low - 1e-9 <= total <= n * cap + 1e-9:
+        return False
+    for rules in classes.values():
+        rest = n - sum(int(m.sum()) for m, _, _ in rules)
+        most = rest * cap + sum(min(hi, m.sum() * cap) for m, hi, _ in rules)
+        least = rest * low + sum(max(lo, m.sum() * low) for m, _, lo in rules)
+        if least > total + 1e-9 or most < total - 1e-9 or any(max(lo, m.sum() * low) > min(hi, m.sum() * cap) + 1e-9 for m, hi, lo in rules):
+            return False
+    return True
+
+
+def _mean_variance(mu, cov, risk_aversion, total, low, cap, classes) -> tuple[str, np.ndarray]:
+    """Status and mean-variance weights; class limits enter as penalties with multipliers and slack."""
     n = len(mu)
-    cap = max(cap, total / n)
     w, q = np.full(n, total / n), risk_aversion * cov
-    if not limits:
-        return _exchange(mu, q, w, cap)
-    m, lim = np.stack([x for x, _ in limits]), np.array([x for _, x in limits])
+    if not _feasible(n, total, low, cap, classes):
+        return "infeasible", w
+    rows = [(m, hi) for rules in classes.values() for m, hi, _ in rules if np.isfinite(hi)]
+    rows += [(-m, -lo) for rules in classes.values() for m, _, lo in rules if np.isfinite(lo)]
+    if not rows:
+        return ("optimal" if _exchange(mu, q, w, low, cap) else "not_converged"), w
+    m, lim = np.stack([x for x, _ in rows]), np.array([x for _, x in rows])
     rho = max(1.0, float(np.abs(mu).max()))
     slack, u = np.maximum(lim - m @ w, 0), np.zeros(len(lim))
     for _ in range(500):
-        w = _exchange(mu - rho * m.T @ (slack - lim + u), q + rho * m.T @ m, w, cap)
+        done = _exchange(mu - rho * m.T @ (slack - lim + u), q + rho * m.T @ m, w, low, cap)
         slack = np.maximum(lim - m @ w - u, 0)
         miss = m @ w + slack - lim
         u += miss
-        if np.abs(miss).max() < 1e-9:
-            break
-    return w
+        if done and np.abs(miss).max() < 1e-9:
+            return "optimal", w
+    return "not_converged", w
 
 
 def mean_variance(selected: DataFrame, cov: DataFrame, by=DAY, group: str | None = None, risk_aversion=2.0, cap=1.0,
-                  limits: list[tuple[str, str, float]] = (), default_variance=0.04) -> DataFrame:
-    """Long-only mean-variance weights of every date (and box, with ``group``) in one job.
+                  limits: list[tuple] = (), default_variance=0.04, low=0.0) -> DataFrame:
+    """Mean-variance weights of every date (and box, with ``group``) in one job, with their status.
 
     selected(strategy, date, symbol, signal[, target, dims]) holds the chosen names of a
     date (W1 or W9, so a bounded number); cov(s1, s2, cov) has s1 <= s2.  A group
-    reaches one task with its names and their covariances.  ``limits`` are
-    (dimension column, class, cap) on the weight of a class.
+    reaches one task with its names and their covariances.  Weights lie in [low, cap];
+    a negative ``low`` allows short positions.  ``limits`` are (dimension column, class, most[, least]) on
+    the weight of a class.  Where bounds and limits cannot be met (``infeasible``) or the iteration
+    has not ended (``not_converged``) the weights are null: nothing is relaxed.
     """
     keys = list(by) + ([group] if group else [])
     full = cov.select("s1", "s2", "cov").unionByName(cov.where("s1 <> s2").select(c("s2").alias("s1"), c("s1").alias("s2"), "cov"))
-    # toDF gives each use of the selection its own columns, so that the self joins are unambiguous
+    # the chosen names of a date meet each other first; toDF gives each use of the selection its own columns
     own, partner = selected.select(*keys, "symbol").toDF(*keys, "symbol"), selected.select(*keys, "symbol").toDF(*keys, "s2")
-    need = own.join(full.withColumnRenamed("s1", "symbol"), "symbol").join(partner, [*keys, "s2"], "left_semi")
+    need = own.join(partner, keys).join(full.withColumnRenamed("s1", "symbol"), ["symbol", "s2"])
     need = need.toDF(*need.columns)
-    dims = sorted({d for d, _, _ in limits})
+    dims = sorted({x[0] for x in limits})
     total = c("target") if "target" in selected.columns else F.lit(1.0)
     name = F.struct("symbol", F.coalesce("signal", F.lit(0.0)).alias("signal"), total.cast("double").alias("total"), *dims)
     # one row per group: its few chosen names and their covariances as arrays
@@ -127,34 +146,45 @@ def mean_variance(selected: DataFrame, cov: DataFrame, by=DAY, group: str | None
         c("_p.symbol").alias("_s1"), c("_p.s2").alias("_s2"), c("_p.cov").alias("_cov"))
     fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def weigh(r) -> np.ndarray:
+    def weigh(r) -> tuple[str, np.ndarray]:
         s = list(r["_symbol"])
         at = {x: i for i, x in enumerate(s)}
         m = np.diag(np.full(len(s), default_variance))
         if r["_s1"] is not None:
             for x, y, v in zip(r["_s1"], r["_s2"], r["_cov"]):
                 m[at[x], at[y]] = v
-        rules = [(np.array([float(x == v) for x in r[f"_{d}"]]), lim) for d, v, lim in limits]
-        rules = [(mask, lim) for mask, lim in rules if mask.any()]
-        return _mean_variance(np.asarray(r["_signal"], dtype=float), m, risk_aversion, float(r["_total"][0]), cap, rules)
+        classes: dict[str, list] = {}
+        for d, v, most, *least in limits:
+            mask = np.array([float(x == v) for x in r[f"_{d}"]])
+            if mask.any() or (least and least[0] > 0):
+                classes.setdefault(d, []).append((mask, most, least[0] if least else -np.inf))
+        return _mean_variance(np.asarray(r["_signal"], dtype=float), m, risk_aversion, float(r["_total"][0]), low, cap, classes)
 
     def run(batches):
         for pdf in batches:
-            out = [{**{k: r[k] for k in keys}, "symbol": x, "weight": w}
-                   for r in pdf.to_dict("records") for x, w in zip(r["_symbol"], weigh(r))]
-            yield pd.DataFrame(out, columns=[*keys, "symbol", "weight"])
+            out = []
+            for r in pdf.to_dict("records"):
+                status, weights = weigh(r)
+                out += [{**{k: r[k] for k in keys}, "symbol": x, "weight": w if status == "optimal" else None, "status": status}
+                        for x, w in zip(r["_symbol"], weights)]
+            yield pd.DataFrame(out, columns=[*keys, "symbol", "weight", "status"])
+
+    return rows.mapInPandas(run, f"{fields}, symbol string, weight double, status string")
+
 
-    return rows.mapInPandas(run, f"{fields}, symbol string, weight double")
+def _bounded(weights: DataFrame, low: float, cap: float) -> DataFrame:
+    """Null weights where equal shares of 1 break the bounds, as the optimiser answers limits that cannot be met."""
+    return weights.withColumn("weight", F.when(c("weight").between(low - 1e-9, cap + 1e-9), c("weight")))
 
 
-def equal_weight(df: DataFrame, by=DAY) -> DataFrame:
-    """W7."""
-    return ranks.with_group_stats(df, list(by), _n=F.count(F.lit(1))).select(*by, "symbol", (1 / c("_n")).alias("weight"))
+def equal_weight(df: DataFrame, by=DAY, low=0.0, cap=1.0) -> DataFrame:
+    """Equal shares; null where they leave [low, cap]."""
+    return _bounded(ranks.with_group_stats(df, list(by), _n=F.count(F.lit(1))).select(*by, "symbol", (1 / c("_n")).alias("weight")), low, cap)
 
 
-def top_n_weight(df: DataFrame, n=10, by=DAY) -> DataFrame:
-    """Equal shares of the n strongest names."""
-    return equal_weight(ranks.top_n(df, list(by), [F.desc_nulls_last("signal"), F.asc("symbol")], n), by)
+def top_n_weight(df: DataFrame, n=10, by=DAY, low=0.0, cap=1.0) -> DataFrame:
+    """Equal shares of the n strongest names; null where they leave [low, cap]."""
+    return equal_weight(ranks.top_n(df, list(by), [F.desc_nulls_last("signal"), F.asc("symbol")], n), by, low, cap)
 
 
 def exposure_check(weights: DataFrame, classes: DataFrame, limits: DataFrame, dims=("size", "style", "region", "sector"), by=DAY) -> DataFrame:

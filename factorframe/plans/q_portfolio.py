@@ -74,14 +74,33 @@ def _cov(p):
     return covariances(p.ret, "r").select("s1", "s2", (F.col("cov") * 252).alias("cov"))
 
 
-@query("w06_mean_variance")
+def _audit(weights, keys, cap, *more):
+    """Names, sum, worst breach of [0, cap] and status of each optimised group."""
+    return weights.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("names"), F.sum("weight").alias("total"), F.greatest(F.max("weight") - cap, -F.min("weight"), F.lit(0.0)).alias("breach"),
+        F.max("status").alias("status"), *more)
+
+
+def _audit_sql(chosen, keys, cap):
+    """What an optimiser that keeps its limits must report: 1 and 0 where the names can carry the weight, else nothing."""
+    fits = f"count(*) * {cap} >= 1 - 1e-9"
+    return f"""SELECT {keys}, count(*) AS names, CASE WHEN {fits} THEN CAST(1 AS DOUBLE) END AS total, CAST(0 AS DOUBLE) AS breach,
+        CASE WHEN {fits} THEN 'optimal' ELSE 'infeasible' END AS status FROM ({chosen}) GROUP BY {keys}"""
+
+
+def _strongest_sql(n):
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, date ORDER BY abs(signal) DESC NULLS LAST, symbol) AS i FROM {SR}) WHERE i <= {n}"
+
+
+@query("w06_mean_variance", "signals", _audit_sql(_strongest_sql(5), "strategy, date", 0.3), "total:6 breach:6")
 def _(p):
-    return w.mean_variance(w.strongest(_signals(p).where("strategy = 'momentum'"), 5), _cov(p), cap=0.5)
+    return _audit(w.mean_variance(w.strongest(_signals(p), 5), _cov(p), cap=0.3), ["strategy", "date"], 0.3)
 
 
-@query("w06_mean_variance_per_box")
+@query("w06_mean_variance_per_box", "signals boxes", f"""SELECT strategy, date, box, count(*) AS names, sum({TSQL}) / count(*) AS total, CAST(0 AS DOUBLE) AS breach, 'optimal' AS status
+    FROM {SELSQL} GROUP BY strategy, date, box""", "total:6 breach:6")
 def _(p):
-    return w.mean_variance(_selected(p).where("strategy = 'reversal'"), _cov(p), group="box")
+    return _audit(w.mean_variance(_selected(p), _cov(p), group="box"), ["strategy", "date", "box"], 1.0)
 
 
 @query("w07_equal_weight", "signals", "SELECT strategy, date, symbol, 1.0 / count(*) OVER (PARTITION BY strategy, date) AS weight FROM signals", "weight:8")
@@ -106,10 +125,15 @@ def _(p):
     return w.exposure_check(p.weights, p.boxes, limits)
 
 
-@query("w08_capped_optimization")
+@query("w08_capped_optimization", "signals boxes", f"""SELECT strategy, date, names, CASE WHEN fits THEN CAST(1 AS DOUBLE) END AS total, CAST(0 AS DOUBLE) AS breach,
+    CASE WHEN fits THEN 'optimal' ELSE 'infeasible' END AS status, CAST(CASE WHEN fits THEN 0 END AS DOUBLE) AS over FROM
+    (SELECT strategy, date, count(*) AS names, sum(CASE WHEN region = 'emerging' THEN 0 ELSE 0.6 END) + least(0.4, 0.6 * count(CASE WHEN region = 'emerging' THEN 1 END)) >= 1 - 1e-9 AS fits
+     FROM ({_strongest_sql(6)}) JOIN boxes USING (symbol) GROUP BY strategy, date)""", "total:6 breach:6 over:6")
 def _(p):
-    chosen = w.strongest(_signals(p).where("strategy = 'momentum'"), 6).join(p.boxes.select("symbol", "region"), "symbol")
-    return w.mean_variance(chosen, _cov(p), cap=0.6, limits=[("region", "emerging", 0.4)])
+    chosen = w.strongest(_signals(p), 6).join(p.boxes.select("symbol", "region"), "symbol")
+    got = w.mean_variance(chosen, _cov(p), cap=0.6, limits=[("region", "emerging", 0.4)]).join(p.boxes.select("symbol", "region"), "symbol")
+    held = F.coalesce(F.sum(F.when(F.col("region") == "emerging", F.col("weight"))), F.sum(F.col("weight") * 0))
+    return _audit(got, ["strategy", "date"], 0.6, F.greatest(held - 0.4, F.sum(F.col("weight") * 0)).alias("over"))
 
 
 @query("w09_strongest", "signals", f"""SELECT strategy, date, symbol, signal FROM (SELECT *, row_number() OVER (PARTITION BY strategy, date ORDER BY abs(signal) DESC, symbol) AS i FROM {SR}) WHERE i <= 5""")
@@ -166,9 +190,11 @@ def _(p):
     return builders.box_based(_signals(p), _boxes(p), _targets(p), 2)
 
 
-@query("w14_quantitative_builder")
+@query("w14_quantitative_builder", "bars signals", _audit_sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, date ORDER BY abs(signal) DESC NULLS LAST, symbol) AS i
+    FROM {SR} WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 1400)) WHERE i <= 5""", "strategy, date", 0.4), "total:6 breach:6")
 def _(p):
-    return builders.quantitative(_signals(p).where("strategy = 'momentum'"), universe.liquid(p.bars, min_rows=1400), _cov(p), n=5, cap=0.4)
+    got = builders.quantitative(_signals(p), universe.liquid(p.bars, min_rows=1400), _cov(p), n=5, cap=0.4)
+    return _audit(got, ["strategy", "date"], 0.4)
 
 
 @query("w15_recommendations", "weights signals boxes", f"""SELECT w.strategy, w.date, w.symbol, weight, coalesce(signal, 0) AS signal_strength, 0.5 * abs(coalesce(signal, 0)) AS risk_score, box

@@ -41,12 +41,13 @@ class Panel:
 
     @cached_property
     def bars(self) -> DataFrame:
-        """Order within a day: order key, line number, part key, packed into one long.
+        """Order within a day: order key, line number, part key, packed into one decimal of full width.
 
-        A long keeps min_by / max_by in hash aggregation (a struct key would sort every
-        raw row); order keys up to 10^12 fit, larger ones raise an overflow error.
+        A fixed-width decimal keeps min_by / max_by in hash aggregation (a struct key would sort every
+        raw row).  Line numbers under 10^6 and part keys under 10^18 fit; beyond that the ANSI overflow is an error.
         """
-        seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2**20 + F.col("l_partkey") % 2**20
+        line = (F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber")).cast("decimal(19,0)")
+        seq = line * F.lit(10**18).cast("decimal(19,0)") + F.col("l_partkey").cast("decimal(18,0)")
         return self.fills.withColumn("seq", seq).groupBy("symbol", "date").agg(
             F.min_by("px", "seq").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
             F.max_by("px", "seq").alias("close"), F.sum("l_quantity").alias("volume"),

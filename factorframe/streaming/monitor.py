@@ -20,8 +20,16 @@ WINDOW_DAYS, DEGRADATION, DRIFT, MIN_SAMPLES, ALERTS, MIN_FEEDBACK = 30, 0.2, 0.
 
 
 def prediction_log(predictions: DataFrame, days=2 * WINDOW_DAYS) -> DataFrame:
-    """L1: the log with its retention; on a stream, rows later than the watermark are dropped."""
-    return predictions.withWatermark("ts", f"{days} days")
+    """L1: the log of the last ``days`` before its newest row, one row an id.
+
+    On a stream the state keeps ids for that long, and rows older than the watermark are dropped; a watermark
+    alone would drop nothing.
+    """
+    if predictions.isStreaming:
+        return predictions.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["prediction_id"])
+    newest = predictions.agg(F.max("ts").alias("_newest"))  # one row
+    kept = predictions.join(F.broadcast(newest), c("ts") >= c("_newest") - F.expr(f"interval {days} days")).drop("_newest")
+    return kept.dropDuplicates(["prediction_id"])
 
 
 def with_actuals(predictions: DataFrame, actuals: DataFrame, days=WINDOW_DAYS, how="left_outer") -> DataFrame:

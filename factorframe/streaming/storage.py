@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared folder (spark.checkpoint.dir); a new local one only where it is unset, as in tests."""
+    """A fresh path under the cluster's shared folder (spark.checkpoint.dir).  Where that is unset, a new local folder on one
+    machine; on a cluster, whose executors would each write to their own disk, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -198,6 +198,59 @@ def test_mean_variance_against_brute_force(spark):
         assert value(w) >= max(value(z) for z in ok) - 1e-9
 
 
+def test_optimiser_never_relaxes_its_limits(spark):
+    def solve(names, **limits):
+        sel = spark.createDataFrame([("s", DAY0, n, m, g) for n, m, g in names], "strategy string, date date, symbol string, signal double, size string")
+        cov = spark.createDataFrame([(n, n, 0.1) for n, _, _ in names], "s1 string, s2 string, cov double")
+        rows = portfolio.mean_variance(sel, cov, **limits).collect()
+        return {r.symbol: r.weight for r in rows}, {r.status for r in rows}
+
+    three = [("A", 0.3, "x"), ("B", 0.1, "x"), ("C", 0.25, "x")]
+    assert solve(three, cap=0.1) == ({"A": None, "B": None, "C": None}, {"infeasible"})
+    assert solve(three, cap=0.5, limits=[("size", "x", 0.4)])[1] == {"infeasible"}
+    assert solve(three, limits=[("size", "y", 0.4, 0.2)])[1] == {"infeasible"}  # a least weight without names
+    got, status = solve([*three, ("D", 0.0, "y")], cap=0.6, limits=[("size", "y", 0.5, 0.2)])
+    assert status == {"optimal"} and abs(got["D"] - 0.2) < 1e-6 and abs(sum(got.values()) - 1) < 1e-9
+    got, status = solve([("A", 1.0, "x"), ("B", 0.0, "x")], cap=1.5, low=-0.5)  # closed form of two names, clipped at the bounds
+    assert status == {"optimal"} and abs(got["A"] - 1.5) < 1e-9 and abs(got["B"] + 0.5) < 1e-9
+    got, _ = solve([("A", 0.1, "x"), ("B", 0.0, "x")])
+    assert abs(got["A"] - 0.75) < 1e-9  # mu difference / (risk aversion * 2 * variance) + 1 / 2
+
+
+def test_bars_order_fills_by_full_keys(spark):
+    from factorframe.sources.panel import Panel
+
+    p = Panel(spark, "/root/testdata/sf0.001")
+    rows = [("S", DAY0, float(10 * line + key % 7), 5, line, 3 + key * 2**20) for line in (1, 8, 9, 17) for key in (0, 1, 2)]
+    p.__dict__["fills"] = spark.createDataFrame([(s, d, px, o, line, key, 1.0) for s, d, px, o, line, key in rows],
+                                                "symbol string, date date, px double, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
+    bar = p.bars.first()
+    ordered = sorted(rows, key=lambda r: r[3:])
+    assert bar.open == ordered[0][2] and bar.close == ordered[-1][2]
+
+
+def test_prediction_log_drops_old_rows(spark, tmp_path):
+    from factorframe.streaming import monitor
+
+    at = lambda day, n: (dt.datetime(2024, 1, 1) + dt.timedelta(day), f"p{n}")
+    batch = spark.createDataFrame([at(0, 1), at(12, 2), at(20, 3), at(20, 3)], "ts timestamp, prediction_id string")
+    assert sorted(r.prediction_id for r in monitor.prediction_log(batch, 10).collect()) == ["p2", "p3"]
+    late = spark.createDataFrame([at(1, 4), at(15, 5)], "ts timestamp, prediction_id string")
+    spark.createDataFrame([at(0, 1), at(20, 3), at(20, 3)], batch.schema).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    seen = []
+
+    def run():
+        q = monitor.prediction_log(stream, 10).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(
+            lambda df, _: seen.extend(r.prediction_id for r in df.collect())).start()
+        q.awaitTermination()
+
+    run()
+    late.coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    run()
+    assert sorted(seen) == ["p1", "p3", "p5"]  # p4 is older than the watermark
+
+
 def test_position_ledger_against_a_loop(spark):
     rng = np.random.default_rng(10)
     n = 1500
