@@ -205,7 +205,7 @@ def sample_boxes(names: DataFrame, signals: DataFrame | None, n=3, seed=42) -> D
     df = names if signals is None else names.join(signals.select("symbol", "signal"), "symbol", "left")
     if signals is None:
         df = df.withColumn("signal", F.lit(None).cast("double"))
-    order = [F.desc_nulls_last("signal"), F.xxhash64("symbol", F.lit(seed)).asc(), F.asc("symbol")]
+    order = [F.desc_nulls_last("signal"), F.md5(F.concat_ws("|", "symbol", F.lit(str(seed)))).asc(), F.asc("symbol")]
     return ranks.top_n(df, ["box"], order, n).select("box", "symbol", "signal")
 
 

@@ -125,11 +125,12 @@ def last_wins(signals: DataFrame, priority: DataFrame) -> DataFrame:
     return out.groupBy("date", "symbol").agg(F.max_by("signal", F.struct("priority", "strategy")).alias("signal"))
 
 
-def fit_weights(returns: DataFrame, target: DataFrame, method="equal", penalty: float | None = None, value="daily_return") -> DataFrame:
+def fit_weights(returns: DataFrame, target: DataFrame, method="equal", penalty: float | None = None, value="daily_return", rounds=10_000) -> DataFrame:
     """(strategy, weight) by equal share, or by lasso / ridge with weights >= 0 scaled to 1.
 
     The strategies and the target are aligned on common dates; what is solved is
-    their covariance matrix (one row per pair of strategies), by coordinate descent.
+    their covariance matrix (one row per pair of strategies), by coordinate descent.  Weights are null if that
+    has not converged after ``rounds``.
     """
     names = returns.select("strategy").distinct()
     if method == "equal":
@@ -148,15 +149,15 @@ def fit_weights(returns: DataFrame, target: DataFrame, method="equal", penalty:
         xs = [x for x in m.index if x != goal]
         s, y, n = m.loc[xs, xs].to_numpy(), m.loc[xs, goal].to_numpy(), float(pdf["n"].max())
         w = np.zeros(len(xs))
-        for _ in range(10_000):
+        for _ in range(rounds):
             old = w.copy()
             for j in range(len(xs)):
                 rest = y[j] - s[j] @ w + s[j, j] * w[j]
                 rest, den = (rest - alpha, s[j, j]) if method == "lasso" else (rest, s[j, j] + alpha / n)
                 w[j] = max(rest, 0.0) / den if den > 0 else 0.0
             if np.abs(w - old).max() < 1e-14:
-                break
-        return pd.DataFrame({"strategy": xs, "weight": w / w.sum() if w.sum() > 0 else w})
+                return pd.DataFrame({"strategy": xs, "weight": w / w.sum() if w.sum() > 0 else w})
+        return pd.DataFrame({"strategy": xs, "weight": None})
 
     return pairs.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(descend, "strategy string, weight double")
 

@@ -22,18 +22,23 @@ def _train(p):
     return _panel(p).where("y is not null").withColumnRenamed("y", "target").withColumn("target", F.col("target") * 100)
 
 
-@query("m11_boosted_trees")
+@query("m11_boosted_trees", "ret", f"SELECT count(*) AS n, count(*) AS predicted, true AS learns FROM {PANEL} WHERE y IS NOT NULL")
 def _(p):
+    """Every row gets a prediction, and on the rows it was fitted on the error is not above that of their mean."""
     feats = ["mom", "vol"]
     df = _train(p)
     model = ml.boosted_trees(df.where("date < '2000-01-01'"), feats, trees=5)
-    return ml.score_trees(model, df, feats).select("symbol", "date", "target", "prediction")
+    fitted = lambda x: F.when(F.col("date") < "2000-01-01", x)
+    error = F.avg(fitted((F.col("target") - F.col("prediction")) ** 2))
+    return ml.score_trees(model, df, feats).agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("predicted"),
+                                                (error <= F.var_pop(fitted(F.col("target")))).alias("learns"))
 
 
-@query("m11_tree_importance")
+@query("m11_tree_importance", "", "SELECT CAST(2 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, true AS shares", "total:6")
 def _(p):
     feats = ["mom", "vol"]
-    return ml.tree_importance(p.spark, ml.boosted_trees(_train(p), feats, trees=5), feats)
+    got = ml.tree_importance(p.spark, ml.boosted_trees(_train(p), feats, trees=5), feats)
+    return got.agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), F.min(F.col("importance").between(0, 1)).alias("shares"))
 
 
 @query("m12_training_frame", "bars ret", """SELECT b.date, b.symbol, mom, r FROM (SELECT symbol, date, tanh(close / lag(close, 21) OVER (PARTITION BY symbol ORDER BY date) - 1) AS mom FROM bars) b

@@ -151,7 +151,8 @@ def _(p):
     return w.sample_boxes(_boxes(p).join(liquid.select("symbol"), "symbol", "left_semi"), last, 2)
 
 
-@query("w10_random_sampling")
+@query("w10_random_sampling", "meta boxes", f"""SELECT box, symbol, CAST(NULL AS DOUBLE) AS signal FROM
+    (SELECT box, symbol, row_number() OVER (PARTITION BY box ORDER BY md5(symbol || '|42'), symbol) AS i FROM {BX} b) WHERE i <= 2""")
 def _(p):
     return w.sample_boxes(_boxes(p), None, 2)
 
