@@ -157,3 +157,10 @@ META = "(SELECT (avg(m) - (pow(1.02, 1.0 / 252) - 1)) / stddev_samp(m) * sqrt(25
 def _(p):
     meta = p.ret.groupBy("date").agg(F.avg("r").alias("r")).agg(sharpe("r").alias("sharpe_ratio"))
     return ml.meta_against_base(meta, _results(p))
+
+
+@query("m21_system_verdict", "ret", f"""SELECT model, sharpe_ratio, max_drawdown, sharpe_ratio >= 0.5 AS meets_sharpe, max_drawdown >= -0.3 AS meets_drawdown,
+    sharpe_ratio >= 0.5 AND max_drawdown >= -0.3 AS valid FROM (SELECT model, sharpe_ratio, least(0, total_return) AS max_drawdown FROM {RES})""", "sharpe_ratio:6 max_drawdown:4")
+def _(p):
+    worst = _results(p).withColumn("max_drawdown", F.least(F.lit(0.0), F.col("total_return")))
+    return ml.system_verdict(worst)

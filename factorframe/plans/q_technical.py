@@ -146,3 +146,10 @@ register("t25_basic_block", t.basic_block, {
 def _panel(p):
     return t.technical_panel(p.bars).select(*KEYS, "momentum_21d", "momentum_rank_21d", "vol_of_vol_20d", "ema_12",
                                             "rsi_14", "volume_price_trend")
+
+
+@query("t26_drop_empty_columns", "bars", f"SELECT symbol, date, m1 FROM (SELECT symbol, date, {chg('close')} AS m1 FROM bars)", "m1:6")
+def _(p):
+    """A momentum over more rows than any symbol has is empty and goes; that over one row stays."""
+    df = t.momentum(p.bars.select("symbol", "date", "close"), (1, 100_000)).drop("close")
+    return t.drop_empty_columns(df).withColumnRenamed("momentum_1d", "m1")

@@ -164,6 +164,22 @@ def _(p):
         "strategy", "date", "daily_return")
 
 
+@query("p17_balance_ffill", "strat", """SELECT g.strategy, g.date, s.daily_return FROM
+    (SELECT strategy, d.date FROM (SELECT strategy, min(date) AS first FROM strat GROUP BY 1) f JOIN (SELECT DISTINCT date FROM strat) d ON d.date >= f.first) g
+    ASOF JOIN strat s ON g.strategy = s.strategy AND g.date >= s.date""", "daily_return:8")
+def _(p):
+    s = p.strat.withColumnRenamed("strategy", "symbol")
+    return x.balance(s, ["daily_return"], "ffill").withColumnRenamed("symbol", "strategy").select("strategy", "date", "daily_return")
+
+
+@query("p17_balance_drop", "bars", """SELECT symbol, date, change FROM (SELECT symbol, date, tanh(close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1) AS change FROM bars)
+    WHERE change IS NOT NULL""", "change:8")
+def _(p):
+    from factorframe.functions.windows import change
+
+    return x.balance(p.bars.select("symbol", "date", F.tanh(change("close", 5)).alias("change")), ["change"], "drop")
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
