@@ -36,6 +36,8 @@ BITS = 1024
 BLOCK = 512
 #: Rounds that link the members of a bucket to one of them before the rest is compared.
 STARS = 2
+#: Hubs of a bucket in every round but the first.
+HUBS = 4
 
 
 _BANDS: dict[int, list] = {}
@@ -264,12 +266,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
                      .where("hub <> most").select("sig", "cls", "hub").distinct())
     known = members.select("sig", "cls", "hub", F.col("cls").alias("label"))
     stars, links, labels = None, None, None
-    for turn in range(STARS):  # another hub each time; members already linked to it are left out
+    for turn in range(STARS):  # other hubs each time; members already linked to one are left out
         if turn:
-            hub = F.min_by("cls", F.xxhash64("cls", F.lit(turn)))
-            mixed = known.groupBy("sig").agg(hub.alias("hub"), F.min_by("label", F.xxhash64("cls", F.lit(turn))).alias("hub_label"),
+            one = lambda i: F.min_by(F.struct("cls", "label"), F.xxhash64("cls", F.lit(i)))
+            mixed = known.groupBy("sig").agg(F.array_distinct(F.array(*[one(i) for i in range(HUBS)])).alias("hubs"),
                                              F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-            known = known.drop("hub").join(mixed.select("sig", "hub", "hub_label"), "sig").where("label <> hub_label")
+            known = known.drop("hub").join(mixed.select("sig", "hubs"), "sig").withColumn("h", F.explode("hubs")).where(
+                "label <> h.label").select("sig", "cls", F.col("h.cls").alias("hub"), "label")
         pairs = known.where("cls <> hub").select(F.least("hub", "cls").alias("u"), F.greatest("hub", "cls").alias("v")).distinct()
         pairs = pairs if stars is None else pairs.join(stars, ["u", "v"], "left_anti")
         pairs = stored(_bounded(pairs, classes, percent))
