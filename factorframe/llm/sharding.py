@@ -88,14 +88,11 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.collect_list(F.struct(F.col("label"), (F.col("to") - F.col("n")).alias("from"), "to", "base")).alias("ranges"))  # a row a shard at most
     ranges = stored(ranges)
 
-    member = running(dealt.join(ranges, "key"), ["key"], [F.col("doc_id"), F.col("size")], F.lit(1).cast("long"), "place")
-    member = member.withColumn("place", F.col("place") - 1)
-    member = member.withColumn("own", F.try_element_at(F.filter("ranges", lambda r: (r["from"] <= F.col("place")) & (F.col("place") < r["to"])), F.lit(1)))
-    member = member.select("doc_id", "size", "text_crc32", "key", "_part", F.col("own.label").alias("shard"),
-                           (F.col("own.base") + F.col("place") - F.col("own.from")).alias("slot"))
-    lone = dealt.join(ranges, "key", "left_anti").select("doc_id", "size", "text_crc32", "key", "_part", F.lit(None).cast("int").alias("shard"),
-                                                        F.lit(None).cast("long").alias("slot"))
-    placed = stored(member.unionByName(lone))
+    # places first, the map after: the join may then split a hot group
+    member = running(dealt, ["key"], [F.col("doc_id"), F.col("size")], F.lit(1).cast("long"), "place").withColumn("place", F.col("place") - 1)
+    own = F.try_element_at(F.filter("ranges", lambda r: (r["from"] <= F.col("place")) & (F.col("place") < r["to"])), F.lit(1))
+    placed = stored(member.join(ranges, "key", "left").withColumn("own", own).select(
+        "doc_id", "size", "text_crc32", "key", "_part", F.col("own.label").alias("shard"), (F.col("own.base") + F.col("place") - F.col("own.from")).alias("slot")))
     free = running(placed.where("shard is null").drop("shard", "slot"), [], [F.col("key"), F.col("doc_id"), F.col("size")], F.lit(1).cast("long"), "place")
     ends, at = [], 0
     for b in range(shards):
