@@ -44,6 +44,14 @@ _SYLLABLES = {"latin": ["ber", "lan", "mor", "ten", "wil", "dar", "han", "kel",
               "cyrillic": ["бор", "вол", "гор", "дар", "зим", "кор", "лес", "мир", "нов", "рож", "сол", "тем", "фед", "чер", "шар", "яр"]}
 
 
+def _possible(text: Column) -> Column:
+    """A quick look: every pattern needs a digit, an ``@`` or a title."""
+    look = text.rlike("[0-9@]")
+    for title in (t for ts in _TITLES.values() for t in ts):
+        look = look | text.contains(title + " ") | text.contains(title + ".")
+    return look
+
+
 def _kind(value: Column) -> Column:
     return (F.when(value.contains("@"), "email").when(value.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip").when(value.rlike(f"^(?:{_SSN})$"), "ssn")
             .when(value.rlike(f"^(?:{_PHONE})$"), "phone").when(value.rlike(f"^(?:{_IBAN})$"), "iban").when(value.rlike(r"^[\d \-]+$"), "card").otherwise("name"))
@@ -124,7 +132,7 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 100) -> DataFrame:
 def pseudonymised(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """doc_id, text, n_entities for each row of ``docs`` (doc_id, text)."""
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = thin.withColumn("values", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = thin.withColumn("values", F.when(_possible(F.col("text")), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     with_any = F.coalesce(F.size("values"), F.lit(0)) > 0
     # one key for rows with the same text: their result is the same
     mentions = stored(found.where(with_any).select(F.md5(F.col("text").cast("binary")).alias("t"), F.explode(F.array_distinct("values")).alias("value")).distinct()
