@@ -194,6 +194,24 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
+def _linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links so far and their components.  Of the stored ``pairs`` (u, v, times) each v first meets the u with which it
+    shares most buckets; the others are verified only if that has not connected them already.  A set is shipped once a pair."""
+    best = Window.partitionBy("v").orderBy(F.col("times").desc(), "u")
+    first = stored(pairs.withColumn("i", F.row_number().over(best)).where("i = 1").select("u", "v"))
+    labels = None
+    for turn in range(2):
+        if turn:
+            side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+            rest = pairs.select("u", "v").join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
+            first = stored(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"))
+        sets = _participants(docs, classes, first.select(F.col("u").alias("cls")).union(first.select("v")).distinct(), words)
+        found = _verified(first, sets, percent)
+        links = stored(found if links is None else links.unionByName(found))
+        labels = components(links)
+    return links, labels
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and sketches allow the similarity."""
 
@@ -202,12 +220,12 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if len(x):
                 far = _apart(_sketches(x["su"]), _sketches(x["sv"]))
                 x = x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()]
-            yield x[["u", "v"]]
+            yield x[["u", "v", "times"]]
 
     sides = [classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv"]
     both = pairs.join(sides[0], "u").join(sides[1], "v").where(
         (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
-    return both.mapInPandas(run, "u long, v long")
+    return both.mapInPandas(run, "u long, v long, times long")
 
 
 def _across(mixed: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +268,7 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
                     yield pd.DataFrame({"u": np.minimum(cls[l], cls[r]), "v": np.maximum(cls[l], cls[r])}).drop_duplicates()
 
     dealt = cut.select("sig", "a", "b", "i", "cls", "label", "n", "sketch").repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
-    return dealt.mapInPandas(run, "u long, v long").distinct()
+    return dealt.mapInPandas(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -273,14 +291,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
                                              F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
             known = known.drop("hub").join(mixed.select("sig", "hubs"), "sig").withColumn("h", F.explode("hubs")).where(
                 "label <> h.label").select("sig", "cls", F.col("h.cls").alias("hub"), "label")
-        pairs = known.where("cls <> hub").select(F.least("hub", "cls").alias("u"), F.greatest("hub", "cls").alias("v")).distinct()
+        pairs = known.where("cls <> hub").groupBy(F.least("hub", "cls").alias("u"), F.greatest("hub", "cls").alias("v")).agg(F.count(F.lit(1)).alias("times"))
         pairs = pairs if stars is None else pairs.join(stars, ["u", "v"], "left_anti")
         pairs = stored(_bounded(pairs, classes, percent))
-        sets = _participants(docs, classes, pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct(), words)
-        found = _verified(pairs, sets, percent)
-        links = stored(found if links is None else links.unionByName(found))
-        stars = pairs if stars is None else stars.unionByName(pairs)
-        labels = components(links)
+        links, labels = _linked(pairs, links, docs, classes, words, percent)
+        stars = pairs.select("u", "v") if stars is None else stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
@@ -288,10 +303,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
     mixed = mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
     mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
-    pairs = stored(_across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent))
-    pairs = pairs.join(stars, ["u", "v"], "left_anti")
-    sets = _participants(docs, classes, pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct(), words)
-    labels = stored(components(links.unionByName(_verified(pairs, sets, percent))))
+    pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent)
+    pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
+    labels = stored(_linked(pairs, links, docs, classes, words, percent)[1])
 
     named = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("label", F.when(F.col("cls") != 0, F.coalesce("label", "cls")))
