@@ -194,17 +194,18 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def _linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components.  Of the stored ``pairs`` (u, v, times) each v first meets the u with which it
     shares most buckets; the others are verified only if that has not connected them already.  A set is shipped once a pair."""
     best = Window.partitionBy("v").orderBy(F.col("times").desc(), "u")
     first = stored(pairs.withColumn("i", F.row_number().over(best)).where("i = 1").select("u", "v"))
-    labels = None
     for turn in range(2):
         if turn:
             side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
             rest = pairs.select("u", "v").join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
             first = stored(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"))
+        if links is not None and first.isEmpty():
+            continue
         sets = _participants(docs, classes, first.select(F.col("u").alias("cls")).union(first.select("v")).distinct(), words)
         found = _verified(first, sets, percent)
         links = stored(found if links is None else links.unionByName(found))
@@ -294,7 +295,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         pairs = known.where("cls <> hub").groupBy(F.least("hub", "cls").alias("u"), F.greatest("hub", "cls").alias("v")).agg(F.count(F.lit(1)).alias("times"))
         pairs = pairs if stars is None else pairs.join(stars, ["u", "v"], "left_anti")
         pairs = stored(_bounded(pairs, classes, percent))
-        links, labels = _linked(pairs, links, docs, classes, words, percent)
+        links, labels = _linked(pairs, links, labels, docs, classes, words, percent)
         stars = pairs.select("u", "v") if stars is None else stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
@@ -305,7 +306,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
     pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent)
     pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
-    labels = stored(_linked(pairs, links, docs, classes, words, percent)[1])
+    labels = stored(_linked(pairs, links, labels, docs, classes, words, percent)[1])
 
     named = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("label", F.when(F.col("cls") != 0, F.coalesce("label", "cls")))
