@@ -32,6 +32,8 @@ from factorframe.llm.common import mix, pieces, repeated, shingle_hashes, stored
 BAND = 1.5
 #: Bits of the parity sketch (odd sketch).  Two sketches differ in at most as many bits as the sets differ in elements.
 BITS = 1024
+#: Sets of more than LARGE elements, for which those bits say little, get a sketch of WIDE bits before sets are shipped.
+LARGE, WIDE = 1024, 32768
 #: Members of a bucket compared with each other in one task.
 BLOCK = 512
 #: Rounds that link the members of a bucket to one of them before the rest is compared.
@@ -101,6 +103,11 @@ def _sets(column, k: int) -> Iterator[np.ndarray]:
             yield np.unique(hashes[cut[i]:cut[i + 1]])
 
 
+def _parity(s: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -121,8 +128,7 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names.append(name)
                 fresh = name != 0 and name not in seen
                 seen.add(name)
-                odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                sketches.append(_parity(s, BITS))
                 lists.append(_signed(signatures(s, percent)) if fresh else np.zeros(0, np.int64))
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
@@ -158,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, s): the sets of the wanted classes, from the text of one document each."""
+    """(cls, s, wide): the sets of the wanted classes, from the text of one document each; large sets with a wide sketch."""
     ids = stored(classes.join(wanted, "cls", "left_semi").select("doc_id", "text_hash").distinct())
 
     def run(batches):
@@ -171,23 +177,37 @@ def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words:
                 names = [int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))]))[0].view(np.int64)) if len(s) else 0 for s in sets]
                 offsets = np.zeros(len(sets) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in sets], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sets)), pa.int64()))], names=["cls", "s"])
+                wide = [_parity(s, WIDE) if len(s) > LARGE else None for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sets)), pa.int64())),
+                                                  pa.array(wide, pa.binary())], names=["cls", "s", "wide"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     rows = with_list(texts, ids, ["doc_id", "text_hash"], "left_semi").select("text")
-    return stored(rows.mapInArrow(run, "cls long, s array<long>").dropDuplicates(["cls"]))
+    return stored(rows.mapInArrow(run, "cls long, s array<long>, wide binary").dropDuplicates(["cls"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar enough."""
+    """The pairs (u, v) that are similar enough; pairs of large sets pass their wide sketches first."""
+
+    def near(frames):
+        for x in frames:
+            if len(x):
+                far = _apart(_sketches(x["wu"], WIDE), _sketches(x["wv"], WIDE))
+                x = x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()]
+            yield x[["u", "v"]]
+
+    sides = [sets.select(F.col("cls").alias(c), F.size("s").cast("long").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "uv"]
+    wide = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")
+    large = F.col("wu").isNotNull() & F.col("wv").isNotNull()
+    pairs = wide.where(large).mapInPandas(near, "u long, v long").unionByName(wide.where(~large).select("u", "v"))
     left = sets.select(F.col("cls").alias("u"), F.col("s").alias("su"))
     right = sets.select(F.col("cls").alias("v"), F.col("s").alias("sv"))
     both = pairs.select("u", "v").join(left, "u").join(right, "v").withColumn("both", F.size(F.array_intersect("su", "sv")))
     return both.where(100 * F.col("both") >= percent * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
+def _sketches(column, bits: int = BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, bits // 64)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
