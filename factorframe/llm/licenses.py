@@ -1,7 +1,9 @@
 """License scan by patience alignment (operator 7).
 
-Text and template are words (letters and digits, case folded).  A text is aligned with a template only if enough of the
-template's words occur in it at all, in the stretch of text that holds the most of them.  Alignment: words that are
+Text and template are words (letters and digits, case folded).  A text is aligned with a template wherever a stretch of
+it (half as long again as the template) holds enough of the template's words: the fullest stretch first, the others until
+one is accepted, then the text on both sides of the accepted notice in the same way, so a text has one row for each
+notice that stands in it.  Alignment: words that are
 unique in both are anchors; the longest increasing subsequence of their places is kept; the gaps between kept anchors
 are aligned the same way, since words repeated elsewhere may be unique inside a gap.  Coverage is the share of the
 template's words that are aligned.
@@ -10,7 +12,7 @@ Templates travel with the tasks (a list of notices, a few KB).  Every whole text
 shuffled.
 
 Defined results: null, empty and wordless texts match nothing; repeated rows are scanned each; of equally full stretches
-the first counts; null doc_id is kept; other columns are ignored; an empty table gives an empty result.
+the first is tried first; null doc_id is kept; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,23 +108,52 @@ def patience(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def stretch(words: np.ndarray, at: np.ndarray, length: int) -> tuple[int, int]:
-    """First and last (excluded) word of the stretch of at most ``length`` words with most different words of ``at``."""
-    best, span, held, i = 0, (0, 0), Counter(), 0
+def windows(words: list[int], at: list[int], needed: Counter, length: int, enough: float) -> list[tuple[int, int, int, int]]:
+    """(-held, last, first, tight first) of every stretch of at most ``length`` words that ends at a place of ``at`` and
+    holds ``enough`` template words, counted as often as the template has them; fullest first.  The tight one leaves out
+    words at its head that it holds again."""
+    out, held, full, close, i, k = [], Counter(), 0, Counter(), 0, 0
     for j, p in enumerate(at):
-        held[words[p]] += 1
+        w = words[p]
+        full += held[w] < needed[w]
+        held[w] += 1
+        close[w] += 1
         while at[i] <= p - length:
-            held[words[at[i]]] -= 1
-            if not held[words[at[i]]]:
-                del held[words[at[i]]]
+            w = words[at[i]]
+            held[w] -= 1
+            full -= held[w] < needed[w]
             i += 1
-        if len(held) > best:
-            best, span = len(held), (int(at[i]), int(p) + 1)
-    return span
+        while k < i or close[words[at[k]]] > needed[words[at[k]]]:
+            close[words[at[k]]] -= 1
+            k += 1
+        if full >= enough:
+            out.append((-full, p, at[i], at[k]))
+    return sorted(out)
+
+
+def notices(words: list[int], at: list[int], template: list[int], enough: float) -> list[list[tuple[int, int]]]:
+    """Alignments of ``enough`` words or more, apart from each other: the fullest stretch first, then what is left on both
+    sides of it.  ``at``: places of template words in ``words``."""
+    needed, out, todo = Counter(template), [], [(0, len(at), 0, len(words))]
+    half = len(template) // 2
+    while todo:
+        a, b, low, high = todo.pop()
+        for _, last, first, tight in windows(words, at[a:b], needed, len(template) + half + 8, enough):
+            best: list[tuple[int, int]] = []
+            for x, y in ((tight, last + 1), (first, last + 1), (max(low, first - half), min(high, last + 1 + half))):
+                got = patience(words[x:y], template)
+                if len(got) > len(best):
+                    best = [(x + i, j) for i, j in got]
+            if len(best) >= enough:
+                out.append(best)
+                begin, end = best[0][0], best[-1][0]
+                todo += [(a, bisect_left(at, begin), low, begin), (bisect_left(at, end + 1), b, end + 1, high)]
+                break
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
-    """doc_id, license, coverage, first_word, last_word (places among the text's words) where coverage >= ``least``."""
+    """doc_id, license, coverage, first_word, last_word (places among the text's words) of each notice with coverage >= ``least``."""
     names = sorted(templates)
     wanted = [template_words(templates[n]) for n in names]
 
@@ -149,11 +180,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
                     own = hit[(hit >= begin[row]) & (hit < begin[row + 1])]
                     own = own[uses[k][place[own]]]
                     t = wanted[k]
-                    low, high = stretch(words, own, len(t) + len(t) // 2 + 8)
-                    low, high = max(begin[row], low - len(t) // 2), min(begin[row + 1], high + len(t) // 2)
-                    got = patience(words[low:high].tolist(), t)
-                    if len(got) >= enough[k]:
-                        out.append((ids[at + row], names[k], len(got) / len(t), int(low - begin[row] + got[0][0]), int(low - begin[row] + got[-1][0])))
+                    text = words[begin[row]:begin[row + 1]].tolist()
+                    for got in notices(text, (own - begin[row]).tolist(), t, enough[k]):
+                        out.append((ids[at + row], names[k], len(got) / len(t), got[0][0], got[-1][0]))
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "license", "coverage", "first_word", "last_word"])

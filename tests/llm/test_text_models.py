@@ -223,3 +223,14 @@ def test_forest(spark):
     assert secrets.train(found.where("label = 1"), 1000) is None
     again = secrets.vote(secrets.train(found, 1000, trees=7, depth=4), x, [None] * 400)
     assert np.allclose(got, again)
+
+
+def test_every_notice_of_a_text(spark):
+    far = "nothing of note stands here " * 40
+    talk, notice = "The MIT License covers code released under it.", "Released under the MIT License."
+    mit = licenses.TEMPLATES["MIT-text"]
+    rows = [(1, f"{talk} {far} {notice}"), (2, f"{notice} {far} {notice} {notice} {far} {talk}"), (3, f"{mit} {far} {mit} {mit}"), (4, f"{talk} {far} {talk}"), (5, f"{talk} {notice}")]
+    got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(licenses.template_words(mit))
+    assert got == [(1, "MIT", 1.0, 208, 212), (2, "MIT", 1.0, 0, 4), (2, "MIT", 1.0, 205, 209), (2, "MIT", 1.0, 210, 214),
+                   (3, "MIT-text", 1.0, 0, n - 1), (3, "MIT-text", 1.0, n + 200, 2 * n + 199), (3, "MIT-text", 1.0, 2 * n + 200, 3 * n + 199), (5, "MIT", 1.0, 8, 12)]
