@@ -5,7 +5,9 @@ pattern.  Each entity, in a normal form (digits of a number, lower-case address
 made from ``key``: a number keeps its format and first digit, an address keeps its letters-and-digits shape and top
 domain, a name keeps gender and script.  The map from entity to surrogate is one row an entity: surrogates that two
 entities share, or that are themselves entities of the corpus, are drawn again until none is left, so different entities
-stay different and mentions of one entity stay the same everywhere, whatever their format.
+stay different and mentions of one entity stay the same everywhere, whatever their format.  Each new draw of a family name has
+a syllable more, and a short format is widened when drawing in its own shape does not end (letters before the @, another first
+digit, then digits at the end, octets of any length), so the spaces grow with the entities; only IPv4 is as large as it is.
 
 Only texts with entities are taken apart; mentions are joined to the map, put in the form of the mention, and the text is
 put together again.  A hot entity is a hot row of the small map only; skewed joins split.
@@ -42,6 +44,9 @@ _GIVEN = {
 }
 _SYLLABLES = {"latin": ["ber", "lan", "mor", "ten", "wil", "dar", "han", "kel", "nor", "ris", "sal", "ver", "cor", "fen", "gar", "lin"],
               "cyrillic": ["бор", "вол", "гор", "дар", "зим", "кор", "лес", "мир", "нов", "рож", "сол", "тем", "фед", "чер", "шар", "яр"]}
+#: Attempts of a format's own shape before its space is widened, and syllables of a family name at most (16 ** 18 names).
+WIDER = 8
+MOST_SYLLABLES = 18
 
 
 def _possible(text: Column) -> Column:
@@ -86,7 +91,7 @@ def _surrogate(normal: Column, kind: Column, attempt: Column, key: str) -> Colum
     shaped = lambda a, fixed: F.array_join(F.transform(a, lambda x: F.when(fixed(x), x["c"]).when(x["c"].rlike("[0-9]"), digit(x))
                                                        .when(x["c"].rlike("[a-z]"), letter(x)).otherwise(x["c"])), "")
     top = F.length(normal) - F.length(F.substring_index(normal, ".", -1))
-    octets = F.transform(F.split(normal, r"\."), lambda o, i: (F.when(F.length(o) == 1, 1 + _number(digest, i, 9)).when(
+    octets = F.transform(F.split(normal, r"\."), lambda o, i: (F.when(attempt >= WIDER, _number(digest, i, 256)).when(F.length(o) == 1, 1 + _number(digest, i, 9)).when(
         F.length(o) == 2, 10 + _number(digest, i, 90)).otherwise(100 + _number(digest, i, 150))).cast("string"))
     parts = [F.get(F.split(normal, r"\|"), F.lit(i)) for i in range(3)]
     given = F.lit(None).cast("string")
@@ -96,18 +101,23 @@ def _surrogate(normal: Column, kind: Column, attempt: Column, key: str) -> Colum
     family = F.lit("")
     for script, syllables in _SYLLABLES.items():
         bank = F.array(*[F.lit(x) for x in syllables])
-        made = F.concat(*[F.element_at(bank, (_number(digest, F.lit(i), len(syllables)) + 1).cast("int")) for i in (3, 5, 7)])
+        places = F.sequence(F.lit(0), 2 + F.least(attempt, F.lit(MOST_SYLLABLES - 3)))
+        made = F.array_join(F.transform(places, lambda i: F.element_at(bank, (_number(digest, 3 + 2 * i, len(syllables)) + 1).cast("int"))), "")
         family = F.when(parts[1] == script, made).otherwise(family)
     name = F.when(parts[2].contains(" "), F.concat_ws(" ", given, F.initcap(family))).otherwise(F.initcap(family))
-    return (F.when(kind == "email", shaped(chars, lambda x: x["i"] >= top)).when(kind == "ip", F.array_join(octets, "."))
-            .when(kind == "name", name).when(kind == "iban", shaped(chars, lambda x: x["i"] < 2)).otherwise(shaped(chars, lambda x: x["i"] == 0)))
+    # the space of a short format is widened: letters before the @, another first digit, digits at the end
+    more = lambda from_, one: F.array_join(F.when(attempt >= from_, F.transform(F.sequence(F.lit(from_), attempt), one)).otherwise(F.array().cast("array<string>")), "")
+    email = F.replace(shaped(chars, lambda x: x["i"] >= top), F.lit("@"), F.concat(more(WIDER, lambda i: F.char(97 + _number(digest, 7 * i + 1, 26))), F.lit("@")))
+    number = F.concat(shaped(chars, lambda x: (x["i"] == 0) & (attempt < WIDER)), more(2 * WIDER, lambda i: _number(digest, 7 * i + 1, 10).cast("string")))
+    return (F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, "."))
+            .when(kind == "name", name).when(kind == "iban", shaped(chars, lambda x: x["i"] < 2)).otherwise(number))
 
 
 def _rendered(value: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the mention."""
     poured = F.aggregate(F.split(value, ""), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), lambda s, c: F.when(
         c.rlike("[0-9]"), F.struct((s["i"] + 1).alias("i"), F.concat(s["out"], F.substr(surrogate, s["i"] + 1, F.lit(1))).alias("out"))).otherwise(
-        F.struct(s["i"].alias("i"), F.concat(s["out"], c).alias("out"))), lambda s: s["out"])
+        F.struct(s["i"].alias("i"), F.concat(s["out"], c).alias("out"))), lambda s: F.concat(s["out"], F.substr(surrogate, s["i"] + 1)))
     return (F.when(kind.isin("phone", "card", "ssn"), poured).when(kind == "name", F.concat_ws(" ", _title(value), surrogate))
             .when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate))
 
