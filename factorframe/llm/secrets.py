@@ -1,7 +1,8 @@
 """Secret scan with a random forest against false positives (operator 10).
 
 Candidates are runs of 16 or more characters of keys (letters, digits, ``+ / _ -``) with a digit, or with capitals after
-small letters.  A forest judges them by length, character classes, transitions, coverage by the corpus's own letter
+small letters, and, whatever their characters, the whole quoted or unspaced values of 6 or more characters after a
+credential's name with ``=`` or ``:`` and the passwords in URLs.  A forest judges them by length, character classes, transitions, coverage by the corpus's own letter
 trigrams (the dictionary, at most 64 ** 3 entries, counted over all documents), path, and the words around.  It is
 trained by Spark on labelled findings: those that the caller gives, or those whose context settles the matter (an
 assignment to a credential's name, a provider's fixed format; against that card numbers, identifiers named as such, and
@@ -35,6 +36,14 @@ HARMLESS = re.compile(r"(?i)\b(example|sample|test|dummy|placeholder|sha1|sha256
 PROVIDER = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 USEFUL = re.compile(r"[0-9]|[a-z][A-Z]")
+# The whole value after a credential's name with = or :, quoted or up to white space, and the password part of URLs.
+NAMED = re.compile(CREDENTIAL.pattern + r"""[\w\-]{0,64}["'`\])]?\s{0,4}(?:=>|:=|[=:])\s{0,4}(?:(?:bearer|basic|token)\s+)?"""
+                   r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|`([^`\n]{6,})`|([^\s"'`]\S{5,}))""")
+IN_URL = re.compile(r"://[^\s/:@]*:([^\s/]+)@")
+NEXT_FIELD = re.compile(r"[&;,](?=[\w\-.]+=)")
+#: No value but a place for one.
+PLACE = re.compile(r"<[^<>]*>|\$\{[^{}]*\}?|\{\{.*|\$[A-Z_]{3,}|%[A-Z_]+%|\*+|\.+|(?i:x+|null|none|true|false|undefined)")
+CALL = re.compile(r"[A-Za-z_][\w.]*\(")
 ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
 PLAIN_LETTERS = re.compile(r"[A-Za-z]+")
 
@@ -56,14 +65,25 @@ def _letters(value: str, model: np.ndarray) -> tuple[float, float]:
     return (sum(got) / len(got), sum(x >= np.log(COMMON) for x in got) / len(got)) if got else (-20.0, 0.0)
 
 
+def places(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, found by context alone) of each candidate, in order; one by context may hold others."""
+    runs = {m.span() for m in CANDIDATE.finditer(text) if USEFUL.search(m.group())}
+    named = {m.span(1) for m in IN_URL.finditer(text)} if "://" in text else set()
+    for m in NAMED.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 5:
+            end = start + len(NEXT_FIELD.split(text[start:end])[0].rstrip(".,;:)]}>\"'`"))
+        if end - start >= 6:
+            named.add((start, end))
+    return sorted([(*x, False) for x in runs] + [(*x, True) for x in named - runs])
+
+
 def candidates(text: str, source: str | None, model: np.ndarray):
     """(start, end, features, label) of each candidate; label 1 secret, 0 harmless, None open."""
-    for m in CANDIDATE.finditer(text):
-        value = m.group()
-        if not USEFUL.search(value):
-            continue
+    for start, end, named in places(text):
+        value = text[start:end]
         n = len(value)
-        before, after = text[max(0, m.start() - 48):m.start()], text[m.end():m.end() + 24]
+        before, after = text[max(0, start - 48):start], text[end:end + 24]
         near = before[-32:]
         digits, capitals, small = (sum(map(f, value)) for f in (str.isdigit, str.isupper, str.islower))
         kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
@@ -71,6 +91,7 @@ def candidates(text: str, source: str | None, model: np.ndarray):
         likely, coverage = _letters(value, model)
         assigned = bool(ASSIGNED.search(before))
         name = CREDENTIAL.search(near)
+        known = named or name is not None
         harmless = bool(HARMLESS.search(near) or HARMLESS.search(after))
         hexed = all(c in "0123456789abcdefABCDEF" for c in value)
         checksum = digits == n and _luhn(value)
@@ -78,13 +99,19 @@ def candidates(text: str, source: str | None, model: np.ndarray):
         path = "/" in value.strip("/") and coverage > 0.5 or before[-1:] in ("/", "\\") or bool(source and "/" in source)
         between = len(before[before.rfind(name.group()):].split()) if name else 9
         x = [n, digits / n, capitals / n, small / n, (n - digits - capitals - small) / n, hexed, sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
-             float(-(counts * np.log2(counts)).sum()), likely, coverage, assigned, before[-1:] in "\"'`" and bool(before), bool(name), harmless, path, checksum, family, between]
+             float(-(counts * np.log2(counts)).sum()), likely, coverage, assigned, before[-1:] in "\"'`" and bool(before), known, harmless, path, checksum, family, between]
         label = None
-        if family or (assigned and name and not harmless):
+        if named:  # a word of the language may be prose or a password: only what cannot be both is settled
+            bare = before[-1:] not in ("\"", "'", "`")
+            if PLACE.fullmatch(value) or (bare and CALL.match(value)) or (bare and before[-1:] != "=" and value.isalpha() and coverage > 0.9):
+                label = 0
+            elif USEFUL.search(value) and not harmless:
+                label = 1
+        elif family or (assigned and name and not harmless):
             label = 1
         elif digits == n or harmless or coverage > 0.9 or (not assigned and name is None and n - digits <= 2):
             label = 0
-        yield m.start(), m.end(), [float(v) for v in x], label
+        yield start, end, [float(v) for v in x], label
 
 
 def findings(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -198,9 +225,16 @@ def redacted(docs: DataFrame, train_rows: int = 10_000, threshold: float = 0.5,
             got = [(i, *c) for i, (t, s) in enumerate(zip(texts, sources)) if t for c in candidates(t, s, sent.value)]
             if got:
                 scores = vote(forest, np.array([g[3] for g in got]), [g[4] for g in got])
-                for (i, start, end, _, _), score in reversed(list(zip(got, scores))):
-                    if score >= threshold:
-                        texts[i] = texts[i][:start] + mask + texts[i][end:]
+                spans: list[list[int]] = []
+                for (i, start, end, _, _), score in zip(got, scores):
+                    if score < threshold:
+                        continue
+                    if spans and spans[-1][0] == i and start < spans[-1][2]:  # one holds the other
+                        spans[-1][2] = max(end, spans[-1][2])
+                    else:
+                        spans.append([i, start, end])
+                for i, start, end in reversed(spans):
+                    texts[i] = texts[i][:start] + mask + texts[i][end:]
                 names = batch.schema.names
                 batch = batch.set_column(names.index("text"), "text", pa.array(texts, batch.schema.field("text").type))
                 if "n_chars" in names:
