@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorframe.llm import chat, jaccard_join, language_id, licenses, mixing, packing, pii, quality, secrets, sharding, topk
+from factorframe.llm import chat, jaccard_join, language_id, licenses, manifest, mixing, packing, pii, quality, secrets, sharding, topk
 from factorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,36 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text")))
     return chat.digests(chat.chats(chat.text_parts(rows)))
 
+_FIELDS = " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in
+                      ("doc_id", "source", "lang", "{n}", "text"))
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({_FIELDS.replace("{n}", "n_chars")}) AS leaf, sha256({_FIELDS.replace("{n}", "(n_chars + 1)")}) AS other,
+  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: list_reduce(
+    [xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295), 4294967295) AS crc FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS slot, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g,
+  CASE WHEN crc % 7 = 0 THEN other ELSE leaf END AS claim FROM d),
+l AS (SELECT g, 0 AS lvl, slot, leaf AS digest, count(*) OVER (PARTITION BY g) AS w FROM p
+  UNION ALL SELECT g, lvl + 1, slot // 2, sha256(string_agg(digest, '' ORDER BY slot)), (any_value(w) + 1) // 2 FROM l WHERE w > 1 GROUP BY g, lvl, slot // 2),
+u AS (SELECT 0 AS lvl, g - 1 AS slot, digest, count(*) OVER () AS w FROM l WHERE w = 1
+  UNION ALL SELECT lvl + 1, slot // 2, sha256(string_agg(digest, '' ORDER BY slot)), (any_value(w) + 1) // 2 FROM u WHERE w > 1 GROUP BY lvl, slot // 2),
+r AS (SELECT digest AS root FROM u WHERE w = 1),
+n AS (SELECT g, lvl, slot, digest FROM l WHERE w > 1 UNION ALL
+  SELECT s.g, h.lvl + s.depth, h.slot, h.digest FROM u h JOIN (SELECT g, max(lvl) AS depth FROM l GROUP BY g) s ON h.w > 1 AND h.slot = xor((s.g - 1) >> h.lvl, 1)),
+t AS (SELECT g, max(lvl) AS depth, max_by(digest, lvl) AS subroot FROM l GROUP BY g),
+k AS (SELECT p.doc_id, p.g, p.slot AS pos, t.depth, t.subroot, p.leaf, p.claim FROM p JOIN t USING (g)),
+s AS (SELECT k.doc_id, k.g, k.pos, n.lvl, n.digest, CASE WHEN n.lvl < k.depth THEN (k.pos >> n.lvl) % 2 ELSE ((k.g - 1) >> (n.lvl - k.depth)) % 2 END AS odd
+  FROM k JOIN n ON n.g = k.g AND (n.lvl >= k.depth OR n.slot = xor(k.pos >> n.lvl, 1))),
+f AS (SELECT k.doc_id, k.g, k.pos, 0 AS lvl, claim AS node, k.depth + (SELECT max(lvl) FROM u) AS top FROM k
+  UNION ALL SELECT f.doc_id, f.g, f.pos, f.lvl + 1, sha256(CASE WHEN s.odd = 1 THEN s.digest || f.node ELSE f.node || coalesce(s.digest, '') END), f.top
+  FROM f LEFT JOIN s ON s.g = f.g AND s.pos = f.pos AND s.lvl = f.lvl WHERE f.lvl < f.top),
+q AS (SELECT g, pos, sha256(string_agg(digest, '' ORDER BY lvl)) AS proof_sha256 FROM s GROUP BY g, pos)
+SELECT k.doc_id, k.leaf, k.subroot, r.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = r.root AS verified
+FROM k JOIN f ON f.g = k.g AND f.pos = k.pos AND f.lvl = f.top CROSS JOIN r LEFT JOIN q ON q.g = k.g AND q.pos = k.pos""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.tampered()).select(*columns)
+
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
