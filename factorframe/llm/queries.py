@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorframe.llm import chat, jaccard_join, language_id, licenses, manifest, mixing, packing, pii, quality, secrets, sharding, topk
+from factorframe.llm import chat, jaccard_join, language_id, licenses, manifest, mixing, packing, pii, quality, secrets, sharding, token_alignment, topk
 from factorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     return manifest.manifest(table(spark, sf_dir, "documents"), manifest.tampered()).select(*columns)
 
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
