@@ -32,51 +32,68 @@ def prediction_log(predictions: DataFrame, days=2 * WINDOW_DAYS) -> DataFrame:
     return kept.dropDuplicates(["prediction_id"])
 
 
-def with_actuals(predictions: DataFrame, actuals: DataFrame, days=WINDOW_DAYS, how="left_outer") -> DataFrame:
+def with_actuals(predictions: DataFrame, actuals: DataFrame, days=WINDOW_DAYS, how="left_outer", late_days=WINDOW_DAYS) -> DataFrame:
     """L2: actuals(prediction_id, actual, actual_ts) attached by id, the first update of an id counts.
 
     On streams this is a stream-stream join with a time bound; unmatched
-    predictions appear once the watermark has passed.
+    predictions appear once the watermark has passed.  ``late_days``: how late rows of either side may come.
     """
-    left = predictions.withWatermark("ts", f"{days} days")
-    right = actuals.select(c("prediction_id").alias("_id"), "actual", "actual_ts").withWatermark("actual_ts", f"{days} days")
+    left = predictions.withWatermark("ts", f"{late_days} days")
+    right = actuals.select(c("prediction_id").alias("_id"), "actual", "actual_ts").withWatermark("actual_ts", f"{late_days} days")
     right = right.dropDuplicatesWithinWatermark(["_id"]) if actuals.isStreaming else right.groupBy("_id").agg(
         F.min_by("actual", "actual_ts").alias("actual"), F.min("actual_ts").alias("actual_ts"))
     bound = (c("prediction_id") == c("_id")) & (c("actual_ts") >= c("ts")) & (c("actual_ts") <= c("ts") + F.expr(f"interval {days} days"))
     return left.join(right, bound, how).drop("_id")
 
 
-def _scores() -> list[Column]:
-    seen = c("actual").isNotNull()
-    p, a = F.when(seen, c("prediction")), c("actual")
-    e = p - a
-    sd = F.stddev_pop(p) * F.stddev_pop(a)
-    return [F.count(F.lit(1)).alias("predictions"), F.count(a).alias("with_actual"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-            F.when(sd > 0, F.covar_pop(p, a) / sd).alias("correlation"), F.avg(((p > 0) == (a > 0)).cast("double")).alias("directional_accuracy"),
-            (F.count(a) / F.count(F.lit(1))).alias("feedback_rate")]
+def _watermarked(df: DataFrame, late_days: int) -> DataFrame:
+    return df.withWatermark("ts", f"{late_days} days") if df.isStreaming else df
+
+
+def _paned(df: DataFrame, keys: list[str], slide: str, moments: list[Column], length: str, merged: list[Column]) -> DataFrame:
+    """``merged`` moments per sliding window: rows are reduced to one pane a slide first, and only panes are copied to the
+    windows that hold them.  On a stream both steps keep open panes and windows only and append what the watermark closes."""
+    panes = df.groupBy(F.window("ts", slide).alias("pane"), *keys).agg(*moments)
+    return panes.groupBy(F.window("pane", length, slide).alias("w"), *keys).agg(*merged)
 
 
-def window_performance(predictions: DataFrame, length="30 days", slide="1 day") -> DataFrame:
+def window_performance(predictions: DataFrame, length="30 days", slide="1 day", late_days=2 * WINDOW_DAYS) -> DataFrame:
     """L3: figures per model and sliding window."""
-    df = predictions.withWatermark("ts", f"{2 * WINDOW_DAYS} days") if predictions.isStreaming else predictions
-    out = df.groupBy(F.window("ts", length, slide).alias("w"), "model_id").agg(*_scores())
+    p, a = F.when(c("actual").isNotNull(), c("prediction")), F.when(c("prediction").isNotNull(), c("actual"))
+    e = p - a
+    moments = [F.count(F.lit(1)).alias("_n"), F.count("actual").alias("_known"), F.count(e).alias("_k"), F.sum(F.abs(e)).alias("_abs"), F.sum(e * e).alias("_sq"),
+               F.avg(p).alias("_p"), F.avg(a).alias("_a"), (F.var_pop(p) * F.count(e)).alias("_pp"), (F.var_pop(a) * F.count(e)).alias("_aa"),
+               (F.covar_pop(p, a) * F.count(e)).alias("_pa"), F.sum(((p > 0) == (a > 0)).cast("long")).alias("_hits")]
+    k = F.nullif(F.sum("_k"), F.lit(0))
+    both = lambda m, x, y: F.sum(c(m) + c("_k") * c(x) * c(y)) - F.sum(c("_k") * c(x)) * F.sum(c("_k") * c(y)) / k  # pooled about the window's means
+    spread = lambda m, x: F.when(both(m, x, x) > 1e-12 * F.sum(c(m) + c("_k") * c(x) * c(x)), both(m, x, x))
+    merged = [F.sum("_n").alias("predictions"), F.sum("_known").alias("with_actual"), (F.sum("_abs") / k).alias("mae"), F.sqrt(F.sum("_sq") / k).alias("rmse"),
+              (both("_pa", "_p", "_a") / F.sqrt(spread("_pp", "_p") * spread("_aa", "_a"))).alias("correlation"),
+              (F.sum("_hits") / k).alias("directional_accuracy"), (F.sum("_known") / F.sum("_n")).alias("feedback_rate")]
+    out = _paned(_watermarked(predictions, late_days), ["model_id"], slide, moments, length, merged)
     return out.select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *[x for x in out.columns if x != "w"])
 
 
-def daily_counts(predictions: DataFrame) -> DataFrame:
+def daily_counts(predictions: DataFrame, late_days=2 * WINDOW_DAYS) -> DataFrame:
     """L4: predictions per model and day (tumbling window)."""
-    df = predictions.withWatermark("ts", f"{2 * WINDOW_DAYS} days") if predictions.isStreaming else predictions
-    out = df.groupBy(F.window("ts", "1 day").alias("w"), "model_id").agg(F.count(F.lit(1)).alias("predictions"))
+    out = _watermarked(predictions, late_days).groupBy(F.window("ts", "1 day").alias("w"), "model_id").agg(F.count(F.lit(1)).alias("predictions"))
     return out.select(F.to_date("w.start").alias("day"), "model_id", "predictions")
 
 
-def feature_statistics(predictions: DataFrame, length="30 days", names: list[str] | None = None) -> DataFrame:
-    """Mean, std, min, max and missing rate of every feature per model and window."""
-    df = predictions.withWatermark("ts", f"{2 * WINDOW_DAYS} days") if predictions.isStreaming else predictions
-    long = df.select("ts", "model_id", F.explode("features").alias("feature", "v"))
-    out = long.groupBy(F.window("ts", length).alias("w"), "model_id", "feature").agg(
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
-        F.avg(c("v").isNull().cast("double")).alias("missing_rate"))
+def feature_statistics(predictions: DataFrame, length="30 days", late_days=2 * WINDOW_DAYS, slide: str | None = None) -> DataFrame:
+    """Mean, std, min, max and missing rate of every feature per model and window (sliding if ``slide`` says so)."""
+    long = _watermarked(predictions, late_days).select("ts", "model_id", F.explode("features").alias("feature", "v"))
+    moments = [F.count(F.lit(1)).alias("_n"), F.count("v").alias("_k"), F.avg("v").alias("_m"), (F.var_pop("v") * F.count("v")).alias("_mm"),
+               F.min("v").alias("_lo"), F.max("v").alias("_hi")]
+    k = F.nullif(F.sum("_k"), F.lit(0))
+    squares = F.sum(c("_mm") + c("_k") * c("_m") * c("_m")) - F.pow(F.sum(c("_k") * c("_m")), F.lit(2.0)) / k
+    merged = [(F.sum(c("_k") * c("_m")) / k).alias("mean"), F.sqrt(F.greatest(squares, F.lit(0.0)) / F.nullif(k - 1, F.lit(0))).alias("std"),
+              F.min("_lo").alias("lowest"), F.max("_hi").alias("highest"), (1 - F.sum("_k") / F.sum("_n")).alias("missing_rate")]
+    if slide is None:
+        panes = long.groupBy(F.window("ts", "1 day").alias("pane"), "model_id", "feature").agg(*moments)
+        out = panes.groupBy(F.window("pane", length).alias("w"), "model_id", "feature").agg(*merged)
+    else:
+        out = _paned(long, ["model_id", "feature"], slide, moments, length, merged)
     return out.select(c("w.start").alias("window_start"), *[x for x in out.columns if x != "w"])
 
 
@@ -97,6 +114,13 @@ def degradation(current: DataFrame, baseline: DataFrame, metrics: list[str], thr
     return out.withColumn("degraded", c("relative_change") > threshold)
 
 
+def _ks_pvalue(d: Column, n: Column, m: Column) -> Column:
+    """Asymptotic p-value of the two-sample statistic (Kolmogorov's series)."""
+    lam2 = F.pow(d, F.lit(2.0)) * n * m / (n + m)
+    terms = [(2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * lam2) for k in range(1, 41)]
+    return F.when(lam2 < 0.04, 1.0).otherwise(F.greatest(F.least(sum(terms[1:], terms[0]), F.lit(1.0)), F.lit(0.0)))
+
+
 def drift(reference: DataFrame, current: DataFrame, bins=10, psi_limit=DRIFT, by=("feature",)) -> DataFrame:
     """L7 (batch or inside foreachBatch): two-sample KS statistic with its asymptotic p-value, and PSI over equal bins
     of the reference range.  Both frames are (feature, value); groups may be of any size."""
@@ -114,10 +138,7 @@ def drift(reference: DataFrame, current: DataFrame, bins=10, psi_limit=DRIFT, by
     cum = tagged.select(*keys, "_bucket", *[F.sum(x).over(inside).alias(f"_c{x}") for x in "ab"]).join(sizes, [*keys, "_bucket"])
     share = lambda x: (c(f"_c{x}") + c(f"_o{x}")) / F.nullif(c(f"n_{x}"), F.lit(0))
     ks = cum.groupBy(*keys).agg(F.max(F.abs(share("a") - share("b"))).alias("ks_statistic"), F.max("n_a").alias("n_reference"), F.max("n_b").alias("n_current"))
-    lam2 = F.pow("ks_statistic", 2.0) * c("n_reference") * c("n_current") / (c("n_reference") + c("n_current"))
-    terms = [(2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * lam2) for k in range(1, 41)]
-    p = F.when(lam2 < 0.04, 1.0).otherwise(F.greatest(F.least(sum(terms[1:], terms[0]), F.lit(1.0)), F.lit(0.0)))
-    ks = ks.withColumn("ks_pvalue", p)
+    ks = ks.withColumn("ks_pvalue", _ks_pvalue(c("ks_statistic"), c("n_reference"), c("n_current")))
 
     span = reference.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     width = F.nullif((c("_hi") - c("_lo")) / bins, F.lit(0.0))
@@ -133,6 +154,56 @@ def drift(reference: DataFrame, current: DataFrame, bins=10, psi_limit=DRIFT, by
     return out.withColumn("drift_detected", (c("ks_pvalue") < 0.05) | (c("psi") > psi_limit))
 
 
+def _cell(fine: int, bins: int) -> Column:
+    """Cell of ``value`` in the reference range (_lo, _hi): ``fine`` cells a bin from 0; -1 below the range, bins * fine above."""
+    width = F.nullif((c("_hi") - c("_lo")) / bins, F.lit(0.0))
+    at = F.greatest(F.ceil(F.round((c("value") - c("_lo")) / width, 9) * fine) - 1, F.lit(0))
+    return F.when(c("value") < c("_lo"), -1).when(c("value") > c("_hi"), bins * fine).otherwise(F.coalesce(at, F.lit(0))).cast("int")
+
+
+def drift_reference(reference: DataFrame, bins=10, fine=32, by=("feature",)) -> DataFrame:
+    """The stored side of a running comparison, one row a feature: range, rows, and rows per cell of a histogram."""
+    keys, rows = list(by), reference.where("value is not null")
+    span = rows.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count(F.lit(1)).alias("n_reference"))
+    cells = rows.join(span, keys).groupBy(*keys, _cell(fine, bins).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    held = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("_reference"))
+    return span.join(held, keys)
+
+
+def windowed_drift(current: DataFrame, reference: DataFrame, length="30 days", late_days=2 * WINDOW_DAYS, bins=10, fine=32, psi_limit=DRIFT, by=("feature",)) -> DataFrame:
+    """current(ts, feature, value), batch or stream, against ``drift_reference`` per tumbling window.
+
+    Rows become counts per window, feature and cell, at most ``bins * fine + 2`` of them, which is all the state there is.
+    PSI is exact, since cells make up its bins.  The KS statistic is taken at cell borders: the exact one lies between
+    ``ks_statistic`` and ``ks_statistic + ks_bound``, the largest share that one cell holds on either side.
+    """
+    keys, top = list(by), bins * fine
+    rows = _watermarked(current, late_days).join(reference.select(*keys, "_lo", "_hi"), keys).where("value is not null")
+    counts = rows.groupBy(F.window("ts", length).alias("w"), *keys, _cell(fine, bins).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("w", *keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("_current"), F.sum("n").alias("n_current"))
+    out = held.join(reference.select(*keys, "n_reference", "_reference"), keys)
+    cells = F.sequence(F.lit(-1), F.lit(top))
+    share = lambda m, n: (lambda i: F.coalesce(F.try_element_at(c(m), i), F.lit(0)) / c(n))
+    a, b = share("_reference", "n_reference"), share("_current", "n_current")
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("d"), F.lit(0.0).alias("most"))
+
+    def step(s, x):
+        up, down = s["a"] + x["a"], s["b"] + x["b"]
+        return F.struct(up.alias("a"), down.alias("b"), F.greatest(s["d"], F.abs(up - down)).alias("d"), F.greatest(s["most"], x["a"], x["b"]).alias("most"))
+
+    out = out.withColumn("_cells", F.transform(cells, lambda i: F.struct(a(i).alias("a"), b(i).alias("b"))))
+    out = out.withColumn("_ks", F.aggregate("_cells", start, step))
+    inside = lambda side: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.aggregate(
+        F.slice("_cells", k * fine + 2, fine), F.lit(0.0), lambda t, x: t + x[side]))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y)
+    out = out.withColumn("_a", inside("a")).withColumn("_b", inside("b")).withColumn("_ta", total(c("_a"))).withColumn("_tb", total(c("_b")))
+    pct = lambda x, t: F.when(x > 0, x / c(t)).otherwise(0.0001)
+    psi = total(F.zip_with("_a", "_b", lambda x, y: (pct(y, "_tb") - pct(x, "_ta")) * F.ln(pct(y, "_tb") / pct(x, "_ta"))))
+    out = out.select(c("w.start").alias("window_start"), *keys, "n_reference", "n_current", c("_ks.d").alias("ks_statistic"), c("_ks.most").alias("ks_bound"), psi.alias("psi"))
+    out = out.withColumn("ks_pvalue", _ks_pvalue(c("ks_statistic"), c("n_reference"), c("n_current")))
+    return out.withColumn("drift_detected", (c("ks_pvalue") < 0.05) | (c("psi") > psi_limit))
+
+
 def daily_health(predictions: DataFrame, flags: DataFrame | None = None, alerts=ALERTS) -> DataFrame:
     """L8 (batch): (model_id, day, issues, status, changed).
 
@@ -156,21 +227,46 @@ def health_status(issues, alerts=ALERTS) -> Column:
     return F.when(c(issues) == 0, "healthy").when(c(issues) <= alerts, "warning").otherwise("critical")
 
 
-def status_changes(checks: DataFrame) -> DataFrame:
-    """L8 on a stream of checks(model_id, ts, status): one row whenever a model's status differs from the one before."""
+DAY_MS = 86_400_000
+
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
-            if last is not None and row.status != last:
-                rows.append((key[0], row.ts, last, row.status))
-            last = row.status
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["model_id", "ts", "old_status", "new_status"])
+def running_health(predictions: DataFrame, late_days=2, alerts=ALERTS) -> DataFrame:
+    """L8 on a stream of predictions(model_id string, ts, actual): (model_id, day, issues, status, changed) for every day of a
+    model from its first one, once the watermark has closed it.
+
+    The state of a model is a pair of counts for each open day.  A timer at the end of its next day fires without
+    any prediction, so silence is reported too; rows older than the watermark are dropped.  The empty model_id is a heartbeat.
+    """
 
-    return checks.groupBy("model_id").applyInPandasWithState(
-        step, "model_id string, ts timestamp, old_status string, new_status string", "status string", "append", "NoTimeout")
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if not key[0]:
+            return
+        days, sizes, known, at, last = state.get if state.exists else ([], [], [], None, None)
+        held = {d: (n, k) for d, n, k in zip(days, sizes, known)}
+        for f in frames if not state.hasTimedOut else ():
+            of = pd.DataFrame({"day": f["ts"].astype("int64") // {"s": 86_400, "ms": DAY_MS, "us": DAY_MS * 1000, "ns": DAY_MS * 1_000_000}[f["ts"].dt.unit],
+                               "known": f["actual"].notna()}).groupby("day")["known"].agg(["size", "sum"])
+            for d, n, k in of.itertuples():
+                a, b = held.get(d, (0, 0))
+                held[int(d)] = (a + int(n), b + int(k))
+        if last is None and held:  # nothing reported yet: the first day may still move back
+            at = min(held)
+        rows, closed = [], state.getCurrentWatermarkMs() // DAY_MS
+        while at < closed:
+            n, k = held.pop(at, (0, 0))
+            issues = 1 if n == 0 else int(k / n < MIN_FEEDBACK)
+            status = "healthy" if issues == 0 else "warning" if issues <= alerts else "critical"
+            rows.append((key[0], at, issues, status, last is not None and status != last))
+            at, last = at + 1, status
+        order = sorted(held)
+        state.update((order, [held[d][0] for d in order], [held[d][1] for d in order], at, last))
+        state.setTimeoutTimestamp((at + 1) * DAY_MS)
+        yield pd.DataFrame(rows, columns=["model_id", "day", "issues", "status", "changed"])
+
+    out = predictions.select("model_id", "ts", c("actual").cast("double").alias("actual")).withWatermark("ts", f"{late_days} days").groupBy("model_id").applyInPandasWithState(
+        step, "model_id string, day int, issues int, status string, changed boolean",
+        "days array<int>, sizes array<long>, known array<long>, at int, last string", "append", "EventTimeTimeout")
+    return out.withColumn("day", F.date_from_unix_date("day"))
 
 
 def run_available(stream: DataFrame, mode="append") -> DataFrame:
