@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from factorframe.functions.stats import sharpe
 from factorframe.functions.windows import change, compounded
-from factorframe.operators import estimate, ml
+from factorframe.operators import estimate, ml, search
 from factorframe.plans.catalog import query
 from factorframe.plans.ols_sql import ols_sql
 from factorframe.plans.q_estimate import FRAME, PANEL, _panel, frame
@@ -131,6 +131,56 @@ def _(p):
 def _(p):
     return ml.best_parameters(_cv(p, [0.001, 0.1, 10.0]), n=2)
 
+TRIALS, FOLDS, SEED = 16, 5, 11
+
+
+def _space_sql(space, trials):
+    """Points of ``search.points`` in SQL."""
+    u = lambda n: f"(CAST(('0x' || substr(md5('{SEED}:' || trial || ':{n}'), 1, 13)) AS BIGINT) / pow(16, 13))"
+    kinds = {"log": lambda n, a, b: f"exp(ln({a!r}) + {u(n)} * (ln({b!r}) - ln({a!r})))", "int": lambda n, a, b: f"CAST({a} + floor({u(n)} * {b - a + 1}) AS INTEGER)",
+             "choice": lambda n, v: f"({[str(x).lower() for x in v]})[CAST(floor({u(n)} * {len(v)}) AS INTEGER) + 1] = 'true'"}
+    return f"SELECT CAST(trial AS INTEGER) AS trial, {', '.join(f'{kinds[s[0]](n, *s[1:])} AS {n}' for n, s in space.items())} FROM range({trials}) t(trial)"
+
+
+def _halving_sql(n, folds):
+    """Rungs over s(trial, fold, r2) and pts."""
+    out, alive = [], "SELECT trial FROM pts"
+    for rung, upto in enumerate(search.budgets(folds)):
+        keep = 1 if upto == folds else -(-n // 2)
+        out.append(f"""g{rung} AS (SELECT {rung} AS rung, {upto} AS folds, trial, m AS mean_score, row_number() OVER (ORDER BY m DESC NULLS LAST, trial) AS place FROM
+          (SELECT trial, CASE WHEN count(r2) = {upto} THEN avg(r2) END AS m FROM ({alive}) LEFT JOIN (SELECT * FROM s WHERE fold < {upto}) USING (trial) GROUP BY 1))""")
+        alive, n = f"SELECT trial FROM g{rung} WHERE place <= {keep}", keep
+    keeps, n = [], TRIALS
+    for rung, upto in enumerate(search.budgets(folds)):
+        n = 1 if upto == folds else -(-n // 2)
+        keeps.append(f"SELECT *, place <= {n} AS kept FROM g{rung}")
+    return ", ".join(out), " UNION ALL ".join(keeps)
+
+
+RUNGS, ALL_RUNGS = _halving_sql(TRIALS, FOLDS)
+SEARCH = f"""WITH f AS (SELECT p.fold, p.role, x.* FROM {FRAME} x JOIN ({PURGED}) p ON x.date = p.date WHERE y IS NOT NULL AND MKT IS NOT NULL AND SMB IS NOT NULL),
+    pts AS ({_space_sql(search.LINEAR, TRIALS)}),
+    m AS (SELECT fold, symbol, count(*) AS n, avg(y) AS my, avg(MKT) AS m1, avg(SMB) AS m2, var_pop(MKT) AS s11, var_pop(SMB) AS s22, covar_pop(MKT, SMB) AS s12,
+      covar_pop(MKT, y) AS y1, covar_pop(SMB, y) AS y2 FROM f WHERE role = 'train' GROUP BY 1, 2 HAVING count(*) >= 50),
+    a AS (SELECT *, s11 + ridge / n * CASE WHEN scaled THEN s11 ELSE 1 END AS a1, s22 + ridge / n * CASE WHEN scaled THEN s22 ELSE 1 END AS a2, CASE WHEN factors = 2 THEN s12 ELSE 0 END AS a12 FROM m, pts),
+    b AS (SELECT fold, symbol, trial, my, m1, m2, CASE WHEN factors = 2 THEN (y1 * a2 - a12 * y2) / (a1 * a2 - a12 * a12) ELSE y1 / a1 END AS b1,
+      CASE WHEN factors = 2 THEN (a1 * y2 - a12 * y1) / (a1 * a2 - a12 * a12) ELSE 0 END AS b2 FROM a),
+    s AS (SELECT trial, fold, 1 - avg(pow(y - (my + b1 * (MKT - m1) + b2 * (SMB - m2)), 2)) / var_pop(y) AS r2 FROM f JOIN b USING (fold, symbol) WHERE role = 'test' GROUP BY 1, 2), {RUNGS}
+    SELECT CAST(rung AS INTEGER) AS rung, CAST(folds AS INTEGER) AS folds, trial, ridge, scaled, factors, mean_score, CAST(place AS INTEGER) AS place, kept FROM ({ALL_RUNGS}) JOIN pts USING (trial)"""
+
+
+@query("m17_halving_search", "bars ret factors", SEARCH, "ridge:6 mean_score:6")
+def _(p):
+    pts = search.points(p.spark, search.LINEAR, TRIALS, SEED)
+    return search.linear_search(frame(p, XS), ml.purged_split(ml.date_index(p.bars)), XS, pts, FOLDS)
+
+
+@query("m17_tree_search")
+def _(p):
+    """Two rungs over four points of a small space; trees are fitted again only for the better two."""
+    space = {"trees": ("int", 2, 5), "depth": ("int", 1, 3), "rate": ("log", 0.05, 0.5)}
+    return search.tree_search(_train(p), ml.purged_split(ml.date_index(p.bars), folds=2), ["mom", "vol"], search.points(p.spark, space, 4, SEED), 2)
+
 
 RES = """(SELECT symbol AS model, (avg(r) - (pow(1.02, 1.0 / 252) - 1)) / stddev_samp(r) * sqrt(252) AS sharpe_ratio, exp(sum(ln(1 + r))) - 1 AS total_return FROM ret GROUP BY 1)"""
 
