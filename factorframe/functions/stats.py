@@ -28,13 +28,18 @@ def count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(cond.cast("long")), F.lit(0))
 
 
+#: A side whose deviation is below this share of its mean size counts as constant: its correlation would be rounding noise.
+FLAT = 1e-6
+
+
 def safe_corr(x, y) -> Column:
-    """Pearson correlation, null when either side is constant or fewer than two pairs exist."""
+    """Pearson correlation within [-1, 1], null when either side is constant (``FLAT``) or fewer than two pairs exist."""
     x, y = c(x), c(y)
     both = x.isNotNull() & y.isNotNull()
-    sx = F.stddev_samp(F.when(both, x))
-    sy = F.stddev_samp(F.when(both, y))
-    return F.when((sx > 0) & (sy > 0), F.covar_samp(x, y) / (sx * sy))
+    x, y = F.when(both, x), F.when(both, y)
+    sx, sy = F.stddev_samp(x), F.stddev_samp(y)
+    r = F.covar_samp(x, y) / (sx * sy)
+    return F.when((sx > FLAT * F.avg(F.abs(x))) & (sy > FLAT * F.avg(F.abs(y))), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
 def mean_where(cond: Column, x) -> Column:

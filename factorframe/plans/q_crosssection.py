@@ -143,31 +143,35 @@ def _(p):
 
 FWD = """(SELECT symbol, date, CASE WHEN count(r) OVER w = 5 THEN exp(sum(ln(1 + r)) OVER w) - 1 END AS fwd FROM ret
     WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"""
-ICSQL = f"""(SELECT date, CASE WHEN stddev_samp(signal) > 1e-12 AND stddev_samp(fwd) > 1e-12 THEN corr(signal, fwd) END AS ic, count(*) AS n
-    FROM (SELECT * FROM signals WHERE strategy = 'momentum') s JOIN {FWD} f ON s.symbol = f.symbol AND s.date = f.date WHERE fwd IS NOT NULL GROUP BY date)"""
+def corr_sql(x, y):
+    """``stats.safe_corr``: null where a side is constant but for rounding noise."""
+    flat = " AND ".join(f"stddev_samp({v}) > 1e-6 * avg(abs({v}))" for v in (x, y))
+    return f"CASE WHEN {flat} THEN greatest(least(covar_samp({x}, {y}) / (stddev_samp({x}) * stddev_samp({y})), 1.0), -1.0) END"
+
+
+ICSQL = f"""(SELECT strategy, s.date AS date, {corr_sql("signal", "fwd")} AS ic, count(*) AS n
+    FROM signals s JOIN {FWD} f ON s.symbol = f.symbol AND s.date = f.date WHERE fwd IS NOT NULL GROUP BY strategy, s.date)"""
 
 
 def _with_forward(p):
     fwd = transforms.forward_compounded(p.ret, 5).select("symbol", "date", "forward_return")
-    return p.signals.where("strategy = 'momentum'").join(fwd, ["symbol", "date"])
+    return p.signals.join(fwd, ["symbol", "date"])
 
 
-# s.date is the group key
-@query("x18_information_coefficient", "signals ret", "SELECT date, ic, n FROM " + ICSQL.replace("(SELECT date,", "(SELECT s.date AS date,").replace("GROUP BY date)", "GROUP BY s.date)"), "ic:6")
+@query("x18_information_coefficient", "signals ret", "SELECT strategy, date, ic, n FROM " + ICSQL, "ic:6")
 def _(p):
-    return x.information_coefficients(_with_forward(p))
+    return x.information_coefficients(_with_forward(p), by=("strategy", "date"))
 
 
-@query("x18_ic_summary", "signals ret", """SELECT avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS ic_sharpe,
-    avg((ic > 0)::INT) AS positive_ic_ratio, count(ic) AS n_dates FROM """ + ICSQL.replace("(SELECT date,", "(SELECT s.date AS date,").replace("GROUP BY date)", "GROUP BY s.date)"),
-       "mean_ic:6 ic_std:6 ic_sharpe:6 positive_ic_ratio:6")
+@query("x18_ic_summary", "signals ret", """SELECT strategy, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS ic_sharpe,
+    avg((ic > 0)::INT) AS positive_ic_ratio, count(ic) AS n_dates FROM """ + ICSQL + " GROUP BY strategy", "mean_ic:6 ic_std:6 ic_sharpe:6 positive_ic_ratio:6")
 def _(p):
-    return x.ic_summary(x.information_coefficients(_with_forward(p)))
+    return x.ic_summary(x.information_coefficients(_with_forward(p), by=("strategy", "date")), ("strategy",))
 
 
 @query("x19_feature_records", "bars ret", f"""SELECT *, CASE WHEN abs(mean_ic) >= 0.03 THEN 'ACCEPT' WHEN abs(mean_ic) >= 0.015 THEN 'MARGINAL' ELSE 'REJECT' END AS recommendation FROM
     (SELECT feature, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS ic_sharpe, avg((ic > 0)::INT) AS positive_ic_ratio, count(ic) AS n_dates FROM
-     (SELECT feature, f.date, CASE WHEN stddev_samp(value) > 1e-9 AND stddev_samp(fwd) > 1e-12 THEN corr(value, fwd) END AS ic FROM {RND} v JOIN {FWD} f ON v.symbol = f.symbol AND v.date = f.date
+     (SELECT feature, f.date, {corr_sql("value", "fwd")} AS ic FROM {RND} v JOIN {FWD} f ON v.symbol = f.symbol AND v.date = f.date
       WHERE fwd IS NOT NULL GROUP BY feature, f.date) GROUP BY feature)""", "mean_ic:6 ic_std:6 ic_sharpe:6 positive_ic_ratio:6")
 def _(p):
     fwd = transforms.forward_compounded(p.ret, 5).select("symbol", "date", "forward_return")

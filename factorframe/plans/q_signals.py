@@ -39,11 +39,11 @@ ROLL = f"""(SELECT symbol, date, t_alpha AS t_stat FROM ({ols_sql(f'''(SELECT a.
     JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM {FRAME}) b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 59 AND a.i)''', ["symbol", "date"], ["MKT", "SMB"], "y", min_rows=30)}))"""
 
 
-@query("g03_rolling_alpha_filter", "signals ret factors", f"""SELECT s.date, s.symbol, CASE WHEN r.symbol IS NULL THEN signal ELSE signal * CASE WHEN abs(t_stat) >= 1.0 THEN 1 ELSE 0 END END AS signal
-    FROM (SELECT * FROM signals WHERE strategy = 'momentum') s LEFT JOIN {ROLL} r ON s.symbol = r.symbol AND s.date = r.date""", "signal:7")
+@query("g03_rolling_alpha_filter", "signals ret factors", f"""SELECT strategy, s.date, s.symbol, CASE WHEN r.symbol IS NULL THEN signal ELSE signal * CASE WHEN abs(t_stat) >= 1.0 THEN 1 ELSE 0 END END AS signal
+    FROM signals s LEFT JOIN {ROLL} r ON s.symbol = r.symbol AND s.date = r.date""", "signal:7")
 def _(p):
     t = m.rolling_alpha_tstats(frame(p, ["MKT", "SMB"]), ["MKT", "SMB"], n=60)
-    s = p.signals.where("strategy = 'momentum'").select("date", "symbol", "signal")
+    s = p.signals.select("strategy", "date", "symbol", "signal")
     return g.filter_alphas(s, t, ["symbol", "date"], threshold=1.0, value="signal")
 
 
