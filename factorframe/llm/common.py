@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes ``tables`` (from ``stored``) that no later step reads, and has Spark remove the shuffle files of jobs that are
+    done: it does so once their plans are garbage on the driver.  What came of them is written, so nothing is computed again."""
+    jvm = spark._jvm
+    for df in tables:
+        path = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if path is not None and path.getName().startswith("llm-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session, for range partitioning by hand."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,8 +9,9 @@ without losing a pair.
 
 Candidates are never expanded into all pairs: each bucket first links its members to one hub; components of the verified
 links follow; only members of a bucket that are still in different components are compared with each other, block by
-block, and only pairs passing an exact bound on the symmetric difference leave the task.  Every link between components
-is found, so the components are exact.
+block, and only pairs passing an exact bound on the symmetric difference leave the task: first a spanning forest of them,
+then, for what is still apart after its verification, all.  Every link between components is found, so the components
+are exact.
 
 Defined results: null or wordless texts have 0 shingles and are their own component; repeated rows and equal sets are one
 component; a null doc_id never becomes a component's name unless all ids of the component are null; other columns are
@@ -19,6 +20,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorframe.llm.common import mix, pieces, repeated, shingle_hashes, stored, with_list, word_hashes, word_spans
+from factorframe.llm.common import mix, pieces, released, repeated, shingle_hashes, stored, with_list, word_hashes, word_spans
 
 #: Ratio of the largest and the smallest set of a band.
 BAND = 1.5
@@ -42,13 +44,13 @@ STARS = 2
 HUBS = 4
 
 
-_BANDS: dict[int, list] = {}
+_BANDS: dict[tuple[int, int], list] = {}
 
 
 def bands(percent: int, largest: int = 1 << 40) -> list[tuple[int, int, int, int, int, int]]:
     """(smallest, largest, first-level parts, n2, k2, spare) of each band of set sizes."""
-    if percent in _BANDS:
-        return _BANDS[percent]
+    if (percent, largest) in _BANDS:
+        return _BANDS[percent, largest]
     out, low = [], 1
     while low <= largest:
         high = max(low, int(low * BAND))
@@ -65,7 +67,7 @@ def bands(percent: int, largest: int = 1 << 40) -> list[tuple[int, int, int, int
             spare = need
         out.append((low, high, base + spare * (1 + (k2 > 0)), n2, k2, spare))
         low = high + 1
-    _BANDS[percent] = out
+    _BANDS[percent, largest] = out
     return out
 
 
@@ -112,34 +114,52 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row a document: doc_id, text_hash, n_shingles, cls (names its set; 0: no shingle), sketch, signatures.  A
-    task lists the signatures of equal sets once."""
+def _name(s: np.ndarray) -> int:
+    """64-bit name of a set; 0 for the empty one."""
+    return int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))]))[0].view(np.int64)) if len(s) else 0
+
+
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """One row a document: doc_id, text_hash, n_shingles, cls (names its set; 0: no shingle), sketch."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
         for batch in batches:
-            sizes, names, sketches, lists = [], [], [], []
+            sizes, names, sketches = [], [], []
             for s in _sets(batch.column("text"), words):
-                name = int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))]))[0].view(np.int64)) if len(s) else 0
                 sizes.append(len(s))
-                names.append(name)
-                fresh = name != 0 and name not in seen
-                seen.add(name)
+                names.append(_name(s))
                 sketches.append(_parity(s, BITS))
-                lists.append(_signed(signatures(s, percent)) if fresh else np.zeros(0, np.int64))
-            offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "sketch", "sigs"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return thin.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long, sketch binary, sigs array<long>")
+    return thin.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long, sketch binary")
+
+
+def _buckets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, cls) of every set.  Signatures go straight to the exchange, for they are more bytes than the texts; a task lists
+    those of equal sets once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                names, lists = [], []
+                for s in _sets(batch.column("text").slice(at, 512), words):
+                    name = _name(s)
+                    if name and name not in seen:
+                        seen.add(name)
+                        lists.append(_signed(signatures(s, percent)))
+                        names.append(np.full(len(lists[-1]), name, dtype=np.int64))
+                if lists:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(names))], names=["sig", "cls"])
+
+    return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,8 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
-        state = stored(both(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        before, state = state, stored(both(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))))
+        released(edges.sparkSession, before)
 
 
 def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -174,7 +195,7 @@ def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = list(_sets(part.column("text"), words))
-                names = [int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))]))[0].view(np.int64)) if len(s) else 0 for s in sets]
+                names = [_name(s) for s in sets]
                 offsets = np.zeros(len(sets) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in sets], out=offsets[1:])
                 wide = [_parity(s, WIDE) if len(s) > LARGE else None for s in sets]
@@ -223,12 +244,14 @@ def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None,
         if turn:
             side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
             rest = pairs.select("u", "v").join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
-            first = stored(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"))
+            before, first = first, stored(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"))
+            released(docs.sparkSession, before)
         if links is not None and first.isEmpty():
             continue
         sets = _participants(docs, classes, first.select(F.col("u").alias("cls")).union(first.select("v")).distinct(), words)
         found = _verified(first, sets, percent)
         links = stored(found if links is None else links.unionByName(found))
+        released(docs.sparkSession, sets)
         labels = components(links)
     return links, labels
 
@@ -249,9 +272,28 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "u long, v long, times long")
 
 
-def _across(mixed: DataFrame, percent: int) -> DataFrame:
+def _root(parent: dict, x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
+    return x
+
+
+def _spanning(label: np.ndarray, l: np.ndarray, r: np.ndarray, parent: dict) -> np.ndarray:
+    """Of the pairs those that connect what the pairs before them have not; ``parent`` is carried on."""
+    out = np.zeros(len(l), dtype=bool)
+    for i, (x, y) in enumerate(zip(label[l].tolist(), label[r].tolist())):
+        x, y = _root(parent, x), _root(parent, y)
+        if x != y:
+            parent[y] = x
+            out[i] = True
+    return out
+
+
+def _across(mixed: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of one bucket in different components that sizes and sketches allow; blocks of at most about BLOCK members
-    meet in one task.  mixed: sig, cls, label, n, sketch, blocks."""
+    meet in one task.  mixed: sig, cls, label, n, sketch, blocks.  ``forest``: a task leaves out pairs whose components
+    its earlier pairs connect if they hold; nearly all do, and what this leaves open a run without it finds."""
     cut = mixed.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("a", F.least("i", F.col("j").cast("int"))).withColumn("b", F.greatest("i", F.col("j").cast("int")))
@@ -259,8 +301,8 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        rest = None
-        for x in [*frames, None]:
+        rest, parent = None, {}
+        for x in itertools.chain(frames, [None]):
             if x is not None:
                 x = x if rest is None else pd.concat([rest, x], ignore_index=True)
                 if not len(x):
@@ -285,6 +327,12 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
                 l, r = at[ok], to[ok]
                 near = (100 + percent) * _apart(sketch[l], sketch[r]) <= (100 - percent) * (n[l] + n[r])
                 l, r = l[near], r[near]
+                if forest and len(l):
+                    new = _spanning(label, l, r, parent)
+                    l, r = l[new], r[new]
+                    if len(l):
+                        values, back = np.unique(label, return_inverse=True)
+                        label = np.array([_root(parent, v) for v in values.tolist()], dtype=np.int64)[back]
                 if len(l):
                     yield pd.DataFrame({"u": np.minimum(cls[l], cls[r]), "v": np.maximum(cls[l], cls[r])}).drop_duplicates()
 
@@ -294,15 +342,15 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    rows = stored(signed(docs, words, percent))
+    rows = stored(signed(docs, words))
     classes = rows.where("cls <> 0").groupBy("cls").agg(
         F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")).alias("one")).select(
         "cls", "n", "sketch", "one.doc_id", "one.text_hash")
-    members = rows.select("cls", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")
-    members = stored(members.withColumn("hub", F.min("cls").over(bucket)).withColumn("most", F.max("cls").over(bucket))
-                     .where("hub <> most").select("sig", "cls", "hub").distinct())
+    members = _buckets(docs, words, percent).withColumn("hub", F.min("cls").over(bucket)).withColumn("most", F.max("cls").over(bucket))
+    members = stored(members.where("hub <> most").select("sig", "cls", "hub").distinct())
+    released(docs.sparkSession)
     known = members.select("sig", "cls", "hub", F.col("cls").alias("label"))
     stars, links, labels = None, None, None
     for turn in range(STARS):  # other hubs each time; members already linked to one are left out
@@ -319,14 +367,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         stars = pairs.select("u", "v") if stars is None else stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
-    mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
-                                      F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.hash("cls").cast("long")).alias("g")).where("x <> y")
-    mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
-    mixed = mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-    mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
-    pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent)
-    pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
-    labels = stored(_linked(pairs, links, labels, docs, classes, words, percent)[1])
+    for forest in (True, False):
+        mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
+                                          F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.hash("cls").cast("long")).alias("g")).where("x <> y")
+        mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
+        mixed = mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
+        mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
+        pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent, forest)
+        pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
+        links, labels = _linked(pairs, links, labels, docs, classes, words, percent)
+        stars = stars.unionByName(pairs.select("u", "v"))
+        known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labels = stored(labels)
 
     named = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("label", F.when(F.col("cls") != 0, F.coalesce("label", "cls")))
