@@ -36,6 +36,8 @@ BAND = 1.5
 BITS = 1024
 #: Sets of more than LARGE elements, for which those bits say little, get a sketch of WIDE bits before sets are shipped.
 LARGE, WIDE = 1024, 32768
+#: Bytes of text that are hashed at once (a longer text is one piece).
+PIECE = 500_000
 #: Members of a bucket compared with each other in one task.
 BLOCK = 512
 #: Rounds that link the members of a bucket to one of them before the rest is compared.
@@ -96,13 +98,14 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(column, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    for _, data, offsets in pieces(column):
-        starts, ends, rows = word_spans(data, offsets)
-        hashes, own = shingle_hashes(word_hashes(data, starts, ends), rows, k, len(offsets) - 1)
-        cut = np.searchsorted(own, np.arange(len(offsets)))
-        for i in range(len(offsets) - 1):
-            yield np.unique(hashes[cut[i]:cut[i + 1]])
+    """The sorted distinct shingle hashes of each text; a few texts at a time, which bounds a task's arrays."""
+    for at in range(0, len(column), 512):
+        for _, data, offsets in pieces(column.slice(at, 512), PIECE):
+            starts, ends, rows = word_spans(data, offsets)
+            hashes, own = shingle_hashes(word_hashes(data, starts, ends), rows, k, len(offsets) - 1)
+            cut = np.searchsorted(own, np.arange(len(offsets)))
+            for i in range(len(offsets) - 1):
+                yield np.unique(hashes[cut[i]:cut[i + 1]])
 
 
 def _parity(s: np.ndarray, bits: int) -> bytes:
@@ -211,11 +214,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are similar enough; pairs of large sets pass their wide sketches first."""
 
     def near(frames):
-        for x in frames:
-            if len(x):
+        for frame in frames:
+            for at in range(0, len(frame), 1000):
+                x = frame[at:at + 1000]
                 far = _apart(_sketches(x["wu"], WIDE), _sketches(x["wv"], WIDE))
-                x = x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()]
-            yield x[["u", "v"]]
+                yield x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()][["u", "v"]]
 
     sides = [sets.select(F.col("cls").alias(c), F.size("s").cast("long").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "uv"]
     wide = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")

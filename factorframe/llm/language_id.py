@@ -135,11 +135,15 @@ def infer(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray, turns: int =
     return chosen, share
 
 
+#: Bytes of text that are judged at once: bounds the arrays (characters x languages) that a task holds.
+PIECE = 500_000
+
+
 def _judged(column, langs: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray, list[str]]:
     """Language, score and chosen set of each text of an Arrow column."""
     n = len(column)
     names, scores, sets = ["und"] * n, np.zeros(n), [""] * n
-    for at, data, offsets in pieces(column) if langs else ():
+    for at, data, offsets in pieces(column, PIECE) if langs else ():
         code, starts, rows = grams(data, offsets)
         if not len(starts):
             continue
