@@ -9,8 +9,8 @@ without losing a pair.
 
 Candidates are never expanded into all pairs: each bucket first links its members to one hub; components of the verified
 links follow; only members of a bucket that are still in different components are compared with each other, block by
-block, and only pairs passing an exact bound on the symmetric difference leave the task: first a spanning forest of them,
-then, for what is still apart after its verification, all.  Every link between components is found, so the components
+block, and only pairs passing an exact bound on the symmetric difference leave the task (``lean``: first a spanning forest
+of them, then, for what is still apart after its verification, all).  Every link between components is found, so the components
 are exact.
 
 Defined results: null or wordless texts have 0 shingles and are their own component; repeated rows and equal sets are one
@@ -165,7 +165,7 @@ def _buckets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, lean: bool = False) -> DataFrame:
     """(node, label): the smallest node reachable, by alternating large-star and small-star joins over (u, v)."""
     both = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     state = stored(both(edges))
@@ -184,7 +184,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "u")
         before, state = state, stored(both(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))))
-        released(edges.sparkSession, before)
+        if lean:
+            released(edges.sparkSession, before)
 
 
 def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -238,7 +239,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int, lean: bool) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components.  Of the stored ``pairs`` (u, v, times) each v first meets the u with which it
     shares most buckets; the others are verified only if that has not connected them already.  A set is shipped once a pair."""
     best = Window.partitionBy("v").orderBy(F.col("times").desc(), "u")
@@ -248,14 +249,16 @@ def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None,
             side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
             rest = pairs.select("u", "v").join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
             before, first = first, stored(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"))
-            released(docs.sparkSession, before)
+            if lean:
+                released(docs.sparkSession, before)
         if links is not None and first.isEmpty():
             continue
         sets = _participants(docs, classes, first.select(F.col("u").alias("cls")).union(first.select("v")).distinct(), words)
         found = _verified(first, sets, percent)
         links = stored(found if links is None else links.unionByName(found))
-        released(docs.sparkSession, sets)
-        labels = components(links)
+        if lean:
+            released(docs.sparkSession, sets)
+        labels = components(links, lean)
     return links, labels
 
 
@@ -343,8 +346,9 @@ def _across(mixed: DataFrame, percent: int, forest: bool) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lean: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text).  ``lean``: with less disk, in more
+    steps: spanning candidates come before the rest, and tables and shuffles go once what came of them is written."""
     rows = stored(signed(docs, words))
     classes = rows.where("cls <> 0").groupBy("cls").agg(
         F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
@@ -353,7 +357,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     bucket = Window.partitionBy("sig")
     members = _buckets(docs, words, percent).withColumn("hub", F.min("cls").over(bucket)).withColumn("most", F.max("cls").over(bucket))
     members = stored(members.where("hub <> most").select("sig", "cls", "hub").distinct())
-    released(docs.sparkSession)
+    if lean:
+        released(docs.sparkSession)
     known = members.select("sig", "cls", "hub", F.col("cls").alias("label"))
     stars, links, labels = None, None, None
     for turn in range(STARS):  # other hubs each time; members already linked to one are left out
@@ -366,11 +371,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         pairs = known.where("cls <> hub").groupBy(F.least("hub", "cls").alias("u"), F.greatest("hub", "cls").alias("v")).agg(F.count(F.lit(1)).alias("times"))
         pairs = pairs if stars is None else pairs.join(stars, ["u", "v"], "left_anti")
         pairs = stored(_bounded(pairs, classes, percent))
-        links, labels = _linked(pairs, links, labels, docs, classes, words, percent)
+        links, labels = _linked(pairs, links, labels, docs, classes, words, percent, lean)
         stars = pairs.select("u", "v") if stars is None else stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
-    for forest in (True, False):
+    for forest in (True, False) if lean else (False,):
         mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
                                           F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.hash("cls").cast("long")).alias("g")).where("x <> y")
         mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
@@ -378,7 +383,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
         pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent, forest)
         pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
-        links, labels = _linked(pairs, links, labels, docs, classes, words, percent)
+        links, labels = _linked(pairs, links, labels, docs, classes, words, percent, lean)
         stars = stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labels = stored(labels)
@@ -393,7 +398,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the smallest doc_id; of rows repeated with
     their id and text one stays.  Rows without shingles or doc_id all stay."""
-    found = jaccard_components(docs, words, percent)
+    found = jaccard_components(docs, words, percent, lean=True)
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     counts = found.groupBy("doc_id", "text_hash").agg(
         F.count(F.lit(1)).alias("rows"),
