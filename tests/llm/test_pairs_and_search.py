@@ -54,8 +54,8 @@ def test_components_equal_brute_force(spark, small):
     for seed, (n, words, edits) in enumerate([(25, 60, 3), (25, 200, 9), (20, 12, 1), (20, 400, 14)]):
         rows += [(10_000 + 1000 * seed + i, t) for i, t in enumerate(family(seed, n, words, edits))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for k, percent in ((3, 90), (5, 80)):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, k, percent).collect()}
+    for k, percent, lean in ((3, 90, False), (5, 80, True)):  # as the query and as the pipeline calls it
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, k, percent, lean).collect()}
         assert got == brute_components(rows, k, percent)
 
 
