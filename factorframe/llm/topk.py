@@ -8,9 +8,10 @@ score.  Components are floor(scale * x) and all scores are exact integers.
 A task holds one shard (at most ``SHARD`` vectors) and one block of queries (at most about ``BLOCK``); a query keeps at
 most k results a shard.  Shards of dimension d are only met by queries of dimension d.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; of
-rows that repeat an id the smallest vector counts; equal scores go to the smaller id; a query without any candidate has
-no row; other columns are ignored; an empty table gives an empty result.
+Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; rows
+that repeat an id are candidates each, none for a query of that id, and queries that repeat an id share one list, the
+best of all their scores; equal scores go to the smaller id; a query without any candidate has no row; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,8 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     def build(x):
         import pandas as pd
 
-        x = x.assign(v=[tuple(v) for v in x["v"]]).sort_values(["vec_id", "v"]).drop_duplicates("vec_id")
-        v, ids, dim = np.array(x["v"].tolist(), dtype=np.int64), x["vec_id"].to_numpy(), int(x["dim"].iloc[0])
+        v, ids, dim = np.stack(x["v"].to_numpy()).astype(np.int64), x["vec_id"].to_numpy(), int(x["dim"].iloc[0])
         tree, asks = BallTree(v, ids), np.flatnonzero(x["asks"].to_numpy())
         kth = []
         for i in asks:

@@ -93,17 +93,14 @@ def test_components_label_propagation(spark):
 
 
 def brute_top(rows, k=10):
-    clean = {}
+    clean, found = [], {}
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            w = tuple(int(np.floor(1024 * float(x))) for x in v)
-            clean[i] = min(clean.get(i, w), w)
-    out = []
-    for q, a in clean.items():
+            clean.append((i, tuple(int(np.floor(1024 * float(x))) for x in v)))
+    for q, a in clean:
         if q % 100 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in clean.items() if i != q and len(b) == len(a))[:k]
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
-    return sorted(out)
+            found.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in clean if i != q and len(b) == len(a))
+    return sorted((q, r, i, -s) for q, x in found.items() for r, (s, i) in enumerate(sorted(x)[:k], 1))
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
@@ -111,7 +108,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1500)]
     rows += [(i, rows[i % 40][1]) for i in range(1500, 1700)]  # ties
     rows += [(2000, [0.0] * 8), (2100, [1.5, 2.5]), (2101, [0.5, 0.5]), (2200, None), (2300, []), (None, [1.0] * 8), (2400, [1.0, None]), (2401, [float("nan")] * 8),
-             (2402, [float("inf")] * 8), (2500, [1e6] * 8), (2501, [-1e6] * 8), (1500, rows[3][1]), (100, rows[100][1])]
+             (2402, [float("inf")] * 8), (2500, [1e6] * 8), (2501, [-1e6] * 8), (1500, rows[3][1]), (100, rows[100][1]), *((7, [9.0 + j] * 8) for j in range(4)), (7, [9.0] * 8)]
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string")
     monkeypatch.setattr(topk, "BLOCK", 7)
