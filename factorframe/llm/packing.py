@@ -7,7 +7,8 @@ ends is merged in a last small pass over windows (not documents), 50,000 of them
 
 Tokens: the ids of a public byte-level BPE vocabulary (the same ids from its two published files), then ``end``.  The
 text is encoded unit by unit, a unit being what follows a single space, with a bounded cache; texts with runs of white
-space, where units are not independent, are encoded whole.  Strings of special tokens in a text are ordinary text.
+space, where units are not independent, are encoded whole.  The string of a special token in a text is that token, as the
+vocabulary's own tokenizer reads it.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed separately; null ids are kept;
 very long texts are cut, never shortened; other columns are ignored; an empty table gives an empty result.
@@ -35,7 +36,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
+def specials() -> dict[str, int]:
+    """Special tokens of the vocabulary, by their strings."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, special: dict[str, int]):
     """text -> little-endian 32-bit ids as bytes."""
     import base64
     import re
@@ -48,9 +59,17 @@ def encoder(path: str):
     plain = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     pack = lambda ids: np.array(ids, dtype="<u4").tobytes()
     runs = re.compile(r"\s\s")
+    marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
     cache: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
+        out, at = [], 0
+        for m in marks.finditer(text):
+            out += [ordinary(text[at:m.start()]), pack([special[m.group()]])]
+            at = m.end()
+        return b"".join([*out, ordinary(text[at:])])
+
+    def ordinary(text: str) -> bytes:
         if not text:
             return b""
         if runs.search(text):
@@ -111,15 +130,17 @@ class Packer:
         yield from self.open
 
 
-def pack(docs: DataFrame, length: int = 2048, windows: int = 32, least: int = 16, end: int = 1, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = 2048, windows: int = 32, least: int = 16, end: int = 1, path: str | None = None,
+         special: dict[str, int] | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or vocabulary()
+    special = specials() if special is None else special
 
     def run(frames):
         import pandas as pd
         from pyspark import TaskContext
 
-        encode, packer = encoder(path), Packer(length, windows, least)
+        encode, packer = encoder(path, special), Packer(length, windows, least)
         number = TaskContext.get().partitionId() << 36
         last = np.array([end], dtype="<u4").tobytes()
         columns = [x.split()[0] for x in _PIECES.split(", ")]

@@ -71,8 +71,8 @@ def test_mix(spark, small, odd, none):
 
 def test_packing_is_an_exact_round_trip(spark, small, odd, none):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    extra = [(-1, "a  b\n\n  c\t d   e   f  g ", "x"), (-2, "<|endoftext|> 's we'll 12345 ñandú", "x"), (-3, " lead and trail ", "x"), (-4, "\r\n\r\n", "x")]
+    extra = [(-1, "a  b\n\n  c\t d   e   f  g ", "x"), (-2, "<|endoftext|> 's we'll 12345 ñandú", "x"),
+             (-5, "a <|endoftext|> b  <|endoftext|><|endoftext|>\n c<|endoftext", "x"), (-3, " lead and trail ", "x"), (-4, "\r\n\r\n", "x")]
     docs = small.select("doc_id", "text", "lang").union(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = packing.pack(docs).toPandas()
