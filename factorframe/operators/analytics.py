@@ -458,14 +458,64 @@ def factor_covariance(exposures: DataFrame, factors: DataFrame, xs: list[str], n
     return dealt.groupBy("_i", "_j").applyInPandas(multiply, "s1 string, s2 string, cov double")
 
 
+#: Draws of positions: multipliers and shifts of three rounds modulo a prime, small enough for 64-bit products anywhere.
+DRAW_PRIME, DRAW_STEPS, DRAW_ROUNDS = 2**31 - 1, (15_485_863, 1_000_003, 7_368_787), ((48_271, 15), (69_621, 13), (40_692, 16))
+
+
+def draw_keys(draw: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """One pseudo-random key for each draw (row) and position (column), from integers alone, so SQL can repeat them."""
+    a, b, k = DRAW_STEPS
+    x = (seed * a + draw[:, None].astype(np.int64) * b + np.arange(n, dtype=np.int64) * k + 1) % DRAW_PRIME
+    for m, shift in DRAW_ROUNDS:
+        x = x * m % DRAW_PRIME
+        x ^= x >> shift
+    return x
+
+
+def draw_keys_sql(draw: str, position: str, seed: int) -> str:
+    """The key of one draw and position as SQL over 64-bit integers."""
+    a, b, k = DRAW_STEPS
+    x = f"(({seed * a + 1} + {draw} * {b} + {position} * {k}) % {DRAW_PRIME})"
+    for m, shift in DRAW_ROUNDS:
+        x = f"list_transform([{x} * {m} % {DRAW_PRIME}], lambda x{shift}: xor(x{shift}, x{shift} >> {shift}))[1]"
+    return x
+
+
+def _deviation(x: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+    """Sample deviation along the last axis, of the elements in ``use``; 0 for fewer than two."""
+    use = np.ones(x.shape, bool) if use is None else use
+    n = use.sum(-1)
+    mean = np.where(use, x, 0).sum(-1) / np.maximum(n, 1)
+    return np.sqrt(np.where(use, (x - mean[..., None]) ** 2, 0).sum(-1) / np.maximum(n - 1, 1)) * (n > 1)
+
+
+def _statistic(metric: str, r: np.ndarray, b: np.ndarray, rf: float) -> np.ndarray:
+    """A figure of returns ``r`` (the last axis is time) against ``b``; ratios without a deviation are 0."""
+    per = lambda top, sd: np.where(sd > 0, top / np.where(sd > 0, sd, 1) * YEAR**0.5, 0.0)
+    grown = lambda x: np.exp(np.log1p(np.maximum(x, -1 + 1e-12)).sum(axis=-1))
+    ex = r - rf / YEAR
+    if metric == "sharpe":
+        return per(ex.mean(axis=-1), _deviation(ex))
+    if metric == "sortino":
+        return per(ex.mean(axis=-1), _deviation(ex, ex < 0))
+    if metric == "total_return":
+        return grown(r) - 1
+    if metric == "alpha":  # with a beta of 1 the risk-free rate drops out
+        return grown(r) - grown(b)
+    if metric == "information_ratio":
+        return per((r - b).mean(axis=-1), _deviation(r - b))
+    raise ValueError(metric)
+
+
 def significance(returns: DataFrame, benchmark: DataFrame | None = None, metric="sharpe", draws=1000, seed=42, rf=0.02, value="daily_return",
                  per_task=100) -> DataFrame:
-    """(strategy, observed, null_mean, critical_value, p_value, significant inputs) by resampling.
+    """(strategy, observed, null_mean, null_std, critical_value, p_value) by resampling.
 
-    Sharpe, Sortino and total return: bootstrap of the centred returns (a permutation
-    cannot change them).  Information ratio: permutation against the benchmark; alpha: bootstrap of
-    the centred excess return.  A strategy's series is one calendar, so it travels as an
-    array; draws are split into tasks and each draw has its own seed, so reruns agree.
+    Sharpe, Sortino and total return: bootstrap of the centred returns (a permutation cannot change them), around the
+    risk-free rate or 0.  Alpha (compounded return less the benchmark's): bootstrap of returns centred on the benchmark's
+    mean.  Information ratio: permutation against the benchmark.  Days without either return take no part.  A strategy's
+    series is one calendar, so it travels as an array; draws are split into tasks and worked off as matrices of about
+    four million positions; positions follow from (seed, draw, place) by ``draw_keys``, so reruns agree.
     """
     if benchmark is not None:
         df = returns.join(benchmark.select("date", c("bench_return").alias("_b")), "date")
@@ -473,41 +523,25 @@ def significance(returns: DataFrame, benchmark: DataFrame | None = None, metric=
         raise ValueError(f"{metric} needs a benchmark")
     else:
         df = returns.withColumn("_b", F.lit(0.0))
+    df = df.where(c(value).isNotNull() & c("_b").isNotNull())
     series = df.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("date", c(value).alias("r"), c("_b").alias("b")))).alias("_x"))
     tasks = series.select("strategy", c("_x.r").alias("r"), c("_x.b").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(per_task))).alias("first"))
 
-    def stat(r, b):
-        ex = r - rf / YEAR
-        if metric == "sharpe":
-            sd = ex.std(axis=-1, ddof=1)
-            return np.where(sd > 0, ex.mean(axis=-1) / np.where(sd > 0, sd, 1) * YEAR**0.5, 0.0)
-        if metric == "sortino":
-            low = np.where(ex < 0, ex, np.nan)
-            sd = np.nanstd(low, axis=-1, ddof=1)
-            return np.where(sd > 0, ex.mean(axis=-1) / np.where(sd > 0, sd, 1) * YEAR**0.5, 0.0)
-        if metric == "total_return":
-            return np.exp(np.log1p(np.maximum(r, -1 + 1e-12)).sum(axis=-1)) - 1
-        if metric == "alpha":
-            return (r - b).mean(axis=-1) * YEAR
-        if metric == "information_ratio":
-            d = r - b
-            sd = d.std(axis=-1, ddof=1)
-            return np.where(sd > 0, d.mean(axis=-1) / np.where(sd > 0, sd, 1) * YEAR**0.5, 0.0)
-        raise ValueError(metric)
-
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 r, b = np.asarray(row.r, float), np.asarray(row.b, float)
-                seen = float(stat(r, b))
+                n, last = len(r), min(row.first + per_task, draws)
+                seen = float(_statistic(metric, r, b, rf))
                 shift = b.mean() if metric == "alpha" else rf / YEAR if metric in ("sharpe", "sortino") else 0.0
-                centred = r - r.mean() + shift
-                out = []
-                for d in range(row.first, min(row.first + per_task, draws)):
-                    rng = np.random.default_rng([seed, d])
-                    x = r[rng.permutation(len(r))] if metric == "information_ratio" else centred[rng.integers(0, len(r), len(r))]
-                    out.append(float(stat(x, b)))
-                yield pd.DataFrame({"strategy": row.strategy, "observed": seen, "null": out})
+                block = max(1, 4_000_000 // n)
+                for low in range(row.first, last, block):
+                    keys = draw_keys(np.arange(low, min(low + block, last)), n, seed)
+                    if metric == "information_ratio":
+                        x = r[np.argsort(keys, axis=1, kind="stable")]
+                    else:
+                        x = (r - r.mean() + shift)[keys % n]
+                    yield pd.DataFrame({"strategy": row.strategy, "observed": seen, "null": _statistic(metric, x, b, rf)})
 
     null = tasks.repartition("strategy", "first").mapInPandas(run, "strategy string, observed double, null double")
     return null.groupBy("strategy").agg(

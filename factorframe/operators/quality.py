@@ -338,15 +338,15 @@ def series_checks(bars: DataFrame, min_rows=252, col="close") -> DataFrame:
     return out.withColumn("valid", ok)
 
 
-def trace_signal_to_weight(signals: DataFrame, weights: DataFrame, recommended: DataFrame, keys=("date", "symbol")) -> DataFrame:
-    """Q26: per date how signals, weights and recommendations agree."""
+def trace_signal_to_weight(signals: DataFrame, weights: DataFrame, recommended: DataFrame, keys=("date", "symbol"), by=("date",)) -> DataFrame:
+    """Q26: per date (or other keys) how signals, weights and recommendations agree."""
     keys = list(keys)
     s = signals.select(*keys, "signal", F.lit(1).alias("_s"))
     w = weights.select(*keys, "weight", F.lit(1).alias("_w"))
     r = recommended.select(*keys, F.lit(1).alias("_r"))
     all_ = s.join(w, keys, "full_outer").join(r, keys, "full_outer")
     sig, wt = F.coalesce("signal", F.lit(0.0)), F.coalesce("weight", F.lit(0.0))
-    return all_.groupBy(keys[0]).agg(
+    return all_.groupBy(*by).agg(
         count_if(sig != 0).alias("non_zero_signals"), count_if(wt != 0).alias("non_zero_weights"),
         count_if((wt != 0) & (sig == 0)).alias("weight_without_signal"),
         count_if(c("_r").isNotNull()).alias("recommended"),

@@ -69,11 +69,11 @@ def expected_return_signals(points: DataFrame, exposures: DataFrame, xs: list[st
     return transform(out, method, ["date"], "expected_return").select("date", "symbol", "signal")
 
 
-def calendar_predictions(predictions: DataFrame, value="prediction") -> DataFrame:
-    """The last known prediction of a symbol on every calendar day of its span."""
-    span = predictions.groupBy("symbol").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
-    days = span.select("symbol", F.explode(F.sequence("_a", "_b")).alias("date"))
-    return joins.asof(days, predictions.select("symbol", "date", value), ["symbol"], [value])
+def calendar_predictions(predictions: DataFrame, value="prediction", keys=("symbol",)) -> DataFrame:
+    """The last known prediction of a symbol (or other keys) on every calendar day of its span."""
+    span = predictions.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    days = span.select(*keys, F.explode(F.sequence("_a", "_b")).alias("date"))
+    return joins.asof(days, predictions.select(*keys, "date", value), list(keys), [value])
 
 
 def long_only(signals: DataFrame, by=DAY) -> DataFrame:

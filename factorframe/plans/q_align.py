@@ -32,11 +32,11 @@ def _(p):
     return align.outer_blocks([a, b])
 
 
-@query("j03_asof", "bars signals", """SELECT b.symbol, b.date, s.date AS signal_date, s.signal FROM bars b ASOF LEFT JOIN
-    (SELECT * FROM signals WHERE strategy = 'momentum' AND signal > 0.5) s ON b.symbol = s.symbol AND b.date >= s.date""", "signal:8")
-def _(p):
-    s = p.signals.where("strategy = 'momentum' and signal > 0.5").select("symbol", "date", "signal")
-    return joins.asof(p.bars.select("symbol", "date"), s, ["symbol"], ["signal"], matched="signal_date")
+@query("j03_asof", "signals", """SELECT b.strategy, b.symbol, b.date, s.date AS signal_date, s.signal FROM signals b ASOF LEFT JOIN
+    (SELECT * FROM signals WHERE signal > 0.5) s ON b.strategy = s.strategy AND b.symbol = s.symbol AND b.date >= s.date""", "signal:8")
+def _(p):  # the last strong signal before each day, of every strategy
+    strong = p.signals.where("signal > 0.5")
+    return joins.asof(p.signals.select("strategy", "symbol", "date"), strong, ["strategy", "symbol"], ["signal"], matched="signal_date")
 
 
 POINTS = "(SELECT symbol, d AS date FROM (SELECT DISTINCT symbol FROM bars), (SELECT max(date) AS d FROM bars GROUP BY strftime(date, '%Y-%m')))"

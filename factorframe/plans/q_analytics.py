@@ -343,14 +343,43 @@ def _(p):
     return a.factor_covariance(m.fit(frame(p, m.FF3), m.FF3, t_stats=False), p.factors, m.FF3)
 
 
-@query("a35_significance_sharpe")
-def _(p):
-    return a.significance(p.strat, None, "sharpe")
-
-
-@query("a35_significance_information_ratio")
-def _(p):
-    return a.significance(p.strat, p.benchmark, "information_ratio", draws=200)
+# figures of resampled returns r and the benchmark's b, one group a strategy and draw
+RATIO = "CASE WHEN {sd} > 0 THEN {top} / {sd} * sqrt(252) ELSE 0 END"
+A35 = {
+    "sharpe": RATIO.format(top="avg(r - 0.02 / 252)", sd="stddev_samp(r - 0.02 / 252)"),
+    "sortino": RATIO.format(top="avg(r - 0.02 / 252)", sd="stddev_samp(r - 0.02 / 252) FILTER (r < 0.02 / 252)"),
+    "total_return": "exp(sum(ln(1 + r))) - 1",
+    "alpha": "exp(sum(ln(1 + r))) - exp(sum(ln(1 + b)))",
+    "information_ratio": RATIO.format(top="avg(r - b)", sd="stddev_samp(r - b)"),
+}
+
+
+def _significance(metric, draws, digits):
+    against = metric in ("alpha", "information_ratio")
+    key = a.draw_keys_sql("d", "i", 42)
+    if metric == "information_ratio":  # a permutation: positions in the order of their keys
+        place = f"(SELECT strategy, d, i, n, row_number() OVER (PARTITION BY strategy, d ORDER BY {key}, i) - 1 AS j FROM g)"
+        drawn = f"SELECT p.strategy, p.d, y.r, x.b FROM {place} p JOIN s y ON y.strategy = p.strategy AND y.i = p.i JOIN s x ON x.strategy = p.strategy AND x.i = p.j"
+    else:
+        centre = {"alpha": "y.mb", "total_return": "0"}.get(metric, "0.02 / 252")
+        drawn = f"""SELECT p.strategy, p.d, y.r - y.m + {centre} AS r, x.b FROM (SELECT *, {key} % n AS j FROM g) p
+            JOIN s y ON y.strategy = p.strategy AND y.i = p.j JOIN s x ON x.strategy = p.strategy AND x.i = p.i"""
+    bench = "JOIN benchmark_returns USING (date)" if against else ""
+    sql = f"""WITH s AS (SELECT strategy, daily_return AS r, {"bench_return" if against else "0.0"} AS b, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i,
+        count(*) OVER (PARTITION BY strategy) AS n, avg(daily_return) OVER (PARTITION BY strategy) AS m, avg({"bench_return" if against else "0.0"}) OVER (PARTITION BY strategy) AS mb FROM strat {bench}),
+        g AS (SELECT strategy, i, n, d FROM s, (SELECT unnest(range({draws})) AS d)),
+        o AS (SELECT strategy, {A35[metric]} AS observed FROM s GROUP BY 1),
+        z AS (SELECT strategy, d, {A35[metric]} AS x FROM ({drawn}) GROUP BY 1, 2)
+        SELECT strategy, any_value(observed) AS observed, avg(x) AS null_mean, stddev_samp(x) AS null_std, quantile_cont(x, 0.95) AS critical_value,
+        avg((x >= observed)::INT) AS p_value FROM z JOIN o USING (strategy) GROUP BY 1"""
+
+    @query(f"a35_significance_{metric}", "strat benchmark_returns", sql, " ".join(f"{x}:{digits}" for x in ("observed", "null_mean", "null_std", "critical_value")) + " p_value:6")
+    def _(p):
+        return a.significance(p.strat, p.benchmark if against else None, metric, draws=draws)
+
+
+for _metric, _draws in {"sharpe": 1000, "sortino": 200, "total_return": 200, "alpha": 200, "information_ratio": 200}.items():
+    _significance(_metric, _draws, 7)
 
 
 @query("a36_strategy_statistics", "strat", f"""SELECT strategy, avg(daily_return) * 252 AS annual_return, stddev_samp(daily_return) * sqrt(252) AS annual_volatility, count(*) AS total_observations, min(date) AS start_date, max(date) AS end_date,

@@ -142,12 +142,13 @@ def _(p):
 
 
 @query("w10_box_sampling", "bars meta boxes signals", f"""WITH liq AS (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 1300),
-    last AS (SELECT symbol, arg_max(signal, date) AS signal FROM {SR} WHERE strategy = 'momentum' GROUP BY 1)
+    last AS (SELECT symbol, sum(signal) AS signal FROM (SELECT strategy, symbol, arg_max(signal, date) AS signal FROM {SR} GROUP BY 1, 2) GROUP BY 1)
     SELECT box, symbol, signal FROM (SELECT box, b.symbol, signal, row_number() OVER (PARTITION BY box ORDER BY signal DESC NULLS LAST, b.symbol) AS i
       FROM {BX} b JOIN liq ON b.symbol = liq.symbol LEFT JOIN last ON b.symbol = last.symbol) WHERE i <= 2""")
 def _(p):
     liquid = universe.liquid(p.bars, min_rows=1300)
-    last = _signals(p).where("strategy = 'momentum'").groupBy("symbol").agg(F.max_by("signal", "date").alias("signal"))
+    last = _signals(p).groupBy("strategy", "symbol").agg(F.max_by("signal", "date").alias("signal"))
+    last = last.groupBy("symbol").agg(F.sum("signal").alias("signal"))  # of all strategies
     return w.sample_boxes(_boxes(p).join(liquid.select("symbol"), "symbol", "left_semi"), last, 2)
 
 

@@ -264,7 +264,7 @@ def _(p):
     return q.signal_report(p.signals)
 
 
-@query("q24_signal_diversity", "signals", """WITH s AS (SELECT symbol, date, round(signal, 8) AS signal FROM signals WHERE strategy = 'momentum'),
+@query("q24_signal_diversity", "signals", """WITH s AS (SELECT symbol, date, round(avg(signal), 8) AS signal FROM signals GROUP BY symbol, date),
     a AS (SELECT avg(v) AS avg_time_variance, avg(u) AS avg_unique_values FROM (SELECT var_samp(signal) AS v, count(DISTINCT signal) AS u FROM s GROUP BY symbol)),
     b AS (SELECT avg(v) AS cross_variance_mean, stddev_samp(v) AS cross_variance_std, min(v) AS cross_variance_min, max(v) AS cross_variance_max
           FROM (SELECT var_samp(signal) AS v FROM s GROUP BY date)),
@@ -275,8 +275,8 @@ def _(p):
        "avg_time_variance:7 avg_unique_values:6 cross_variance_mean:7 cross_variance_std:7 cross_variance_min:7 cross_variance_max:7 "
        "avg_pairwise_correlation:7 max_correlation:7 long_percentage:6 short_percentage:6")
 def _(p):
-    s = p.signals.where("strategy = 'momentum'").select("symbol", "date", F.round("signal", 8).alias("signal"))
-    return q.signal_diversity(s)
+    blend = p.signals.groupBy("symbol", "date").agg(F.round(F.avg("signal"), 8).alias("signal"))  # of all strategies
+    return q.signal_diversity(blend)
 
 
 @query("q25_series_checks", "dirty", """SELECT *, n >= 252 AND values > 0 AND non_positive = 0 AS valid FROM
@@ -285,16 +285,16 @@ def _(p):
     return q.series_checks(p.dirty)
 
 
-@query("q26_trace_signal_to_weight", "signals weights", """SELECT date, count(*) FILTER (coalesce(signal, 0) <> 0) AS non_zero_signals,
+@query("q26_trace_signal_to_weight", "signals weights", """SELECT strategy, date, count(*) FILTER (coalesce(signal, 0) <> 0) AS non_zero_signals,
     count(*) FILTER (coalesce(weight, 0) <> 0) AS non_zero_weights,
     count(*) FILTER (coalesce(weight, 0) <> 0 AND coalesce(signal, 0) = 0) AS weight_without_signal,
     count(*) FILTER (r IS NOT NULL) AS recommended, count(*) FILTER (r IS NOT NULL AND coalesce(signal, 0) = 0) AS recommended_without_signal
-    FROM (SELECT * FROM signals WHERE strategy = 'momentum') s
-    FULL JOIN (SELECT date, symbol, weight FROM weights WHERE strategy = 'reversal') w USING (date, symbol)
-    FULL JOIN (SELECT date, symbol, 1 AS r FROM weights WHERE strategy = 'reversal' AND weight > 0.1) x USING (date, symbol) GROUP BY date""")
-def _(p):
-    w = p.weights.where("strategy = 'reversal'")
-    return q.trace_signal_to_weight(p.signals.where("strategy = 'momentum'"), w, w.where("weight > 0.1"))
+    FROM (SELECT strategy, date, symbol, CASE WHEN abs(signal) > 0.2 THEN signal END AS signal FROM signals) s
+    FULL JOIN (SELECT strategy, date, symbol, weight FROM weights) w USING (strategy, date, symbol)
+    FULL JOIN (SELECT strategy, date, symbol, 1 AS r FROM weights WHERE weight > 0.1) x USING (strategy, date, symbol) GROUP BY 1, 2""")
+def _(p):  # small signals count as none, so weights without a signal occur
+    s = p.signals.withColumn("signal", F.when(F.abs("signal") > 0.2, F.col("signal")))
+    return q.trace_signal_to_weight(s, p.weights, p.weights.where("weight > 0.1"), ("strategy", "date", "symbol"), ("strategy", "date"))
 
 
 @query("q27_validate_experiments", "signals", returns_sql(

@@ -83,11 +83,11 @@ def _(p):
     return g.expected_return_signals(pts, _fit(p), m.FF3, method="zscore")
 
 
-@query("g06_calendar_predictions", "signals", """WITH s AS (SELECT symbol, date, signal AS prediction FROM signals WHERE strategy = 'momentum'),
-    d AS (SELECT symbol, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM s GROUP BY symbol)
-    SELECT d.symbol, d.date, prediction FROM d ASOF LEFT JOIN s ON d.symbol = s.symbol AND d.date >= s.date""", "prediction:7")
+@query("g06_calendar_predictions", "signals", """WITH s AS (SELECT strategy, symbol, date, signal AS prediction FROM signals),
+    d AS (SELECT strategy, symbol, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM s GROUP BY strategy, symbol)
+    SELECT d.strategy, d.symbol, d.date, prediction FROM d ASOF LEFT JOIN s ON d.strategy = s.strategy AND d.symbol = s.symbol AND d.date >= s.date""", "prediction:7")
 def _(p):
-    return g.calendar_predictions(p.signals.where("strategy = 'momentum'").select("symbol", "date", F.col("signal").alias("prediction")))
+    return g.calendar_predictions(p.signals.select("strategy", "symbol", "date", F.col("signal").alias("prediction")), keys=("strategy", "symbol"))
 
 
 @query("g07_long_only", "weights", "SELECT strategy, date, symbol, weight FROM weights", "weight:8")

@@ -96,11 +96,11 @@ def _(p):
 
 
 @query("s10_clean_holdings", "", """SELECT upper(replace(p_name, ' ', '')) AS ticker, 'FUND' AS source_etf, 'UW' AS country_code, p_brand AS section, p_retailprice AS weight, CAST(p_size AS DOUBLE) AS shares, p_retailprice AS price
-    FROM part WHERE p_partkey % 10 > 0""", "weight:2 price:2")
+    FROM part""", "weight:2 price:2")
 def _(p):
     t = p.table("part")
     text = F.format_number("p_retailprice", 2)
-    row = t.where("p_partkey % 10 > 0").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("row_index"), F.col("p_name").alias("Name"),
+    row = t.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("row_index"), F.col("p_name").alias("Name"),
                                                F.concat(F.upper(F.regexp_replace("p_name", " ", "")), F.lit(" UW Equity")).alias("Ticker"),
                                                text.alias("Weight"), F.col("p_size").cast("string").alias("Shares"), text.alias("Price"))
     none = F.lit(None).cast("string")
@@ -110,12 +110,13 @@ def _(p):
     return io.clean_holdings(row.unionByName(head), "FUND")
 
 
-@query("s11_strategy_returns", "strat", "SELECT substr(strategy, 3) AS strategy, date, daily_return FROM strat WHERE strategy IN ('1-URGENT', '5-LOW')", "daily_return:8")
+@query("s11_strategy_returns", "strat", "SELECT strategy, date, daily_return FROM strat", "daily_return:8")
 def _(p):
     path = work_path(p.spark, "returns")
-    for s in ("URGENT", "LOW", "HIGH"):
-        p.strat.where(F.col("strategy").endswith(s)).select("date", "daily_return").write.option("header", "true").csv(f"{path}/{s}")
-    return io.read_strategy_returns(p.spark, path, ["URGENT", "LOW"])
+    p.strat.select("strategy", "date", "daily_return").write.partitionBy("strategy").option("header", "true").csv(path)
+    names = [r["strategy"] for r in p.strat.select("strategy").distinct().collect()]  # a few, one directory each
+    got = io.read_strategy_returns(p.spark, path, [f"strategy={n}" for n in names])
+    return got.withColumn("strategy", F.regexp_replace("strategy", "^strategy=", ""))
 
 
 @query("s12_extract_returns", "strat", "SELECT strategy, date, daily_return FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY date) AS i FROM strat) WHERE i > 1", "daily_return:7")

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -303,6 +304,42 @@ def test_significance_repeats_and_finds_a_real_edge(spark):
     assert a == b and a["edge"] < 0.01 and a["none"] > 0.05
 
 
+def test_draws_are_even_and_apart():
+    keys = analytics.draw_keys(np.arange(400), 500, 42)
+    hits = np.bincount((keys % 500).ravel(), minlength=500)
+    assert abs(((hits - 400) ** 2 / 400).sum() - 499) < 6 * (2 * 499) ** 0.5  # chi-square of even draws
+    x = (keys / analytics.DRAW_PRIME) - 0.5
+    for a, b in ((x[1:], x[:-1]), (x[:, 1:], x[:, :-1]), (x[7:, 3:], x[:-7, :-3])):
+        assert abs((a * b).mean() * 12) < 5 / a.size**0.5
+    assert abs(x.mean(1).std() * (12 * 500) ** 0.5 - 1) < 0.2
+    first = np.argsort(keys, axis=1)[:, 0]
+    assert len(set(first.tolist())) > 250  # permutations start anywhere
+    con = duckdb.connect()
+    sql = f"SELECT {analytics.draw_keys_sql('d', 'i', 42)} FROM (SELECT unnest(range(3)) AS d), (SELECT unnest(range(9)) AS i) ORDER BY d, i"
+    assert [r[0] for r in con.execute(sql).fetchall()] == keys[:3, :9].ravel().tolist()
+
+
+def test_significance_of_every_figure_equals_plain_numpy(spark):
+    rng = np.random.default_rng(14)
+    r, b = rng.normal(0.001, 0.01, 60), rng.normal(0, 0.01, 60)
+    day = lambda i: DAY0 + dt.timedelta(int(i))
+    rows = [("s", day(i), float(r[i])) for i in rng.permutation(60)] + [("s", day(60), None), ("one", day(0), 0.01)]
+    df = spark.createDataFrame(rows, "strategy string, date date, daily_return double")
+    bench = spark.createDataFrame([(day(i), float(b[i])) for i in range(60)], "date date, bench_return double")
+    keys, year = analytics.draw_keys(np.arange(50), 60, 42), 252**0.5
+    ratio = lambda x: x.mean() / x.std(ddof=1) * year
+    ex = lambda x: x - 0.02 / 252
+    figures = {
+        "sharpe": (lambda x: ratio(ex(x)), 0.02 / 252), "sortino": (lambda x: ex(x).mean() / ex(x)[ex(x) < 0].std(ddof=1) * year, 0.02 / 252),
+        "total_return": (lambda x: (1 + x).prod() - 1, 0), "alpha": (lambda x: (1 + x).prod() - (1 + b).prod(), b.mean()), "information_ratio": (lambda x: ratio(x - b), None)}
+    for metric, (figure, shift) in figures.items():
+        null = [figure(r[np.argsort(k, kind="stable")] if shift is None else (r - r.mean() + shift)[k % 60]) for k in keys]
+        want = (figure(r), np.mean(null), np.std(null, ddof=1), np.quantile(null, 0.95), np.mean(np.array(null) >= figure(r)))
+        against = bench if metric in ("alpha", "information_ratio") else None
+        got = {x.strategy: x for x in analytics.significance(df, against, metric, draws=50, per_task=7).collect()}
+        assert np.allclose(got["s"][1:], want, atol=1e-9) and all(np.isfinite(got["one"][1:]))
+
+
 def test_drift_flags_a_shifted_feature(spark):
     rng = np.random.default_rng(14)
     make = lambda m: spark.createDataFrame(pd.DataFrame({"feature": "f", "value": rng.normal(m, 1, 600)}).assign(feature=np.repeat(["f", "g"], 300)))
