@@ -34,3 +34,12 @@ def ols_sql(base: str, keys: list[str], xs: list[str], y: str, ridge: float = 0.
         out.append(f"alpha / sqrt(rss / (n - {k + 1}) / n * (1 + {lev})) AS t_alpha")
         out += [f"c{i} / sqrt(rss / (n - {k + 1}) / n * e{i}_{i}) AS t_{x}" for i, x in enumerate(xs)]
     return f"SELECT {', '.join(out)} FROM ({q})"
+
+
+def student_sql(t: str, dof: str) -> str:
+    """Two-sided p-value of Student's t for whole degrees of freedom: the finite series of its distribution."""
+    angle, cos = f"atan(abs({t}) / sqrt({dof}))", f"(1 / sqrt(1 + pow({t}, 2) / ({dof})))"
+    sin = f"(abs({t}) / sqrt({dof}) * {cos})"
+    even = f"list_sum(list_transform(range(0, ({dof}) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * pow({cos}, 2 * j)))"
+    odd = f"coalesce(list_sum(list_transform(range(1, ({dof}) // 2 + 1), lambda j: exp(lgamma(j + 0.0) - lgamma(j + 0.5)) * sqrt(pi()) / 2 * pow({cos}, 2 * j - 1))), 0)"
+    return f"(1 - CASE WHEN ({dof}) % 2 = 0 THEN {sin} * {even} ELSE 2 / pi() * ({angle} + {sin} * {odd}) END)"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factorframe.functions.windows import change
 from factorframe.operators import estimate as m
 from factorframe.plans.catalog import query
-from factorframe.plans.ols_sql import ols_sql
+from factorframe.plans.ols_sql import ols_sql, student_sql
 from factorframe.plans.q_technical import RUN, chg
 
 FRAME = "(SELECT symbol, r.date, r - RF AS y, MKT, SMB, HML, RMW, CMA FROM ret r JOIN factors f ON r.date = f.date)"
@@ -60,7 +60,8 @@ def _(p):
     return m.alpha_tstats(frame(p), m.FF5).drop("p_value")
 
 
-@query("m05_alpha_p_values")
+@query("m05_alpha_p_values", "ret factors", f"""SELECT symbol, n, alpha, t_alpha AS t_stat, {student_sql("t_alpha", "n - 6")} AS p_value, r2
+    FROM ({ols_sql(FRAME, ['symbol'], m.FF5, 'y', min_rows=30)})""", "alpha:8 t_stat:5 p_value:5 r2:6")
 def _(p):
     return m.alpha_tstats(frame(p), m.FF5)
 
@@ -76,7 +77,13 @@ def _(p):
     return out.drop("p_value")
 
 
-@query("m06_rolling_five_factor")
+ROLL5 = ols_sql(f"""(SELECT a.symbol, a.date, b.y, {", ".join("b." + x for x in m.FF5)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM {FRAME}) a
+    JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM {FRAME}) b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 251 AND a.i)""",
+                ["symbol", "date"], m.FF5, "y", min_rows=30)
+
+
+@query("m06_rolling_five_factor", "ret factors", f"SELECT symbol, date, n, alpha, t_alpha AS t_stat, {student_sql('t_alpha', 'n - 6')} AS p_value, r2 FROM ({ROLL5})",
+       "alpha:7 t_stat:4 p_value:4 r2:5")
 def _(p):
     return m.rolling_alpha_tstats(frame(p), m.FF5, n=252)
 
@@ -106,7 +113,13 @@ def _(p):
     return m.gamma_statistics(m.gammas(_panel(p), ["mom", "vol"], min_names=10)).drop("p_value")
 
 
-@query("m07_gamma_p_values")
+GP = f"(SELECT *, {student_sql('t_stat', 'n_dates - 1')} AS p_value FROM {GSTAT})"
+GBH = f"(SELECT *, row_number() OVER (ORDER BY p_value, feature) AS rk, count(*) OVER () AS tests FROM {GP})"
+
+
+@query("m07_gamma_p_values", "ret", f"""SELECT feature, n_dates, mean, std, t_stat, p_value, least(p_value * tests / rk, 1.0) AS p_adjusted,
+    coalesce(rk <= (SELECT max(rk) FROM {GBH} WHERE p_value <= rk / tests * 0.05), false) AS significant FROM {GBH}""",
+       "mean:8 std:7 t_stat:5 p_value:5 p_adjusted:5")
 def _(p):
     return m.fdr(m.gamma_statistics(m.gammas(_panel(p), ["mom", "vol"], min_names=10)))
 

@@ -145,12 +145,26 @@ def _(p):
     return g.fit_weights(p.strat, p.benchmark, "equal")
 
 
-@query("g13_lasso_weights")
+def _descent(rest, den, steps=3000):
+    """Coordinate descent over the covariances of common dates, one coordinate a step; ``x`` is the old weight."""
+    return f"""WITH RECURSIVE c AS (SELECT date FROM strat JOIN benchmark_returns USING (date) GROUP BY date HAVING count(*) = (SELECT count(DISTINCT strategy) FROM strat)),
+        f AS (SELECT strategy, date, daily_return AS r, bench_return AS b FROM strat JOIN benchmark_returns USING (date) JOIN c USING (date)),
+        v AS (SELECT x.strategy, y.strategy AS other, covar_pop(x.r, y.r) AS s FROM f x JOIN f y USING (date) GROUP BY 1, 2),
+        t AS (SELECT strategy, covar_pop(r, b) AS y, count(*) AS n FROM f GROUP BY 1),
+        m AS (SELECT list(strategy ORDER BY strategy) AS names, list(s ORDER BY strategy) AS s, list(y ORDER BY strategy) AS y, max(n) AS n
+            FROM t JOIN (SELECT strategy, list(s ORDER BY other) AS s FROM v GROUP BY 1) USING (strategy)),
+        d AS (SELECT 0 AS step, list_transform(names, lambda x: CAST(0 AS DOUBLE)) AS w FROM m
+            UNION ALL SELECT step + 1, list_transform(w, lambda x, i: CASE WHEN i = step % len(w) + 1
+                THEN greatest(y[i] - list_inner_product(s[i], w) + s[i][i] * x - {rest}, 0) / (s[i][i] + {den}) ELSE x END) FROM d, m WHERE step < {steps})
+        SELECT unnest(names) AS strategy, unnest(list_transform(w, lambda x: x / list_sum(w))) AS weight FROM d, m WHERE step = {steps}"""
+
+
+@query("g13_lasso_weights", "strat benchmark_returns", _descent("1e-7", "0"), "weight:6")
 def _(p):
     return g.fit_weights(p.strat, p.benchmark, "lasso", 1e-7)
 
 
-@query("g13_ridge_weights")
+@query("g13_ridge_weights", "strat benchmark_returns", _descent("0", "0.001 / n"), "weight:6")
 def _(p):
     return g.fit_weights(p.strat, p.benchmark, "ridge", 0.001)
 
