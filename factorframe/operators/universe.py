@@ -14,6 +14,11 @@ SUFFIXES = {"LN": "L", "FP": "PA", "GR": "DE", "NA": "AS", "JP": "T", "AU": "AX"
 DIRECT_CODES = ("HK", "L", "TO", "DE", "PA", "MI", "AS", "SW", "VX", "KS", "KQ", "AX", "SS", "SZ", "ST", "OL", "VI")
 CODE_SUFFIXES = {"UW": [""], "UN": [""], "US": [""], "GR": [".DE"], "FP": [".PA"], "NA": [".AS"], "JP": [".T"],
                  "AU": [".AX"], "SP": [".SI"], "LN": [".L"], "TT": [".TW", ".TWO"], "CN": [".TO", ".V"]}
+# fixed values: the same for the vendor's own reader, and further suffixes it tries
+VENDOR_SUFFIXES = {"US": "", "UW": "", "UN": "", "USA": "", "LN": ".L", "HK": ".HK", "JP": ".T", "JT": ".T", "KS": ".KS", "KQ": ".KQ", "SS": ".SS",
+                   "SZ": ".SZ", "TT": ".TW", "AU": ".AX", "TO": ".TO", "V": ".V", "CN": ".TO", "SW": ".SW", "VX": ".VX", "GR": ".DE", "DE": ".DE",
+                   "FP": ".PA", "PA": ".PA", "AS": ".AS", "NA": ".AS", "MI": ".MI", "BR": ".BR", "VI": ".VI", "OL": ".OL", "ST": ".ST"}
+OTHER_SUFFIXES = {"TO": [".TO", ".V"], "CN": [".TO", ".V"], "V": [".TO", ".V"], "SW": [".SW", ".VX"], "VX": [".SW", ".VX"], "TT": [".TW", ".TWO"]}
 # fixed values: delisting return by reason, and reason by code
 DELISTING_RETURNS = {"merger": 0.0, "acquisition": 0.0, "bankruptcy": -0.30, "liquidation": -0.55, "exchange": -0.55,
                      "voluntary": -0.15, "performance": -0.30, "unknown": -0.30}
@@ -53,6 +58,22 @@ def symbol_candidates(ticker, code) -> Column:
     return F.when(raw != "", F.array_distinct(F.concat(first, F.array(raw))))
 
 
+def provider_candidates(ticker, code, own: dict[str, str] | None = None) -> Column:
+    """U3 as the price provider resolves: the code's suffix (``own`` ones win), its alternates, the bare ticker; none for a blank ticker."""
+    raw, code = F.upper(F.trim(c(ticker))), F.upper(F.trim(F.coalesce(c(code), F.lit(""))))
+    table = {k: list(dict.fromkeys([s, *OTHER_SUFFIXES.get(k, [])])) for k, s in (VENDOR_SUFFIXES | (own or {})).items()}
+    suffixes = F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), code)
+    listed = F.coalesce(F.transform(suffixes, lambda s: F.concat(raw, s)), F.array().cast("array<string>"))
+    return F.when(raw != "", F.array_distinct(F.concat(listed, F.array(raw)))).otherwise(F.array().cast("array<string>"))
+
+
+def resolved(candidates) -> Column:
+    """The first candidate; Hong Kong numbers get four digits, a Japanese suffix is the vendor's."""
+    first = F.get(candidates, F.lit(0))
+    number = F.regexp_extract(first, r"^(\d+)\.HK$", 1)
+    return F.when((number != "") & (F.length(number) < 4), F.concat(F.lpad(number, 4, "0"), F.lit(".HK"))).otherwise(F.regexp_replace(first, r"\.JP$", ".T"))
+
+
 def at_least(df: DataFrame, col: str, minimum: float) -> DataFrame:
     """U4; text that is no number fails."""
     return df.where(c(col).try_cast("double") >= minimum)

@@ -48,6 +48,19 @@ def _(p):
     return _raw(p).select("row_id", u.symbol_candidates("explicit", "code").alias("candidates"))
 
 
+CODES = ["US", "LN", "HK", "JP", "JT", "KS", "KQ", "SS", "SZ", "TT", "AU", "TO", "V", "CN", "SW", "VX", "GR", "FP", "NA", "MI", "BR", "OL", "ST", "XX", ""]
+_SUFFIX = "map {'LN': '.L', 'HK': '.HK', 'JP': '.T', 'JT': '.T', 'TT': '.TW', 'AU': '.AX', 'CN': '.TO', 'GR': '.DE', 'FP': '.PA', 'NA': '.AS', 'US': ''}"
+
+
+@query("u03_provider_candidates", "universe", f"""SELECT row_id, CASE WHEN k IN ('TO', 'CN') THEN [t || '.TO', t || '.V', t] WHEN k = 'V' THEN [t || '.V', t || '.TO', t]
+    WHEN k = 'TT' THEN [t || '.TW', t || '.TWO', t] WHEN k = 'SW' THEN [t || '.SW', t || '.VX', t] WHEN k = 'VX' THEN [t || '.VX', t || '.SW', t]
+    WHEN k IN ('US', 'XX', '') THEN [t] ELSE [t || coalesce({_SUFFIX}[k], '.' || k), t] END AS candidates
+    FROM (SELECT row_id, upper(ticker) AS t, ({CODES})[code % 25 + 1] AS k FROM universe)""")
+def _(p):
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("code") % 25).cast("int"))
+    return p.universe.select("row_id", u.provider_candidates("ticker", F.lower(code)).alias("candidates"))
+
+
 @query("u04_minimum_weight", "universe", "SELECT ticker, weight FROM universe WHERE weight >= 1000")
 def _(p):
     return u.at_least(p.universe.select("ticker", F.col("weight").cast("string").alias("weight")), "weight", 1000).select(

@@ -107,7 +107,11 @@ def read_benchmark(spark: SparkSession, path: str, start=None, end=None) -> Data
 
 
 def read_universe(spark: SparkSession, path: str, filters: dict | None = None) -> DataFrame:
-    """Universe file with the filters of U1-U9, ending in one row per final symbol."""
+    """Universe file with the filters of U1-U9, ending in one row per final symbol.
+
+    Raises if boxes are asked for and the file has none, if one of them has fewer than ``per_box_min_n`` rows (unless
+    ``fail_fast`` is false), and if no symbol is left.
+    """
     from factorframe.operators import universe as u
 
     f = filters or {}
@@ -126,13 +130,25 @@ def read_universe(spark: SparkSession, path: str, filters: dict | None = None) -
     if f.get("regions") and region:
         df = u.include(df, region, f["regions"])
     if f.get("include_boxes"):
-        df = df.where(F.trim("source_sheet").isin([str(b).strip() for b in f["include_boxes"]]))
-        if f.get("per_box_top_n"):
-            df = u.top_per_box(df, "source_sheet", f["per_box_top_n"], cap or "weight")
+        if "source_sheet" not in df.columns:
+            raise ValueError("include_boxes needs a column source_sheet")
+        boxes = sorted({str(b).strip() for b in f["include_boxes"]})
+        df = df.withColumn("source_sheet", F.trim("source_sheet")).where(c("source_sheet").isin(boxes))
+        rank_by = cap or first(["weight"])
+        if f.get("per_box_top_n") and rank_by:
+            df = u.top_per_box(df, "source_sheet", f["per_box_top_n"], rank_by)
+        if f.get("per_box_min_n") and f.get("fail_fast", True):
+            wanted = spark.createDataFrame([(b,) for b in boxes], "source_sheet string")
+            short = u.box_gate(df, wanted, "source_sheet", f["per_box_min_n"]).where("not met").collect()  # at most the boxes asked for
+            if short:
+                raise ValueError(f"boxes below {f['per_box_min_n']} rows: {sorted(r['source_sheet'] for r in short)}")
     code = c("country_code") if "country_code" in df.columns else F.lit(None).cast("string")
     own = u.normalize_suffix("yfinance_ticker") if "yfinance_ticker" in df.columns else F.lit(None).cast("string")
-    df = df.withColumn("symbol", F.coalesce(own, F.element_at(u.symbol_candidates(u.normalize_ticker("ticker"), code), 1)))
-    return u.first_of_each(u.largest(df, f.get("max_stocks")))
+    df = u.largest(df, f.get("max_stocks")).withColumn("_t", u.normalize_ticker("ticker")).where("_t is not null")
+    out = u.first_of_each(df.withColumn("symbol", F.coalesce(own, u.resolved(u.symbol_candidates("_t", code)))).drop("_t"))
+    if out.isEmpty():
+        raise ValueError("no symbol is left after the filters")
+    return out
 
 
 def read_metadata(spark: SparkSession, path: str, billions_above=1e12) -> DataFrame:

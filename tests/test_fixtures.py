@@ -14,6 +14,7 @@ from factorframe.functions import joins, pairs, ranks
 from factorframe.functions.gram import student_p
 from factorframe.functions.windows import ewm_means, rolling_sums
 from factorframe.operators import align, analytics, crosssection, estimate, portfolio, quality, signals, technical, transforms, universe
+from factorframe.sources import io
 from factorframe.streaming import monitor
 
 DAY0 = dt.date(2020, 1, 1)
@@ -363,3 +364,23 @@ def test_strict_box_gate_raises(spark):
     df = spark.createDataFrame([("x", 1)], "box string, n int")
     with pytest.raises(Exception, match="box below minimum"):
         universe.box_gate(df, df, "box", 2, strict=True).collect()
+
+
+def test_universe_gates_and_padding(spark, tmp_path):
+    path = str(tmp_path / "universe.csv")
+    rows = ["ticker,country_code,source_sheet,weight,yfinance_ticker", "5,HK, A ,3,", "0700,HK,A,2,", "12345,HK,A,9,", "abc.JP,,B,1,", "xyz,GR,B,4,own.LN", ",GR,B,5,lost.DE", "5,HK,A,1,"]
+    (tmp_path / "universe.csv").write_text("\n".join(rows) + "\n")
+    names = lambda **f: sorted(r.symbol for r in io.read_universe(spark, path, f).collect())
+    assert names() == ["0005.HK", "0700.HK", "12345.HK", "ABC.T", "OWN.L"]
+    assert names(include_boxes=["A", "B"], per_box_min_n=3) == names()
+    assert names(include_boxes=["A"], per_box_top_n=2) == ["0005.HK", "12345.HK"]
+    assert names(include_boxes=["A", "C"], per_box_min_n=1, fail_fast=False) == ["0005.HK", "0700.HK", "12345.HK"]
+    for filters, said in (({"include_boxes": ["A", "C"], "per_box_min_n": 1}, "C"), ({"include_boxes": ["A", "B"], "per_box_min_n": 4}, "B"), ({"min_weight": 100}, "no symbol")):
+        with pytest.raises(ValueError, match=said):
+            names(**filters)
+    (tmp_path / "plain.csv").write_text("ticker\nabc\n")
+    with pytest.raises(ValueError, match="source_sheet"):
+        io.read_universe(spark, str(tmp_path / "plain.csv"), {"include_boxes": ["A"]})
+    got = spark.createDataFrame([("a ", "tt"), ("b", "v"), (" ", "US"), (None, None), ("c", "ZZ")], "t string, k string")
+    got = [r[0] for r in got.select(universe.provider_candidates("t", "k", {"ZZ": ".Z"})).collect()]
+    assert got == [["A.TW", "A.TWO", "A"], ["B.V", "B.TO", "B"], [], [], ["C.Z", "C"]]
