@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def c(x) -> Column:
@@ -89,16 +91,61 @@ def positive_log(x) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
-def rolling_rank(x, n: int, keys=("symbol",), order=("date",), min_periods: int | None = None) -> Column:
-    """Average-method percent rank of the newest value inside its trailing frame (frame of n rows at most)."""
-    x = c(x)
-    frame = F.collect_list(x).over(trailing(n, keys, order))
-    less = F.size(F.filter(frame, lambda v: v < x))
-    same = F.size(F.filter(frame, lambda v: v == x))
-    return F.when(
-        x.isNotNull() & (F.size(frame) >= (min_periods or n)),
-        (less + (same + 1) / 2) / F.size(frame),
-    )
+def frame_rank(values: np.ndarray, seen: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Average-method percent rank of each value among the seen values of the n rows up to it; NaN where fewer than
+    ``least`` are seen or the row itself is not.
+
+    Rows are cut into blocks of 1, 2, 4, ... rows, each sorted; a frame is at most two blocks of every size, so counting what
+    lies below a value takes two binary searches a size.  Time per row grows with log n, not with n.
+    """
+    size = len(values)
+    out = np.full(size, np.nan)
+    if not seen.any():
+        return out
+    distinct, place = np.unique(values[seen], return_inverse=True)
+    top = len(distinct) + 1
+    code = np.full(size, top - 1, dtype=np.int64)  # rows that are not seen lie above all others
+    code[seen] = place
+    rows = np.arange(size)
+    upto = np.append(0, np.cumsum(seen))
+    held = upto[1:] - upto[np.maximum(rows - n + 1, 0)]
+    at = np.flatnonzero(seen & (held >= max(least, 1)))
+    lo, hi = np.maximum(at - n + 1, 0), at + 1
+    below, within = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    level, keys = 0, rows * top + code
+    while (lo < hi).any():
+        for block, use in ((lo, (lo & 1 == 1) & (lo < hi)), (hi - 1, (hi & 1 == 1) & (lo < hi))):
+            start, key = block[use] << level, block[use] * top + code[at[use]]
+            below[use] += np.searchsorted(keys, key, "left") - start
+            within[use] += np.searchsorted(keys, key, "right") - start
+            if block is lo:
+                lo = lo + use
+            else:
+                hi = hi - use
+        lo, hi, level = lo >> 1, hi >> 1, level + 1
+        keys = np.sort((rows >> level) * top + code, kind="stable")
+    out[at] = (below + (within - below + 1) / 2) / held[at]
+    return out
+
+
+def rolling_ranks(df: DataFrame, specs: dict[str, tuple[str, int, int]], keys=("symbol",), order=("date",)) -> DataFrame:
+    """Adds ``{out: (column, rows, least)}``: the rank of the newest value inside its trailing frame (``frame_rank``), all
+    columns in one pass over each series.  Null values are no part of a frame and get null."""
+    keys, order = _seq(keys), _seq(order)
+    schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in specs]])
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, sort_keys=[(x, "ascending") for x in order]))
+        for name, (col, n, least) in specs.items():
+            x = table.column(col).combine_chunks().cast(pa.float64())
+            rank = frame_rank(x.fill_null(0.0).to_numpy(zero_copy_only=False), np.asarray(x.is_valid()), n, least)
+            table = table.append_column(name, pa.array(rank, pa.float64(), from_pandas=True))
+        return table
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def compounded(r, w) -> Column:
@@ -162,3 +209,24 @@ def rolling_sums(df: DataFrame, cols: list[str], n: int, keys=("symbol",), order
     out = out.select("*", *[(F.col(f"_p_{x}") + tail(x)).alias(f"{x}_sum") for x in cols])
     out = out.withColumn("_rows", F.least(F.col("_rn") + 1, F.lit(n)))
     return out.drop("_rn", "_blk", *[f"_{p}_{x}" for x in cols for p in "pt"])
+
+
+def decayed_sums(df: DataFrame, col: str, specs: dict[str, tuple[int, float]], keys=("symbol",), order=("date",)) -> DataFrame:
+    """Adds ``{out: (n, a)}``: the sum of a^k times the value k rows ago over the n newest rows, linear in rows.
+
+    As in ``rolling_sums``, a frame is the running sum of its block of n rows and what the block before has left; values are
+    scaled by their place in the block first, so that one power of ``a`` a row settles all weights (a^n must not vanish).
+    Nulls count as 0.
+    """
+    keys, order = _seq(keys), _seq(order)
+    w = ordered(keys, order)
+    out = df.withColumn("_rn", F.row_number().over(w) - 1)
+    for name, (n, a) in specs.items():
+        off, fade = F.col("_rn") % n, lambda k, a=a: F.exp(k * F.lit(math.log(a)))
+        out = out.withColumn("_blk", F.floor(F.col("_rn") / n)).withColumn("_x", F.coalesce(F.col(col), F.lit(0.0)) * fade(-off))
+        block = Window.partitionBy(*keys, "_blk")
+        out = out.withColumn("_p", F.sum("_x").over(block.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("_left", F.sum("_x").over(block) - F.col("_p"))
+        tail = F.coalesce(F.lag("_left", n).over(w), F.lit(0.0)) * F.lit(a**n)
+        out = out.withColumn(name, fade(off) * (F.col("_p") + tail)).drop("_blk", "_x", "_p", "_left")
+    return out.drop("_rn")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorframe.functions.windows import (
-    c, change, ewm_means, lagged, log_change, ordered, positive_log, ratio, rolling, rolling_max, rolling_mean,
-    rolling_min, rolling_rank, rolling_std, rolling_sum, running, trailing, whole,
+    c, change, decayed_sums, ewm_means, lagged, log_change, ordered, positive_log, ratio, rolling, rolling_max, rolling_mean,
+    rolling_min, rolling_ranks, rolling_std, rolling_sum, running, trailing, whole,
 )
 
 # fixed values
@@ -36,16 +36,14 @@ def log_returns(bars: DataFrame, periods=MOMENTUM_PERIODS) -> DataFrame:
 
 def exp_momentum(bars: DataFrame, periods=MOMENTUM_PERIODS) -> DataFrame:
     """Weighted mean of x / x0 - 1 over the last p rows, weights rising from e^-1 to 1."""
+    decay = {p: math.exp(-1 / (p - 1)) if p > 1 else 1.0 for p in periods}
+    df = decayed_sums(bars, "close", {f"_e{p}": (p, a) for p, a in decay.items()})
 
     def one(p):
-        raw = [math.exp(-1 + i / (p - 1)) if p > 1 else 1.0 for i in range(p)]
-        weights = F.lit([x / sum(raw) for x in raw])
-        xs = F.collect_list("close").over(trailing(p))
-        terms = F.zip_with(xs, weights, lambda x, w: x * w)
-        mean = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
-        return F.when(F.size(xs) == p, ratio(mean, F.element_at(xs, 1)) - 1).alias(f"exp_momentum_{p}d")
+        mean = c(f"_e{p}") / sum(decay[p] ** k for k in range(p))
+        return F.when(F.count("close").over(trailing(p)) == p, ratio(mean, lagged("close", p - 1)) - 1).alias(f"exp_momentum_{p}d")
 
-    return bars.select("*", *[one(p) for p in periods])
+    return df.select("*", *[one(p) for p in periods]).drop(*[f"_e{p}" for p in periods])
 
 
 def risk_adjusted_momentum(bars: DataFrame, periods=MOMENTUM_PERIODS) -> DataFrame:
@@ -59,7 +57,7 @@ def risk_adjusted_momentum(bars: DataFrame, periods=MOMENTUM_PERIODS) -> DataFra
 def momentum_rank(bars: DataFrame, periods=MOMENTUM_PERIODS, rows=RANK_ROWS, min_rows=RANK_MIN) -> DataFrame:
     """T5."""
     df = bars.select("*", *[change("close", p).alias(f"_m{p}") for p in periods])
-    df = df.select("*", *[rolling_rank(f"_m{p}", rows, min_periods=min_rows).alias(f"momentum_rank_{p}d") for p in periods])
+    df = rolling_ranks(df, {f"momentum_rank_{p}d": (f"_m{p}", rows, min_rows) for p in periods})
     return df.drop(*[f"_m{p}" for p in periods])
 
 
@@ -100,10 +98,7 @@ def garman_klass(bars: DataFrame, windows=VOLATILITY_WINDOWS) -> DataFrame:
 
 def volatility_rank(bars: DataFrame, windows=VOLATILITY_WINDOWS, rows=RANK_ROWS, min_rows=RANK_MIN) -> DataFrame:
     """T10; adds T6 as well."""
-    df = volatility(bars, windows)
-    return df.select(
-        "*", *[rolling_rank(f"volatility_{w}d", rows, min_periods=min_rows).alias(f"volatility_rank_{w}d") for w in windows]
-    )
+    return rolling_ranks(volatility(bars, windows), {f"volatility_rank_{w}d": (f"volatility_{w}d", rows, min_rows) for w in windows})
 
 
 def long_parkinson(bars: DataFrame) -> DataFrame:
@@ -241,20 +236,17 @@ def basic_block(bars: DataFrame) -> DataFrame:
 
 
 def technical_panel(bars: DataFrame, periods=MOMENTUM_PERIODS, windows=VOLATILITY_WINDOWS) -> DataFrame:
-    """All indicator columns of a symbol-date; one exchange by symbol."""
-    df = momentum_rank(risk_adjusted_momentum(exp_momentum(log_returns(momentum(bars, periods), periods), periods), periods), periods)
-    df = df.withColumn("_ret", change("close"))
-    df = df.select("*", *[rolling_std("_ret", w).alias(f"volatility_{w}d") for w in windows]).drop("_ret")
-    df = df.select(
-        "*", *[rolling_std(f"volatility_{w}d", w).alias(f"vol_of_vol_{w}d") for w in windows],
-        *[rolling_rank(f"volatility_{w}d", RANK_ROWS, min_periods=RANK_MIN).alias(f"volatility_rank_{w}d") for w in windows],
-    )
+    """All indicator columns of a symbol-date; one exchange by symbol.  Ranks come last, in one pass for all of them,
+    since they leave the JVM and later windows would need another exchange."""
+    df = risk_adjusted_momentum(exp_momentum(log_returns(momentum(bars, periods), periods), periods), periods)
+    df = vol_of_vol(df, windows)
     for step in (parkinson, garman_klass):
         df = step(df, windows)
     for step in (long_parkinson, long_garman_klass, range_volatility, sma, ema, macd, bollinger, rsi, stochastic,
                  williams_r, mfi, adx, cci, volume_price_trend):
         df = step(df)
-    return df
+    ranked = {f"momentum_rank_{p}d": f"momentum_{p}d" for p in periods} | {f"volatility_rank_{w}d": f"volatility_{w}d" for w in windows}
+    return rolling_ranks(df, {name: (x, RANK_ROWS, RANK_MIN) for name, x in ranked.items()})
 
 
 def drop_empty_columns(df: DataFrame, keep=("symbol", "date")) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorframe.functions import pairs, ranks
 from factorframe.functions.windows import (
-    c, change, compounded, lagged, log_change, ordered, ratio, rolling_max, rolling_mean, rolling_min, rolling_rank,
+    c, change, compounded, lagged, log_change, ordered, ratio, rolling_max, rolling_mean, rolling_min, rolling_ranks,
     rolling_std, running, whole,
 )
 
@@ -142,7 +142,7 @@ def rolling_statistics(df: DataFrame, cols: list[str], n: int, stats=("mean", "s
 
 def rank_features(df: DataFrame, cols: list[str], windows=(20, 60, 252)) -> DataFrame:
     """P11."""
-    return df.select("*", *[rolling_rank(x, n).alias(f"{x}_rank_{n}d") for x in cols for n in windows])
+    return rolling_ranks(df, {f"{x}_rank_{n}d": (x, n, n) for x in cols for n in windows})
 
 
 def drawdown(df: DataFrame, col="daily_return", keys=("strategy",), order="date") -> DataFrame:
