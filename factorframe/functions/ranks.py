@@ -3,8 +3,10 @@
 A window over a whole cross-section sends it to one task, and ``percentile``
 keeps every distinct value of a group in one buffer.  Here equal values are
 counted first (map-side combine, so ties collapse), every group is cut into
-value buckets at approximate quantiles, and ordering happens per bucket.  The
-cut points only steer the split; ranks and quantiles are exact.
+value buckets, and ordering happens per bucket.  A value is a cut if its hash
+says so, which holds in every evaluation and on every machine; a bucket has
+about ``PER_PART`` different values, so more data is more buckets, and a small
+group is one.  The cuts only steer the split; ranks and quantiles are exact.
 """
 
 from __future__ import annotations
@@ -12,21 +14,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 32
+#: Different values of a bucket on average.  Cuts are one value in as many: 30 MB for 10^12 different values.
+PER_PART = 1 << 18
 
 
 def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, by) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def _number_below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts are less than the value, by halving."""
+
+    def halve(s, _):
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = F.get(cuts, middle) < value
+        return F.struct(F.when(less, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(less, s["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve, lambda s: s["lo"])
+    return F.when(cuts.isNull(), 0).otherwise(found)
+
+
 def _tag_buckets(df: DataFrame, by: list[str], value: str, single: bool) -> DataFrame:
-    probs = [i / SPLITS for i in range(1, SPLITS)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, F.lit(probs), F.lit(1000)).alias("_cuts"))
-    if single:  # one row of SPLITS numbers, whatever the input size
+    picked = F.pmod(F.xxhash64(value), F.lit(PER_PART)) == 0
+    cuts = df.where(picked).groupBy(*by).agg(F.sort_array(F.collect_set(value)).alias("_cuts"))  # no row for a group without cuts
+    if single:  # at most one row, of the size stated above
         cuts = F.broadcast(cuts)
-    # plain comparisons rather than a lambda: they are generated code and let equal exchanges be reused
-    above = [(F.col(value) > F.col("_cuts")[i]).cast("int") for i in range(SPLITS - 1)]
-    return df.join(cuts, by).withColumn("_bucket", sum(above, F.lit(0))).drop("_cuts")
+    return df.join(cuts, by, "left").withColumn("_bucket", _number_below(F.col("_cuts"), F.col(value))).drop("_cuts")
 
 
 def ordered_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -88,10 +102,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
 
 
 def row_numbers(df: DataFrame, by: list[str], value: str, ties: list[str], name: str = "row_num") -> DataFrame:
-    """Exact row_number over (by order by value, ties) without a single-task sort; value must not be null."""
+    """Exact row_number over (by order by value, ties) without a single-task sort; value must not be null.  Buckets are cut at
+    (value, ties), so the rows of one value are split as well."""
     single = not by
     df, keys = _keyed(df, by)
-    tagged = _tag_buckets(df, keys, value, single)
+    tagged = _tag_buckets(df.withColumn("_order", F.struct(value, *ties)), keys, "_order", single)
     sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_offset"))
@@ -100,7 +115,7 @@ def row_numbers(df: DataFrame, by: list[str], value: str, ties: list[str], name:
         tagged.withColumn("_rn", F.row_number().over(inside))
         .join(sizes, keys + ["_bucket"])
         .withColumn(name, F.col("_rn") + F.col("_offset"))
-        .drop("_rn", "_offset", "_bucket", "_all")
+        .drop("_rn", "_offset", "_bucket", "_all", "_order")
     )
 
 
