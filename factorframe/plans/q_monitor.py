@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factorframe.plans.catalog import query
+from factorframe.sources import store
 from factorframe.streaming import ingest, monitor as l
 from factorframe.streaming.replay import replay
 from factorframe.streaming.storage import work_path
@@ -269,13 +270,29 @@ def _(p):
     return _running_health(p).where("changed").select("model_id", "day", "status")
 
 
-@query("l09_stream_ingest", "bars", "SELECT symbol, date, close * CASE WHEN volume > 50 THEN 2 ELSE 1 END AS close, volume FROM bars", "close:3")
-def _(p):
-    source, store = work_path(p.spark, "incoming"), work_path(p.spark, "store")
+INGESTED = "SELECT symbol, date, close * CASE WHEN volume > 50 THEN 2 ELSE 1 END AS close, volume FROM bars"
+
+
+def _ingested(p):
+    """A store that a stream has filled: every bar once, those of large volume again with another price."""
+    source, path = work_path(p.spark, "incoming"), work_path(p.spark, "store")
     stamp = lambda n: F.lit(n).cast("long").alias("load_ts")
     a = p.bars.select("symbol", "date", "close", "volume", stamp(1))
     b = p.bars.where("volume > 50").select("symbol", "date", (2 * F.col("close")).alias("close"), "volume", stamp(2))
     a.unionByName(b).write.parquet(source)
     s = p.spark.readStream.schema(p.spark.read.parquet(source).schema).option("maxFilesPerTrigger", "16").parquet(source)
-    ingest.ingest(s, store).awaitTermination()
-    return p.spark.read.parquet(store).select("symbol", "date", "close", "volume")
+    ingest.ingest(s, path).awaitTermination()
+    return path
+
+
+@query("l09_stream_ingest", "bars", INGESTED, "close:3")
+def _(p):
+    return store.read(p.spark, _ingested(p)).select("symbol", "date", "close", "volume")
+
+
+@query("l09_compacted_store", "bars", INGESTED + " WHERE date BETWEEN DATE '1995-03-10' AND DATE '1997-02-20'", "close:3")
+def _(p):
+    path = _ingested(p)
+    store.compact(p.spark, path)
+    store.vacuum(p.spark, path)
+    return store.read(p.spark, path, "1995-03-10", "1997-02-20").select("symbol", "date", "close", "volume")

@@ -22,9 +22,10 @@ def read_bars(spark: SparkSession, path: str, start=None, end=None, symbols: lis
 
 
 def write_bars(bars: DataFrame, path: str, mode="overwrite") -> None:
-    """Store layout: one directory per year, sorted by symbol inside the files so that row groups can be skipped."""
+    """Layout of a table that is written whole: one directory per year, sorted by symbol inside the files so that row groups can
+    be skipped; a year is split by month and hash of symbol.  ``sources.store`` is the layout for batches."""
     out = bars.withColumn("year", F.year("date"))
-    out.repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(16))).sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("year").parquet(path)
+    out.repartition("year", F.month("date"), F.pmod(F.xxhash64("symbol"), F.lit(16))).sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("year").parquet(path)
 
 
 def merge_bars(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -35,28 +36,6 @@ def merge_bars(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest), F.struct("load_ts", *[x for x in rest if x != "load_ts"])).alias("_r")).select("symbol", "date", "_r.*")
 
 
-def merge_into_store(spark: SparkSession, path: str, fresh: DataFrame) -> None:
-    """S2 on disk: rewrites only the years that the new rows touch; the new files are complete before they replace the old."""
-    from factorframe.streaming.storage import work_path
-
-    fresh = fresh.withColumn("year", F.year("date"))
-    years = [r["year"] for r in fresh.select("year").distinct().collect()]  # a handful of numbers
-    if not years:
-        return
-    try:
-        stored = spark.read.parquet(path).where(c("year").isin(years))
-        merged = merge_bars(stored.drop("year"), fresh.drop("year"))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        merged = merge_bars(fresh.drop("year"), fresh.drop("year").limit(0))
-    staging = work_path(spark, "merge")
-    merged.write.parquet(staging)  # a written table, since a store cannot be read and overwritten in one job
-    out = spark.read.parquet(staging).withColumn("year", F.year("date"))
-    out.repartition("year").sortWithinPartitions("symbol", "date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
-
-
 def missing_ranges(bars: DataFrame, wanted: DataFrame) -> DataFrame:
     """S3: wanted(symbol, start, end) -> date ranges before and after what is stored; all of it for unknown symbols."""
     have = bars.groupBy("symbol").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
