@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,44 +229,75 @@ def health_status(issues, alerts=ALERTS) -> Column:
 
 
 DAY_MS = 86_400_000
+#: Keys of the state of ``running_health``: models are dealt to these by hash.
+BUCKETS = 1024
 
 
-def running_health(predictions: DataFrame, late_days=2, alerts=ALERTS) -> DataFrame:
+def running_health(predictions: DataFrame, late_days=2, alerts=ALERTS, buckets=BUCKETS) -> DataFrame:
     """L8 on a stream of predictions(model_id string, ts, actual): (model_id, day, issues, status, changed) for every day of a
     model from its first one, once the watermark has closed it.
 
-    The state of a model is a pair of counts for each open day.  A timer at the end of its next day fires without
+    The state of a model is a pair of counts for each open day; the models of a bucket share one state of arrays, so that a
+    micro-batch costs one Python turn a bucket however many models there are.  A timer at the end of the next day fires without
     any prediction, so silence is reported too; rows older than the watermark are dropped.  The empty model_id is a heartbeat.
     """
+    names = np.array([None, "healthy", "warning", "critical"], dtype=object)
+    kinds = {"at": np.int64, "last": np.int8, "own": np.int64, "days": np.int64, "sizes": np.int64, "known": np.int64}
+
+    def per_day(f: pd.DataFrame) -> pd.DataFrame:
+        f = f[f["model_id"].notna() & (f["model_id"] != "")]
+        day = f["ts"].astype("int64") // {"s": 86_400, "ms": DAY_MS, "us": DAY_MS * 1000, "ns": DAY_MS * 1_000_000}[f["ts"].dt.unit]
+        return pd.DataFrame({"model": f["model_id"], "day": day, "n": 1, "k": f["actual"].notna().astype("int64")}).groupby(["model", "day"], as_index=False).sum()
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if not key[0]:
+        models, held = (list(state.get[0]), state.get[1:]) if state.exists else ([], [b""] * len(kinds))
+        at, last, own, days, sizes, known = (np.frombuffer(bytes(x), k) for x, k in zip(held, kinds.values()))
+        fresh = [per_day(f) for f in frames] if not state.hasTimedOut else []
+        if sum(map(len, fresh)):
+            new = pd.concat(fresh)
+            place = {m: i for i, m in enumerate(models)}
+            for m in new["model"].unique():
+                place.setdefault(m, len(place))
+            models, more = list(place), len(place) - len(at)
+            at, last = np.append(at, np.zeros(more, np.int64)), np.append(last, np.zeros(more, np.int8))
+            all_ = pd.DataFrame({"own": np.append(own, new["model"].map(place)), "day": np.append(days, new["day"]),
+                                 "n": np.append(sizes, new["n"]), "k": np.append(known, new["k"])}).groupby(["own", "day"], as_index=False).sum()
+            own, days, sizes, known = (all_[x].to_numpy(np.int64) for x in ("own", "day", "n", "k"))
+            first = np.unique(own, return_index=True)  # days ascend within a model
+            open_ = last[first[0]] == 0  # nothing reported yet: the first day may still move back
+            at[first[0][open_]] = days[first[1][open_]]
+        if not models:
             return
-        days, sizes, known, at, last = state.get if state.exists else ([], [], [], None, None)
-        held = {d: (n, k) for d, n, k in zip(days, sizes, known)}
-        for f in frames if not state.hasTimedOut else ():
-            of = pd.DataFrame({"day": f["ts"].astype("int64") // {"s": 86_400, "ms": DAY_MS, "us": DAY_MS * 1000, "ns": DAY_MS * 1_000_000}[f["ts"].dt.unit],
-                               "known": f["actual"].notna()}).groupby("day")["known"].agg(["size", "sum"])
-            for d, n, k in of.itertuples():
-                a, b = held.get(d, (0, 0))
-                held[int(d)] = (a + int(n), b + int(k))
-        if last is None and held:  # nothing reported yet: the first day may still move back
-            at = min(held)
-        rows, closed = [], state.getCurrentWatermarkMs() // DAY_MS
-        while at < closed:
-            n, k = held.pop(at, (0, 0))
-            issues = 1 if n == 0 else int(k / n < MIN_FEEDBACK)
-            status = "healthy" if issues == 0 else "warning" if issues <= alerts else "critical"
-            rows.append((key[0], at, issues, status, last is not None and status != last))
-            at, last = at + 1, status
-        order = sorted(held)
-        state.update((order, [held[d][0] for d in order], [held[d][1] for d in order], at, last))
-        state.setTimeoutTimestamp((at + 1) * DAY_MS)
-        yield pd.DataFrame(rows, columns=["model_id", "day", "issues", "status", "changed"])
-
-    out = predictions.select("model_id", "ts", c("actual").cast("double").alias("actual")).withWatermark("ts", f"{late_days} days").groupBy("model_id").applyInPandasWithState(
+        closed = state.getCurrentWatermarkMs() // DAY_MS
+        counts = np.maximum(closed - at, 0)
+        ends = np.cumsum(counts)
+        who = np.repeat(np.arange(len(models)), counts)
+        day = np.arange(len(who)) - np.repeat(ends - counts, counts) + at[who]
+        code = lambda m, d: (m << 32) + d + (1 << 31)
+        seen = np.searchsorted(code(own, days), code(who, day))
+        n, k = np.zeros((2, len(who)), np.int64)
+        hit = seen < len(own)
+        hit[hit] = code(own, days)[seen[hit]] == code(who, day)[hit]
+        n[hit], k[hit] = sizes[seen[hit]], known[seen[hit]]
+        issues = ((n == 0) | (k / np.maximum(n, 1) < MIN_FEEDBACK)).astype(np.int64)
+        status = np.where(issues == 0, 1, np.where(issues <= alerts, 2, 3)).astype(np.int8)
+        before = np.append(np.zeros(1, np.int8), status)[:-1]
+        heads = counts > 0
+        before[(ends - counts)[heads]] = last[heads]
+        last = last.copy()
+        last[heads] = status[ends[heads] - 1]
+        at, keep = np.maximum(at, closed), days >= closed
+        held = (at, last, own[keep], days[keep], sizes[keep], known[keep])
+        state.update((models, *[x.astype(t).tobytes() for x, t in zip(held, kinds.values())]))
+        state.setTimeoutTimestamp((int(at.min()) + 1) * DAY_MS)
+        yield pd.DataFrame({"model_id": np.array(models, dtype=object)[who], "day": day, "issues": issues, "status": names[status],
+                            "changed": (before > 0) & (before != status)})
+
+    bucket = F.pmod(F.xxhash64("model_id"), F.lit(buckets)).alias("_bucket")
+    rows = predictions.select(bucket, "model_id", "ts", c("actual").cast("double").alias("actual")).withWatermark("ts", f"{late_days} days")
+    out = rows.groupBy("_bucket").applyInPandasWithState(
         step, "model_id string, day int, issues int, status string, changed boolean",
-        "days array<int>, sizes array<long>, known array<long>, at int, last string", "append", "EventTimeTimeout")
+        "models array<string>, " + ", ".join(f"{x} binary" for x in kinds), "append", "EventTimeTimeout")
     return out.withColumn("day", F.date_from_unix_date("day"))
 
 

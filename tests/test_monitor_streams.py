@@ -120,6 +120,26 @@ def test_silence_is_reported_by_timer(spark):
                    ("b", 6): (warning, False)}
 
 
+def test_health_of_many_models_is_kept_by_bucket(spark):
+    """Against the batch from each model's first day on: one state row a bucket, not a model; models change buckets' clocks apart."""
+    rng = np.random.default_rng(4)
+    rows = [(f"m{i % 400}", at(float(rng.uniform(i % 9, 12))), None if rng.random() < 0.6 else 1.0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "model_id string, ts timestamp, actual double")
+    late = F.col("model_id").endswith("7")
+    for buckets in (1, 7):
+        out, progress = collected(monitor.running_health(replay(df, "ts", {"model_id": ""}, late, 13, slices=3), late_days=13, buckets=buckets))
+        assert max(o["numRowsTotal"] for p in progress for o in p["stateOperators"]) <= buckets
+        first = {}
+        for m, t, _ in rows:
+            first[m] = min(first.get(m, t.date()), t.date())
+        want, before = {}, {}
+        for r in sorted(monitor.daily_health(df).collect(), key=lambda r: (r.model_id, r.day)):
+            if r.day >= first[r.model_id]:
+                want[r.model_id, r.day] = (r.issues, r.status, before.get(r.model_id, r.status) != r.status)
+                before[r.model_id] = r.status
+        assert len(out) == len(want) and {(r.model_id, r.day): (r.issues, r.status, r.changed) for r in out} == want
+
+
 def test_replay_of_an_empty_table(spark):
     df = spark.createDataFrame([], "model_id string, ts timestamp, actual double")
     assert collected(monitor.running_health(replay(df, "ts", {"model_id": ""}, F.lit(False), 5), 5))[0] == []
