@@ -9,7 +9,7 @@ the driver.
 
 * Linear models: one pass over the rows gives the moments of every (fold, role, group).  Fits and scores of all points
   are algebra on these moments, so the search costs the same pass however many points it tries.
-* Trees: Spark's boosted trees, fitted again for the points that are still in the race.
+* Trees: Spark's boosted trees, fitted again for the points that are still in the race, over rows written once.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from factorframe.functions.gram import _inverse, _unpack, gram
 from factorframe.functions.windows import c
 from factorframe.operators import estimate, ml
+from factorframe.streaming.storage import work_path
 
 #: What a linear model may be searched over.
 LINEAR = {"ridge": ("log", 1e-4, 100.0), "scaled": ("choice", [False, True]), "factors": ("int", 1, 2)}
@@ -158,10 +159,18 @@ def linear_search(frame: DataFrame, split: DataFrame, xs: list[str], points: Dat
         moments.unpersist()
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tree_search(train: DataFrame, split: DataFrame, features: list[str], points: DataFrame, folds: int, label="target", eta: int = 2, seed=42) -> DataFrame:
-    """The history of a halving search over boosted trees (points: trial, trees, depth, rate)."""
+    """The history of a halving search over boosted trees (points: trial, trees, depth, rate).
+
+    Rows and split are written once; fits and scores, which read them many times over, go to what is written."""
     params = {r["trial"]: r for r in points.collect()}
-    rows = train.where(c(label).isNotNull()).join(split, "date")
+    rows = _kept(train.where(c(label).isNotNull()).select("date", *features, label), "search-rows").join(_kept(split, "search-split"), "date")
 
     def score(alive, part):
         for fold in part:

@@ -130,3 +130,16 @@ def test_trees_are_fitted_again_only_for_survivors(spark, monkeypatch):
         own = sorted((r for r in out if r.folds == upto), key=lambda r: r.place)
         assert [r.trial for r in own] == ranked and sum(r.kept for r in own) == keep
         assert all(r.mean_score == pytest.approx(np.mean([scores[r.trial, f] for f in range(upto)]), abs=1e-6) for r in own)
+
+
+def test_trees_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame(panel(spark, 90)).withColumnRenamed("y", "target").withColumn("a", F.udf(counted, "double")("a"))
+    pts = search.points(spark, {"trees": ("int", 1, 2), "depth": ("int", 1, 2), "rate": ("log", 0.1, 1.0)}, 3, 1)
+    out = search.tree_search(df, ml.purged_split(ml.date_index(df.select("date")), folds=2), ["a", "b"], pts, 2)
+    assert out.where("folds = 2 and kept").count() == 1 and seen.value == 270
