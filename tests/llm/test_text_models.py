@@ -306,3 +306,20 @@ def test_every_notice_of_a_text(spark):
     n = len(licenses.template_words(mit))
     assert got == [(1, "MIT", 1.0, 208, 212), (2, "MIT", 1.0, 0, 4), (2, "MIT", 1.0, 205, 209), (2, "MIT", 1.0, 210, 214),
                    (3, "MIT-text", 1.0, 0, n - 1), (3, "MIT-text", 1.0, n + 200, 2 * n + 199), (3, "MIT-text", 1.0, 2 * n + 200, 3 * n + 199), (5, "MIT", 1.0, 8, 12)]
+
+
+def test_languages_are_counted_in_small_pieces(spark, monkeypatch):
+    """What a task holds of numbers for each character is bounded by the piece, in learning as in judging."""
+    whole = language_id.pieces
+
+    def small(column, limit=2_000_000):
+        for at, data, offsets in whole(column, limit):
+            assert len(data) <= 500_000 or len(offsets) == 2
+            yield at, data, offsets
+
+    rows = [("the cat sat on the mat " * 40, "en")] * 900 + [("der hund lag auf dem boden " * 40, "de")] * 900
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    langs, model = language_id.learn(df)
+    monkeypatch.setattr(language_id, "pieces", small)
+    again, cut = language_id.learn(df)
+    assert langs == again == ["de", "en"] and (model == cut).all()
