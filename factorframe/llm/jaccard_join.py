@@ -28,14 +28,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorframe.llm.common import mix, pieces, released, repeated, shingle_hashes, stored, with_list, word_hashes, word_spans
+from factorframe.llm.common import mix, pieces, released, repeated, shingle_hashes, small_batches, stored, with_list, word_hashes, word_spans
 
 #: Ratio of the largest and the smallest set of a band.
 BAND = 1.5
 #: Bits of the parity sketch (odd sketch).  Two sketches differ in at most as many bits as the sets differ in elements.
 BITS = 1024
-#: Sets of more than LARGE elements, for which those bits say little, get a sketch of WIDE bits before sets are shipped.
-LARGE, WIDE = 1024, 32768
+#: Elements of a block of sets that are verified together (a larger set is one block).
+ELEMENTS = 500_000
+#: Rows of an Arrow batch, which bounds what executor and worker hold of texts and sets.
+ROWS = 1_000
 #: Bytes of text that are hashed at once (a longer text is one piece).
 PIECE = 500_000
 #: Members of a bucket compared with each other in one task.
@@ -189,7 +191,7 @@ def components(edges: DataFrame, lean: bool = False) -> DataFrame:
 
 
 def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, s, wide): the sets of the wanted classes, from the text of one document each; large sets with a wide sketch."""
+    """(cls, s): the sets of the wanted classes, from the text of one document each."""
     ids = stored(classes.join(wanted, "cls", "left_semi").select("doc_id", "text_hash").distinct())
 
     def run(batches):
@@ -202,37 +204,57 @@ def _participants(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words:
                 names = [_name(s) for s in sets]
                 offsets = np.zeros(len(sets) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in sets], out=offsets[1:])
-                wide = [_parity(s, WIDE) if len(s) > LARGE else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sets)), pa.int64())),
-                                                  pa.array(wide, pa.binary())], names=["cls", "s", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sets)), pa.int64()))], names=["cls", "s"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     rows = with_list(texts, ids, ["doc_id", "text_hash"], "left_semi").select("text")
-    return stored(rows.mapInArrow(run, "cls long, s array<long>, wide binary").dropDuplicates(["cls"]))
+    return stored(rows.mapInArrow(run, "cls long, s array<long>").dropDuplicates(["cls"]))
+
+
+def _shipped(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, u, v, s): in each group g the sets ``s`` of the classes u (v null) and the pairs (u, v) of them.  Sets lie in
+    blocks by their smallest partner, so near copies of one text lie together, and a set is shipped once to each pair of
+    blocks, however many pairs it has there."""
+    ways = pairs.select(F.col("u").alias("cls"), "v").unionByName(pairs.select(F.col("v").alias("cls"), F.col("u").alias("v")))
+    homes = ways.groupBy("cls").agg(F.least("cls", F.min("v")).alias("home")).join(sets.select("cls", F.size("s").cast("long").alias("n")), "cls")
+    room = homes.groupBy("home").agg(F.ceil(F.sum("n") / ELEMENTS).cast("long").alias("blocks"))
+    homes = stored(homes.join(room, "home").select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "blocks")).alias("home")))
+    side = lambda c: homes.select(F.col("cls").alias(c), F.col("home").alias(f"h{c}"))
+    dealt = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    dealt = stored(dealt.select(F.xxhash64(F.least("hu", "hv"), F.greatest("hu", "hv")).alias("g"), "u", "v"))
+    needed = dealt.select("g", F.col("u").alias("cls")).union(dealt.select("g", F.col("v").alias("cls"))).distinct()
+    rows = needed.join(sets, "cls").select("g", F.col("cls").alias("u"), F.lit(None).cast("long").alias("v"), "s")
+    return rows.unionByName(dealt.select("g", "u", "v", F.lit(None).cast("array<long>").alias("s")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar enough; pairs of large sets pass their wide sketches first."""
+    """The pairs (u, v) that are similar enough."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    def near(frames):
-        for frame in frames:
-            for at in range(0, len(frame), 1000):
-                x = frame[at:at + 1000]
-                far = _apart(_sketches(x["wu"], WIDE), _sketches(x["wv"], WIDE))
-                yield x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()][["u", "v"]]
+        group, held = None, {}
+        for batch in batches:
+            found = [], []
+            values, offsets = batch.column("s").values.to_numpy(), batch.column("s").offsets.to_numpy()
+            for i, (g, u, v) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "u", "v")))):
+                if g != group:
+                    group, held = g, {}
+                if v is None:  # the sets of a group come before its pairs
+                    held[u] = np.sort(values[offsets[i]:offsets[i + 1]])
+                    continue
+                a, b = sorted((held[u], held[v]), key=len)
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    found[0].append(u)
+                    found[1].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
 
-    sides = [sets.select(F.col("cls").alias(c), F.size("s").cast("long").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "uv"]
-    wide = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")
-    large = F.col("wu").isNotNull() & F.col("wv").isNotNull()
-    pairs = wide.where(large).mapInPandas(near, "u long, v long").unionByName(wide.where(~large).select("u", "v"))
-    left = sets.select(F.col("cls").alias("u"), F.col("s").alias("su"))
-    right = sets.select(F.col("cls").alias("v"), F.col("s").alias("sv"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").withColumn("both", F.size(F.array_intersect("su", "sv")))
-    return both.where(100 * F.col("both") >= percent * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
+    return _shipped(pairs, sets).repartition("g").sortWithinPartitions("g", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
 
 
-def _sketches(column, bits: int = BITS) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, bits // 64)
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,7 +263,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int, lean: bool) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components.  Of the stored ``pairs`` (u, v, times) each v first meets the u with which it
-    shares most buckets; the others are verified only if that has not connected them already.  A set is shipped once a pair."""
+    shares most buckets; the others are verified only if that has not connected them already."""
     best = Window.partitionBy("v").orderBy(F.col("times").desc(), "u")
     first = stored(pairs.withColumn("i", F.row_number().over(best)).where("i = 1").select("u", "v"))
     for turn in range(2):
@@ -349,6 +371,17 @@ def _across(mixed: DataFrame, percent: int, forest: bool) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lean: bool = False) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text).  ``lean``: with less disk, in more
     steps: spanning candidates come before the rest, and tables and shuffles go once what came of them is written."""
+    with small_batches(docs.sparkSession, ROWS):
+        rows, labels = _labelled(docs, words, percent, lean)
+    named = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    named = named.withColumn("label", F.when(F.col("cls") != 0, F.coalesce("label", "cls")))
+    names = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(names, "label", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, lean: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``signed`` and the component (node, label) of their classes, both stored."""
     rows = stored(signed(docs, words))
     classes = rows.where("cls <> 0").groupBy("cls").agg(
         F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
@@ -386,13 +419,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lean:
         links, labels = _linked(pairs, links, labels, docs, classes, words, percent, lean)
         stars = stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labels = stored(labels)
-
-    named = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("label", F.when(F.col("cls") != 0, F.coalesce("label", "cls")))
-    names = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(names, "label", "left").select(
-        "doc_id", "text_hash", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows, stored(labels)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

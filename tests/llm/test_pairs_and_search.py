@@ -73,6 +73,22 @@ def test_similar_sets_share_a_signature():
                     assert np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)).size
 
 
+def test_sets_are_shipped_once_to_a_block_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = np.sort(rng.integers(-2**62, 2**62, 130))
+    rows = [(i, sorted(rng.choice(pool, 100, replace=False).tolist())) for i in range(1, 61)]
+    sets = spark.createDataFrame(rows, "cls long, s array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(1, 61) for j in range(i + 1, 61)], "u long, v long")
+    near = {(i, j) for i, a in rows for j, b in rows if i < j and 100 * len({*a} & {*b}) >= 63 * len({*a} | {*b})}
+    assert 10 < len(near) < 1760
+    for elements, most in ((10_000, 60), (1_500, 60 * 12)):  # one block; blocks of about 15 sets
+        monkeypatch.setattr(jaccard_join, "ELEMENTS", elements)
+        got = jaccard_join._shipped(pairs, sets)
+        assert got.where("v is null").count() <= most and got.where("v is not null").count() == 1770
+        found = [(r.u, r.v) for r in jaccard_join._verified(pairs, sets, 63).collect()]
+        assert len(found) == len(near) and set(found) == near
+
+
 def test_components_of_odd_rows(odd, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd, 3, 90).collect())
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
