@@ -7,11 +7,11 @@ signatures.  By the pigeonhole principle one first-level part has at most ``k2``
 signature.  Spare first-level parts let a document leave out its nearly empty parts, whose signatures say nothing,
 without losing a pair.
 
-Candidates are never expanded into all pairs: each bucket first links its members to one hub; components of the verified
-links follow; only members of a bucket that are still in different components are compared with each other, block by
-block, and only pairs passing an exact bound on the symmetric difference leave the task (``lean``: first a spanning forest
-of them, then, for what is still apart after its verification, all).  Every link between components is found, so the components
-are exact.
+Candidates are never expanded into all pairs: each bucket first links its members to one hub, if they share more buckets
+than sets of their size do by chance; components of the verified links follow; only members of a bucket that are still in
+different components are compared with each other, block by block, and only pairs passing an exact bound on the symmetric
+difference leave the task.  The bound is as tight for large sets as for small ones, for a sketch is as wide as its set asks.
+Every link between components is found, so the components are exact.
 
 Defined results: null or wordless texts have 0 shingles and are their own component; repeated rows and equal sets are one
 component; a null doc_id never becomes a component's name unless all ids of the component are null; other columns are
@@ -32,8 +32,11 @@ from factorframe.llm.common import mix, pieces, released, repeated, shingle_hash
 
 #: Ratio of the largest and the smallest set of a band.
 BAND = 1.5
-#: Bits of the parity sketch (odd sketch).  Two sketches differ in at most as many bits as the sets differ in elements.
+#: Fewest bits of the parity sketch (odd sketch).  Two sketches differ in at most as many bits as the sets differ in elements.
 BITS = 1024
+#: Bits for each element in which similar sets may differ.  Sketches of sets with little in common differ in half their bits,
+#: which says nothing if similar sets may differ in as many elements.
+SPREAD = 3
 #: Elements of a block of sets that are verified together (a larger set is one block).
 ELEMENTS = 500_000
 #: Rows of an Arrow batch, which bounds what executor and worker hold of texts and sets.
@@ -41,7 +44,11 @@ ROWS = 1_000
 #: Bytes of text that are hashed at once (a longer text is one piece).
 PIECE = 500_000
 #: Members of a bucket compared with each other in one task.
-BLOCK = 512
+BLOCK = 2048
+#: Members up to which buckets are compared many at a time.
+FEW = 64
+#: A pair meets at a hub if it shares a bucket for each so many elements; the others wait for the comparison in blocks.
+RARE = 150
 #: Rounds that link the members of a bucket to one of them before the rest is compared.
 STARS = 2
 #: Hubs of a bucket in every round but the first.
@@ -110,6 +117,11 @@ def _sets(column, k: int) -> Iterator[np.ndarray]:
                 yield np.unique(hashes[cut[i]:cut[i + 1]])
 
 
+def _bits(n: int, percent: int) -> int:
+    """Bits of the sketch of a set of ``n`` elements, a power of two."""
+    return max(BITS, 1 << (SPREAD * 2 * n * (100 - percent) // (100 + percent)).bit_length())
+
+
 def _parity(s: np.ndarray, bits: int) -> bytes:
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -124,7 +136,7 @@ def _name(s: np.ndarray) -> int:
     return int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 & (2**64 - 1))]))[0].view(np.int64)) if len(s) else 0
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
+def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """One row a document: doc_id, text_hash, n_shingles, cls (names its set; 0: no shingle), sketch."""
 
     def run(batches):
@@ -135,7 +147,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             for s in _sets(batch.column("text"), words):
                 sizes.append(len(s))
                 names.append(_name(s))
-                sketches.append(_parity(s, BITS))
+                sketches.append(_parity(s, _bits(len(s), percent)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())],
                 names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"])
@@ -253,12 +265,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _shipped(pairs, sets).repartition("g").sortWithinPartitions("g", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
 
 
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
+def _sketches(column, words: int) -> np.ndarray:
+    """Sketches as columns of ``words`` 64-bit words.  Wider ones are folded, which gives the set's narrower sketch."""
+    size, out = np.fromiter(map(len, column), np.int64, len(column)) // 8, np.empty((words, len(column)), np.uint64)
+    for wide in np.unique(size):
+        at = np.flatnonzero(size == wide)
+        out[:, at] = np.bitwise_xor.reduce(np.frombuffer(b"".join(column[at]), np.uint64).reshape(len(at), -1, words), axis=1).T
+    return out
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+def _apart(sketch: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches at ``l`` and ``r`` differ, as wide as the narrower of the two."""
+    size, out = np.fromiter(map(len, sketch), np.int64, len(sketch)) // 8, np.zeros(len(l), np.int64)
+    least = np.minimum(size[l], size[r])
+    for words in np.unique(least):
+        at = np.flatnonzero(least == words)
+        rows, back = np.unique(np.append(l[at], r[at]), return_inverse=True)
+        x = np.ascontiguousarray(_sketches(sketch[rows], int(words)).T)
+        for i in range(0, len(at), 8192):
+            some = slice(i, min(i + 8192, len(at)))
+            out[at[some]] = np.bitwise_count(x[back[some]] ^ x[back[len(at):][some]]).sum(1, dtype=np.int64)
+    return out
 
 
 def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int, lean: bool) -> tuple[DataFrame, DataFrame]:
@@ -285,43 +312,45 @@ def _linked(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None,
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and sketches allow the similarity."""
+    """Pairs that share buckets enough, and whose sizes and sketches allow the similarity."""
 
     def run(frames):
         for x in frames:
             if len(x):
-                far = _apart(_sketches(x["su"]), _sketches(x["sv"]))
+                at = np.arange(len(x))
+                far = _apart(np.append(x["su"].to_numpy(), x["sv"].to_numpy()), at, at + len(x))
                 x = x[(100 + percent) * far <= (100 - percent) * (x["nu"] + x["nv"]).to_numpy()]
             yield x[["u", "v", "times"]]
 
     sides = [classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v").where(
+    both = pairs.join(sides[0], "u").where(RARE * F.col("times") >= F.col("nu")).join(sides[1], "v").where(
         (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
     return both.mapInPandas(run, "u long, v long, times long")
 
 
-def _root(parent: dict, x: int) -> int:
-    while (up := parent.get(x, x)) != x:
-        parent[x] = parent.get(up, up)
-        x = up
-    return x
-
-
-def _spanning(label: np.ndarray, l: np.ndarray, r: np.ndarray, parent: dict) -> np.ndarray:
-    """Of the pairs those that connect what the pairs before them have not; ``parent`` is carried on."""
-    out = np.zeros(len(l), dtype=bool)
-    for i, (x, y) in enumerate(zip(label[l].tolist(), label[r].tolist())):
-        x, y = _root(parent, x), _root(parent, y)
-        if x != y:
-            parent[y] = x
-            out[i] = True
-    return out
-
-
-def _across(mixed: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _near(n: np.ndarray, label: np.ndarray, sketch: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one large bucket's members in different components (and blocks, if ``side`` is given) that sizes and sketches allow."""
+    order = np.argsort(n, kind="stable")
+    n, label, sketch = n[order], label[order], sketch[order]
+    last = np.searchsorted(n * percent, n * 100, "right")
+    size = np.fromiter(map(len, sketch), np.int64, len(sketch)) // 8  # ascends with n
+    for words in np.unique(size):
+        begin, end = np.searchsorted(size, [words, words + 1])
+        x = _sketches(sketch[begin:last[end - 1]], int(words))
+        for i in range(begin, end):
+            to = np.flatnonzero(label[i + 1:last[i]] != label[i]) + i + 1
+            if side is not None:
+                to = to[side[order[to]] != side[order[i]]]
+            if len(to):
+                others = x[:, i + 1 - begin:last[i] - begin] if len(to) == last[i] - i - 1 else x[:, to - begin]
+                far = np.bitwise_count(others ^ x[:, i - begin, None]).sum(0, dtype=np.int32)
+                to = to[(100 + percent) * far <= (100 - percent) * (n[i] + n[to])]
+                yield np.full(len(to), order[i]), order[to]
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components that sizes and sketches allow; blocks of at most about BLOCK members
-    meet in one task.  mixed: sig, cls, label, n, sketch, blocks.  ``forest``: a task leaves out pairs whose components
-    its earlier pairs connect if they hold; nearly all do, and what this leaves open a run without it finds."""
+    meet in one task.  mixed: sig, cls, label, n, sketch, blocks."""
     cut = mixed.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("a", F.least("i", F.col("j").cast("int"))).withColumn("b", F.greatest("i", F.col("j").cast("int")))
@@ -329,7 +358,7 @@ def _across(mixed: DataFrame, percent: int, forest: bool) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        rest, parent = None, {}
+        rest = None
         for x in itertools.chain(frames, [None]):
             if x is not None:
                 x = x if rest is None else pd.concat([rest, x], ignore_index=True)
@@ -341,36 +370,37 @@ def _across(mixed: DataFrame, percent: int, forest: bool) -> DataFrame:
                 x = rest
             if x is None or not len(x):
                 continue
-            sketch = _sketches(x["sketch"])
-            sig, a, b, n, label, cls, i = (x[c].to_numpy() for c in ("sig", "a", "b", "n", "label", "cls", "i"))
-            at, shift = np.arange(len(x)), 0
-            while len(at):
-                shift += 1
-                at = at[at + shift < len(x)]
+            sig, a, b, n, label, cls, i, sketch = (x[c].to_numpy() for c in ("sig", "a", "b", "n", "label", "cls", "i", "sketch"))
+            starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            ends = np.append(starts[1:], len(x))
+            end = np.repeat(ends, ends - starts)
+            found, at = [], np.flatnonzero(np.repeat(ends - starts <= FEW, ends - starts))
+            for shift in range(1, FEW):
+                at = at[at + shift < end[at]]
                 to = at + shift
-                same = (sig[at] == sig[to]) & (a[at] == a[to]) & (b[at] == b[to])
-                at, to = at[same], to[same]
                 ok = (label[at] != label[to]) & ((a[at] == b[at]) | (i[at] != i[to]))
                 ok &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
-                l, r = at[ok], to[ok]
-                near = (100 + percent) * _apart(sketch[l], sketch[r]) <= (100 - percent) * (n[l] + n[r])
-                l, r = l[near], r[near]
-                if forest and len(l):
-                    new = _spanning(label, l, r, parent)
-                    l, r = l[new], r[new]
-                    if len(l):
-                        values, back = np.unique(label, return_inverse=True)
-                        label = np.array([_root(parent, v) for v in values.tolist()], dtype=np.int64)[back]
-                if len(l):
-                    yield pd.DataFrame({"u": np.minimum(cls[l], cls[r]), "v": np.maximum(cls[l], cls[r])}).drop_duplicates()
+                found.append((at[ok], to[ok]))
+                if not len(at):
+                    break
+            l, r = (np.concatenate(side) for side in zip(*found))
+            near = (100 + percent) * _apart(sketch, l, r) <= (100 - percent) * (n[l] + n[r])
+            found = [(l[near], r[near])]
+            for start, stop in zip(starts.tolist(), ends.tolist()):
+                if stop - start > FEW:
+                    one = slice(start, stop)
+                    found += [(l + start, r + start) for l, r in _near(n[one], label[one], sketch[one], None if a[start] == b[start] else i[one], percent)]
+            l, r = (np.concatenate(side) for side in zip(*found))
+            if len(l):
+                yield pd.DataFrame({"u": np.minimum(cls[l], cls[r]), "v": np.maximum(cls[l], cls[r])}).drop_duplicates()
 
     dealt = cut.select("sig", "a", "b", "i", "cls", "label", "n", "sketch").repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
     return dealt.mapInPandas(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lean: bool = False) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text).  ``lean``: with less disk, in more
-    steps: spanning candidates come before the rest, and tables and shuffles go once what came of them is written."""
+    """doc_id, text_hash, n_shingles, component_id for each row of ``docs`` (doc_id, text).  ``lean``: with less
+    disk: tables and shuffles go once what came of them is written."""
     with small_batches(docs.sparkSession, ROWS):
         rows, labels = _labelled(docs, words, percent, lean)
     named = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
@@ -382,7 +412,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lean:
 
 def _labelled(docs: DataFrame, words: int, percent: int, lean: bool) -> tuple[DataFrame, DataFrame]:
     """The rows of ``signed`` and the component (node, label) of their classes, both stored."""
-    rows = stored(signed(docs, words))
+    rows = stored(signed(docs, words, percent))
     classes = rows.where("cls <> 0").groupBy("cls").agg(
         F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")).alias("one")).select(
@@ -408,17 +438,14 @@ def _labelled(docs: DataFrame, words: int, percent: int, lean: bool) -> tuple[Da
         stars = pairs.select("u", "v") if stars is None else stars.unionByName(pairs.select("u", "v"))
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
-    for forest in (True, False) if lean else (False,):
-        mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
-                                          F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.hash("cls").cast("long")).alias("g")).where("x <> y")
-        mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
-        mixed = mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-        mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
-        pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent, forest)
-        pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
-        links, labels = _linked(pairs, links, labels, docs, classes, words, percent, lean)
-        stars = stars.unionByName(pairs.select("u", "v"))
-        known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"),
+                                      F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.hash("cls").cast("long")).alias("g")).where("x <> y")
+    mixed = mixed.groupBy("m", "h", "g", "x", "y").agg(F.min("sig").alias("sig"))  # buckets of the same members count once
+    mixed = mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
+    mixed = known.join(mixed, "sig").join(classes.select("cls", "n", "sketch"), "cls")
+    pairs = _across(mixed.select("sig", "cls", "label", "n", "sketch", "blocks"), percent)
+    pairs = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")).join(stars, ["u", "v"], "left_anti"))
+    _, labels = _linked(pairs, links, labels, docs, classes, words, percent, lean)
     return rows, stored(labels)
 
 

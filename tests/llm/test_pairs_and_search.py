@@ -89,6 +89,41 @@ def test_sets_are_shipped_once_to_a_block_pair(spark, monkeypatch):
         assert len(found) == len(near) and set(found) == near
 
 
+def test_large_sets_with_little_in_common_are_no_candidates():
+    rng = np.random.default_rng(7)
+    for percent, n in ((80, 400), (80, 5_000), (80, 20_000), (90, 20_000)):
+        base = rng.integers(1, 2**63, n).astype(np.uint64)
+        sketches = []
+        for own in (0, n // 40, n // 2, n):  # elements that only this set has
+            s = np.append(base[own:], rng.integers(1, 2**63, own).astype(np.uint64))
+            sketches.append(jaccard_join._parity(s, jaccard_join._bits(len(s), percent)))
+        far = jaccard_join._apart(np.array(sketches, dtype=object), np.array([0, 0, 0]), np.array([1, 2, 3]))
+        assert far[0] <= n // 20 and ((100 + percent) * far <= (100 - percent) * 2 * n).tolist() == [True, False, False]
+    s = rng.integers(1, 2**63, 3_000).astype(np.uint64)
+    wide = np.array([jaccard_join._parity(s, 8192)], dtype=object)
+    assert jaccard_join._sketches(wide, 16).tobytes() == jaccard_join._parity(s, 1024)
+
+
+def test_members_of_a_bucket_are_compared_with_all_of_other_components(spark, monkeypatch):
+    rng, rows = np.random.default_rng(11), []
+    base = np.unique(rng.integers(1, 2**63, 2_200).astype(np.uint64))
+    sets = {}
+    for cls in range(1, 81):  # copies with 5 to 119 elements exchanged, of sizes whose sketches are 1,024 and 2,048 bits wide
+        own = int(rng.integers(5, 120))
+        sets[cls] = np.append(base[own:int(rng.integers(1_400, 1_700))], rng.integers(1, 2**63, own).astype(np.uint64))
+        rows.append((int(cls > 75), cls, cls // 3, len(sets[cls]), jaccard_join._parity(sets[cls], jaccard_join._bits(len(sets[cls]), 80))))
+    assert {len(r[4]) for r in rows} == {128, 256}
+    for few, blocks in ((64, 1), (64, 3), (128, 1), (128, 3)):
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        mixed = spark.createDataFrame([(*r, blocks) for r in rows], "sig long, cls long, label long, n long, sketch binary, blocks long")
+        got = {(r.u, r.v) for r in jaccard_join._across(mixed, 80).collect()}
+        sharp = lambda i, j: 180 * len(np.setxor1d(sets[i], sets[j])) <= 20 * (len(sets[i]) + len(sets[j]))
+        near = {(i, j) for i in sets for j in sets if i < j and (i > 75) == (j > 75) and i // 3 != j // 3 and sharp(i, j)}
+        assert near and near <= got and all(i < j and i // 3 != j // 3 and (i > 75) == (j > 75) for i, j in got)
+        fixed = got if few == 64 and blocks == 1 else fixed
+        assert got == fixed
+
+
 def test_components_of_odd_rows(odd, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd, 3, 90).collect())
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
