@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factorframe.llm import jaccard_join, topk
+from factorframe.llm.common import small_batches
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -124,6 +125,22 @@ def test_members_of_a_bucket_are_compared_with_all_of_other_components(spark, mo
         assert got == fixed
 
 
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    def rows(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(name) for name in names]
+    with small_batches(spark, 1_000, 1 << 20):  # sets of 80,000 elements
+        wide = spark.range(0, 40, 1, 1).select(F.sequence(F.lit(1).cast("long"), F.lit(80_000).cast("long")).alias("s"))
+        got = [r.n for r in wide.mapInArrow(rows, "n long").collect()]
+    assert sum(got) == 40 and max(got) <= 3
+    assert [spark.conf.get(name) for name in names] == before
+
+
 def test_components_of_odd_rows(odd, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd, 3, 90).collect())
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
